@@ -168,3 +168,19 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     """``docs`` without the documents that hold a window of the benchmark."""
     names = docs.columns
     return scan_documents(docs, bench, text_col, **options).where(~F.col("dc_contaminated")).select(*names)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The report of ``documents`` against ``benchmark`` for DuckDB."""
+    words = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    g AS (SELECT DISTINCT item, w[i + 1 : i + {window}] AS gram FROM b, unnest(range(greatest(len(w) - {window - 1}, 1))) u(i) WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT len(gram) AS n FROM g),
+    d AS (SELECT doc_id, coalesce({words}, CAST([] AS VARCHAR[])) AS w FROM documents),
+    h AS (SELECT doc_id, i, n, w[i + 1 : i + n] AS gram FROM d, sizes, unnest(range(greatest(len(w) - n + 1, 0))) u(i)),
+    m AS (SELECT h.doc_id, h.i, h.n, g.item FROM h JOIN g ON h.gram = g.gram),
+    hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM m, unnest(range(i, i + n)) u(k) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""

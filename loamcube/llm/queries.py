@@ -7,20 +7,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamcube.llm import decontam, simhash, suffix_dedup
+from loamcube.llm import chunk_dedup, decontam, hilbert_ann, html_text, license_scan, mixing, simhash, suffix_dedup, token_count, toxicity
 from loamcube.llm._shared import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each category and the verdict for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, chain)
+    found = [c for c in out.columns if c.startswith("tx_") and c != "tx_is_toxic"]
+    return out.select("doc_id", *(F.col(c).alias(f"p_{c[3:]}") for c in found), F.col("tx_is_toxic").alias("toxic"))
+
+
+def op2_hilbert_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hilbert_ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("ht_text").alias("text"), F.col("ht_n_chars").alias("n_chars"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_count.count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return out.select("doc_id", *(F.col(f"tk_{c}").alias(c) for c in ("n_bytes", "n_tokens", "over_limit")))
+
+
+def op7_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that stand in other places too, and what is left when the first of each kind stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = chunk_dedup.remove_repeated_chunks(docs, want_text=False)
+    return out.select("doc_id", *(F.col(f"cd_{c}").alias(c) for c in ("n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256")))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(docs, want_text=False)
     return out.select("doc_id", *(F.col(f"sd_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("ls_n_known").alias("n_sentences"), F.col("ls_ids").alias("sentence_ids"), F.col("ls_licenses").alias("licenses"), (F.col("ls_licenses") != "").alias("has_license"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.scan_documents(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -28,9 +72,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_hilbert_nearest_neighbours": op2_hilbert_nearest_neighbours,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_source_mixing": op4_source_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_content_defined_chunks": op7_content_defined_chunks,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_source_mixing": mixing.oracle_sql(),
+    "op9_license_scan": license_scan.oracle_sql(),
+    "op10_benchmark_decontamination": decontam.oracle_sql(),
+}
