@@ -11,8 +11,12 @@ by the bytes of several positions at once, with enough sets of positions that a
 matches meets at least once: eight bytes in four neighbouring pairs, of which two differing bytes spoil two
 at most, give six sets of four bytes (``CONTRACT``).
 
-A crowded list isn't expanded into pairs. Its first fingerprint is compared with all; the others need
-comparing with all only if they aren't linked to it, and only links of a spanning forest leave the task.
+A list isn't expanded into pairs. Its first fingerprint is compared with all; the others need comparing with
+all only if they aren't linked to it, and only links of a spanning forest leave the task. A list of more than
+``CROWD`` fingerprints isn't brought to one task either. At two bits, its fingerprints are grouped by the
+points one bit away from them (and themselves): two that share a point differ in at most two bits, and two
+that differ in at most two bits share one, so the groups' stars are exactly the links. At more bits, such a
+list is dealt into blocks that all hold its first fingerprint.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from loamcube.llm._bytes import binary_of
 from loamcube.llm._shared import connected_components, materialize
 
 
+#: Fingerprints of one list that a task takes at once.
+CROWD = 4096
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How texts become fingerprints, and when fingerprints link.
@@ -134,15 +142,15 @@ def links_in_list(fids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tup
 
 
 def _list_links(scheme: Scheme):
-    """Rows (key, fid, fp) sorted by key to links."""
+    """Rows (key, block, fid, fp) sorted by key and block to links."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
 
         def links(rows: pa.Table) -> pa.RecordBatch:
-            keys, fids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            fps = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            keys, blocks, fids = (rows.column(i).to_numpy() for i in range(3))
+            fps = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(keys), -1)
+            edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]), [True]]))
             out: list[tuple[int, int]] = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a > 1:
@@ -154,9 +162,9 @@ def _list_links(scheme: Scheme):
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if left is None else pa.concat_tables([left, rows])
-            keys = rows.column(0).to_numpy()
+            keys, blocks = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             # the last list may go on in the next batch
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            cut = int(np.argmax((keys == keys[-1]) & (blocks == blocks[-1]))) if len(keys) else 0
             left = rows.slice(cut)
             if cut:
                 yield links(rows.slice(0, cut))
@@ -166,15 +174,41 @@ def _list_links(scheme: Scheme):
     return scan
 
 
-def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints (``fid`` long, ``fp`` binary) that span each group."""
-    postings = fps.select("fid", "fp").mapInArrow(_postings(scheme), "key long, fid long")
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = postings.join(shared, "key").join(fps.select("fid", "fp"), "fid").select("key", "fid", "fp")
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(_list_links(scheme), "a long, b long").distinct()
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fid, fp) to one row for the fingerprint and for each way to flip one of its bits."""
+    for batch in batches:
+        if batch.num_rows:
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], ["fid", "point"])
+            for bit in range(8 * fps.shape[1]):
+                flipped = fps.copy()
+                flipped[:, bit // 8] ^= np.uint8(1 << bit % 8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flipped], pa.binary())], ["fid", "point"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT) -> DataFrame:
+def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
+    """Links ``a``, ``b`` between distinct fingerprints (``fid`` long, ``fp`` binary) that span each group."""
+    fps = fps.select("fid", "fp")
+    postings = fps.mapInArrow(_postings(scheme), "key long, fid long")
+    shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("first")).where("n > 1")
+    met = postings.join(shared, "key")
+    small = met.where(F.col("n") <= crowd).select("key", F.lit(0).alias("block"), "fid")
+    crowded = met.where(F.col("n") > crowd)
+    if scheme.max_bits == 2:
+        points = crowded.select("fid").distinct().join(fps, "fid").mapInArrow(_points, "fid long, point binary")
+        centre = points.groupBy("point").agg(F.min("fid").alias("a"), F.max("fid").alias("z")).where("a < z").select("point", "a")
+        stars = points.join(centre, "point").where("fid <> a").select("a", F.col("fid").alias("b"))
+    else:
+        blocks = F.ceil(F.col("n") / crowd).cast("int")
+        dealt = crowded.where("fid <> first").select("key", F.pmod(F.xxhash64("fid"), blocks).cast("int").alias("block"), "fid")
+        firsts = shared.where(F.col("n") > crowd).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("first").alias("fid"))
+        small, stars = small.union(dealt).union(firsts), None
+    rows = small.join(fps, "fid").select("key", "block", "fid", "fp").repartition("key", "block").sortWithinPartitions("key", "block")
+    links = rows.mapInArrow(_list_links(scheme), "a long, b long")
+    return (links if stars is None else links.union(stars)).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
     """One row for each row of ``docs``: its id, ``fingerprint`` (lower-case hex) and ``component_id``.
 
     ``component_id`` is the smallest id that links reach, itself included. Rows of equal fingerprint are one
@@ -187,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.groupBy("fp").agg(F.min("id").alias("least"))
     classes = classes.withColumn("fid", F.coalesce(F.col("least"), -1 - F.abs(F.xxhash64("fp") % F.lit(1 << 62))))
     classes = materialize(classes, "classes")
-    parts = connected_components(fingerprint_links(classes, scheme))
+    parts = connected_components(fingerprint_links(classes, scheme, crowd))
     grouped = classes.join(parts.withColumnRenamed("node", "fid"), "fid", "left").withColumn("part", F.coalesce("component", "fid"))
     # names below zero only stand for missing ids
     named_part = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
