@@ -208,15 +208,9 @@ def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT, crowd: int = CR
     return (links if stars is None else links.union(stars)).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
-    """One row for each row of ``docs``: its id, ``fingerprint`` (lower-case hex) and ``component_id``.
-
-    ``component_id`` is the smallest id that links reach, itself included. Rows of equal fingerprint are one
-    class, so copies cost one fingerprint. A null text has no words and links like any other; rows of null
-    id take part, and their component is the smallest id among the others of their group, or null if there
-    is none; repeated ids give repeated rows.
-    """
-    named = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(text_col, scheme).alias("fp")), "fingerprints")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd: int) -> DataFrame:
+    """``id``, ``row`` (hash of id and text), ``fp``, ``component_id`` of each row."""
+    named = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint(text_col, scheme).alias("fp")), "fingerprints")
     # a class is named by its smallest id; one without any id, by a negative name of its own
     classes = named.groupBy("fp").agg(F.min("id").alias("least"))
     classes = classes.withColumn("fid", F.coalesce(F.col("least"), -1 - F.abs(F.xxhash64("fp") % F.lit(1 << 62))))
@@ -226,16 +220,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # names below zero only stand for missing ids
     named_part = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
     grouped = grouped.join(named_part, "part").select("fp", "component_id")
-    return named.join(grouped, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return named.join(grouped, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
+    """One row for each row of ``docs``: its id, ``fingerprint`` (lower-case hex) and ``component_id``.
+
+    ``component_id`` is the smallest id that links reach, itself included. Rows of equal fingerprint are one
+    class, so copies cost one fingerprint. A null text has no words and links like any other; rows of null
+    id take part, and their component is the smallest id among the others of their group, or null if there
+    is none; repeated ids give repeated rows; an empty table gives an empty one.
+    """
+    return _grouped(docs, id_col, text_col, scheme, crowd).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = NEAR) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = NEAR, crowd: int = CROWD) -> DataFrame:
     """``docs`` without near copies: of each group the row of smallest id stays.
 
-    Rows of null id belong to no group that could name a survivor and stay, unless their group has an id.
-    Equal rows (same id, same text) count as one row.
+    A row of null id goes if its group has an id, and stays otherwise. Equal rows (same id, same text) count as
+    one row: both stay or both go. All columns are kept.
     """
-    found = near_duplicates(docs, id_col, text_col, scheme)
-    gone = found.where((F.col(id_col) != F.col("component_id")) | F.col(id_col).isNull() & F.col("component_id").isNotNull())
-    gone = gone.select(F.col(id_col).alias("sh_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("sh_gone")), "left_anti")
+    found = _grouped(docs, id_col, text_col, scheme, crowd)
+    gone = found.where((F.col("id") != F.col("component_id")) | F.col("id").isNull() & F.col("component_id").isNotNull()).select(F.col("row").alias("sh_row")).distinct()
+    return docs.withColumn("sh_row", F.xxhash64(F.col(id_col), F.col(text_col))).join(gone, "sh_row", "left_anti").drop("sh_row")
