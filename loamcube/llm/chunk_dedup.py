@@ -31,10 +31,10 @@ _SLICE = 1 << 20
 class Chunking:
     """Least and greatest chunk in bytes, boundary bits (a boundary every 2**bits bytes), and the shortest stretch."""
 
-    least: int = 32
-    most: int = 256
+    least: int = 24
+    most: int = 128
     bits: int = 5
-    stretch: int = 100
+    stretch: int = 72
 
 
 #: 16-bit code of each byte value.
