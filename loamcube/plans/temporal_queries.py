@@ -360,7 +360,7 @@ def q_metric_wide(spark, sf):
     return reshape.widen(metrics(spark, sf), (*SERIES, "doy", "clear"), _WIDE)
 
 
-@query("q_band_groups", _METRICS + ", q AS (SELECT site, sensor, doy, clear, (b1 + b2) / 2 AS rmse_10m, (b3 + b4) / 2 AS rmse_20m FROM w)", "rmse_10m rmse_20m")
+@query("q_band_groups", _METRICS + ", q AS (SELECT site, sensor, doy, clear, (b1 + b2) / 2 AS rmse_10m, (b3 + b4) / 2 AS rmse_20m FROM w)", "rmse_10m rmse_20m:11")
 def q_band_groups(spark, sf):
     wide = reshape.widen(metrics(spark, sf), (*SERIES, "doy", "clear"), _WIDE)
     return aggs.band_group_means(wide, {"rmse_10m": _WIDE[:2], "rmse_20m": _WIDE[2:]}).select(*SERIES, "doy", "clear", "rmse_10m", "rmse_20m")
