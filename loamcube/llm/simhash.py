@@ -22,7 +22,7 @@ list is dealt into blocks that all hold its first fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +38,8 @@ from loamcube.llm._shared import connected_components, materialize
 
 #: Fingerprints of one list that a task takes at once.
 CROWD = 4096
+#: Sets of positions that are searched before the groups so far are drawn together.
+FIRST_SETS = 16
 
 
 @dataclass(frozen=True)
@@ -122,8 +124,11 @@ def _postings(scheme: Scheme):
     return scan
 
 
-def links_in_list(fids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the fingerprints of one list."""
+def links_in_list(parts: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the fingerprints of one list.
+
+    ``parts`` names the group that each is known to be in; links go between groups, as a spanning forest.
+    """
 
     def linked(one: int, many: np.ndarray) -> np.ndarray:
         differ = fps[many] ^ fps[one]
@@ -131,31 +136,49 @@ def links_in_list(fids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tup
         many, differ = many[tally >= scheme.min_matches], differ[tally >= scheme.min_matches]
         return many[np.bitwise_count(differ).sum(axis=1) <= scheme.max_bits]
 
-    everyone = np.arange(len(fids))
-    near = linked(0, everyone[1:])
-    out = [(int(fids[0]), int(fids[i])) for i in near]
-    apart = np.setdiff1d(everyone[1:], near)
+    root = {int(p): int(p) for p in parts}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, found: np.ndarray) -> None:
+        for p in np.unique(parts[found]).tolist():
+            x, y = find(int(parts[i])), find(p)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(parts[i]), p))
+
+    everyone = np.arange(len(parts))
+    others = everyone[parts != parts[0]]
+    near = linked(0, others)
+    join(0, near)
+    apart = np.setdiff1d(others, near)
+    is_apart = np.isin(everyone, apart)
     for i in apart:
-        others = everyone[(everyone > i) | ~np.isin(everyone, apart)]
-        out += [(int(fids[i]), int(fids[j])) for j in linked(i, others[others != i])]
+        join(int(i), linked(int(i), everyone[((everyone > i) | ~is_apart) & (parts != parts[i])]))
     return out
 
 
 def _list_links(scheme: Scheme):
-    """Rows (key, block, fid, fp) sorted by key and block to links."""
+    """Rows (key, block, part, fp) sorted by key and block to links."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
 
         def links(rows: pa.Table) -> pa.RecordBatch:
-            keys, blocks, fids = (rows.column(i).to_numpy() for i in range(3))
+            keys, blocks, parts = (rows.column(i).to_numpy() for i in range(3))
             fps = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(keys), -1)
             edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]), [True]]))
             out: list[tuple[int, int]] = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a > 1:
-                    order = np.argsort(fids[a:b])
-                    out += links_in_list(fids[a:b][order], fps[a:b][order], scheme)
+                    order = np.argsort(parts[a:b], kind="stable")
+                    out += links_in_list(parts[a:b][order], fps[a:b][order], scheme)
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -187,15 +210,32 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints (``fid`` long, ``fp`` binary) that span each group."""
-    fps = fps.select("fid", "fp")
-    postings = fps.mapInArrow(_postings(scheme), "key long, fid long")
+    """Links ``a``, ``b`` between distinct fingerprints (``fid`` long, ``fp`` binary) that connect each group.
+
+    With many sets of positions, the first few connect most of each group; the others then only look for
+    links between the groups found.
+    """
+    fps = fps.select("fid", "fp", F.col("fid").alias("part"))
+    few, more = scheme.position_sets[:FIRST_SETS], scheme.position_sets[FIRST_SETS:]
+    links = _links(fps, replace(scheme, position_sets=few), crowd)
+    if not more:
+        return links
+    found = materialize(connected_components(links), "groups")
+    joined = fps.drop("part").join(found.withColumnRenamed("node", "fid"), "fid", "left")
+    fps = materialize(joined.select("fid", "fp", F.coalesce("component", "fid").alias("part")), "grouped")
+    between = _links(fps, replace(scheme, position_sets=more), crowd)
+    return between.union(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+
+
+def _links(fps: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
+    """Links between parts of ``fps`` (``fid``, ``fp``, ``part``)."""
+    postings = fps.select("fid", "fp").mapInArrow(_postings(scheme), "key long, fid long")
     shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("first")).where("n > 1")
     met = postings.join(shared, "key")
     small = met.where(F.col("n") <= crowd).select("key", F.lit(0).alias("block"), "fid")
     crowded = met.where(F.col("n") > crowd)
     if scheme.max_bits == 2:
-        points = crowded.select("fid").distinct().join(fps, "fid").mapInArrow(_points, "fid long, point binary")
+        points = crowded.select("fid").distinct().join(fps, "fid").select("fid", "fp").mapInArrow(_points, "fid long, point binary")
         centre = points.groupBy("point").agg(F.min("fid").alias("a"), F.max("fid").alias("z")).where("a < z").select("point", "a")
         stars = points.join(centre, "point").where("fid <> a").select("a", F.col("fid").alias("b"))
     else:
@@ -203,7 +243,7 @@ def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT, crowd: int = CR
         dealt = crowded.where("fid <> first").select("key", F.pmod(F.xxhash64("fid"), blocks).cast("int").alias("block"), "fid")
         firsts = shared.where(F.col("n") > crowd).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("first").alias("fid"))
         small, stars = small.union(dealt).union(firsts), None
-    rows = small.join(fps, "fid").select("key", "block", "fid", "fp").repartition("key", "block").sortWithinPartitions("key", "block")
+    rows = small.join(fps, "fid").select("key", "block", "part", "fp").repartition("key", "block").sortWithinPartitions("key", "block")
     links = rows.mapInArrow(_list_links(scheme), "a long, b long")
     return (links if stars is None else links.union(stars)).distinct()
 
