@@ -26,9 +26,11 @@ from loamcube.llm._bytes import binary_of
 from loamcube.llm.decontam import words_of
 
 #: Bounds of the labelled sample.
-MOST_TOXIC = 4000
-MOST_OTHER = 8000
+MOST_TOXIC = 3000
+MOST_OTHER = 5000
 FEATURES = 1024
+#: Words and beginnings are hashed to so many buckets.
+BUCKETS = 1 << 20
 FOLDS = 3
 THRESHOLD = 0.5
 #: Least number of sampled texts that hold a feature.
@@ -43,9 +45,9 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 
 
 def features_of(word: bytes) -> tuple[int, ...]:
-    """Hashes of a word and of its beginnings of 4, 5 and 6 bytes."""
+    """Buckets of a word and of its beginnings of 4, 5 and 6 bytes."""
     h = xxhash.xxh32_intdigest
-    return (h(word, 1), *(h(word[:n], n) for n in (4, 5, 6) if len(word) > n))
+    return (h(word, 1) % BUCKETS, *(h(word[:n], n) % BUCKETS for n in (4, 5, 6) if len(word) > n))
 
 
 @dataclass
@@ -179,25 +181,28 @@ def fit(
     got = rows.mapInArrow(_sample_rows(categories), "h long, toxic int, weight double, bits int, features binary").orderBy("h", "features").toArrow()
     if not got.num_rows:
         return ToxicityChain({}, [])
-    sets = [np.frombuffer(f, np.uint32) for f in got.column("features").to_pylist()]
-    toxic, weight, bits = (got.column(c).to_numpy() for c in ("toxic", "weight", "bits"))
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+    toxic, weight, bits, h = (got.column(c).to_numpy() for c in ("toxic", "weight", "bits", "h"))
+    packed = got.column("features").to_pylist()
+    del got
+    sizes = np.array([len(f) // 4 for f in packed])
+    at = np.frombuffer(b"".join(packed), np.uint32).astype(np.int32)
+    del packed
     # how surely presence goes with the label: signed root of chi squared, by counts
-    here = np.bincount(at, minlength=len(kinds)).astype(float)
-    with_label = np.bincount(at, weights=toxic[owner], minlength=len(kinds))
+    here = np.bincount(at, minlength=BUCKETS).astype(float)
+    with_label = np.bincount(at[np.repeat(toxic == 1, sizes)], minlength=BUCKETS)
     share = toxic.mean()
     score = np.abs(with_label - here * share) / np.sqrt(here * share * (1 - share) + 1e-9)
-    score[here < min(LEAST_TEXTS, max(1, len(sets) // 20))] = -1
+    score[here < min(LEAST_TEXTS, max(1, len(sizes) // 20))] = -1
     best = np.sort(np.argsort(-score, kind="stable")[:n_features])
-    column = np.full(len(kinds), -1)
+    best = best[score[best] >= 0]
+    column = np.full(BUCKETS, -1, np.int32)
     column[best] = np.arange(len(best))
-    used = column[at] >= 0
-    x = Presence(owner[used], column[at[used]], len(sets), len(best), np.zeros((len(sets), 0)))
+    at = column[at]
+    x = Presence(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at >= 0], at[at >= 0], len(sizes), len(best), np.zeros((len(sizes), 0)))
     chain = {name: (toxic == 1) & (bits >> n & 1 == 1) for n, name in enumerate(categories)}
     chain["toxic"] = toxic == 1
-    folds = got.column("h").to_numpy().astype(np.int64) % FOLDS
-    return ToxicityChain({int(kinds[b]): n for n, b in enumerate(best)}, fit_chain(x, chain, weight, folds))
+    folds = h.astype(np.int64) % FOLDS
+    return ToxicityChain({int(b): n for n, b in enumerate(best)}, fit_chain(x, chain, weight, folds))
 
 
 def _scorer(shared):
