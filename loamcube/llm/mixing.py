@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamcube.llm._shared import materialize
+
 #: Slots of the schedule; a block has at least ``LEAST_BLOCK`` words, so a small corpus has fewer slots.
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
@@ -76,7 +78,8 @@ def mix(
     text_hash = F.xxhash64(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), text_hash.alias("text_hash"))
     order = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("place", order)
+    # texts are read once; what follows takes a few numbers of each row
+    rows = materialize(rows.withColumn("place", order), "mix")
     targets = source_targets(rows, weights, most_repeats)
 
     # the one number that the driver needs: words in all
