@@ -4,8 +4,8 @@ A byte-level BPE tokenizer cuts text into pre-tokens by a regular pattern and me
 are finite-state, so counts need no merging:
 
 * Inside a pre-token, ``CountingTransducer`` reads bytes. Its state holds the longest suffix read that some
-  token continues, and for every cut inside it the last token of the encoding up to there and how far the
-  count stood. Reading a byte finds the token that ends the encoding now: the one whose neighbour before it
+  token continues, and for every cut from which a token may still read on, the last token of the encoding up to
+  there and how far the count stood. Reading a byte finds the token that ends the encoding now: the one whose neighbour before it
   doesn't merge with it. The transition is annotated with the change in the number of tokens (it may be
   negative: a merge). States and transitions are compiled when first reached and then only looked up.
 * Between pre-tokens nothing is carried, so a word's total is one transition of a coarser transducer, kept
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -36,6 +37,7 @@ MOST_WORDS = 400_000
 MOST_STATES = 120_000
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_NEVER = 1 << 60
 _BOUNDARY = r"(?<=\p{L})(?=\s)"
 
 
@@ -54,58 +56,77 @@ class CountingTransducer:
         self.rank = {pair: n for n, pair in enumerate(merges)}
         self.open = {t[:n] for t in self.tokens for n in range(1, len(t))}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.origins: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = (b"", ((b"", 0),))
+        start = (b"", ((0, b"", 0),))
         self.number = {start: 0}
         self.states = [start]
         self.moves: dict[int, tuple[int, int]] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+    def origin(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The pair whose merge completes a token from its bytes; empty for a byte, null for a token never reached."""
+        if token not in self.origins:
+            parts, last = [token[i : i + 1] for i in range(len(token))], (b"", b"")
+            while len(parts) > 1:
+                ranks = [self.rank.get(pair, _NEVER) for pair in pairwise(parts)]
+                best = min(ranks)
+                if best == _NEVER:
+                    break
+                i = ranks.index(best)
+                last = (parts[i], parts[i + 1])
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.origins[token] = last if len(parts) == 1 else None
+        return self.origins[token]
+
+    def edge(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
+        """The pieces that stand at one end of a token while it is merged, each with the rank of the merge that ends it."""
+        got = self.edges.get((token, right))
+        if got is None:
+            got, piece, end = [], token, _NEVER
+            while piece:
+                got.append((piece, end))
+                pair = self.origin(piece)
+                if pair is None:
+                    got = []
+                    break
+                end = self.rank.get(pair, _NEVER)
+                piece = pair[right]
+            self.edges[token, right] = got
+        return got
 
     def stays_apart(self, a: bytes, b: bytes) -> bool:
-        """Do two neighbouring tokens stay as they are?"""
+        """Do two neighbouring tokens stay as they are?
+
+        They don't if the pieces at their border at some time form a pair that merges before either piece
+        is taken up by its own token (of equal ranks the left pair goes first).
+        """
         got = self.apart.get((a, b))
         if got is None:
             if len(self.apart) > MOST_STATES:
                 self.apart.clear()
-            got = self.apart[a, b] = self.merged(a + b) == [a, b]
+            left, right = self.edge(a, True), self.edge(b, False)
+            got = bool(left and right) and not any((r := self.rank.get((x, y))) is not None and r < x_end and r <= y_end for x, x_end in left for y, y_end in right)
+            self.apart[a, b] = got
         return got
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
         """The transition: next state, change in the number of tokens."""
         suffix, cuts = self.states[state]
         text = suffix + bytes([byte])
-        for size in range(len(text), 0, -1):
-            token = text[-size:]
-            before, count = cuts[len(text) - size]
+        for at, before, count in cuts:
+            token = text[at:]
             if token in self.tokens and (not before or self.stays_apart(before, token)):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
         change = count + 1
-        keep = text
-        while keep and keep not in self.open:
-            keep = keep[1:]
-        kept = (*cuts, (token, change))[len(text) - len(keep) :]
-        new = (keep, tuple((t, n - change) for t, n in kept))
+        # only a cut that some token reads on from can matter again
+        kept = [(at, t, n - change) for at, t, n in cuts if text[at:] in self.open]
+        first = kept[0][0] if kept else len(text)
+        new = (text[first:], (*((at - first, t, n) for at, t, n in kept), (len(text) - first, token, 0)))
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
