@@ -42,7 +42,7 @@ from loamcube.llm._shared import materialize
 LENGTH = 200
 WINDOW = 137
 #: A first rank that is expected to hold more anchors than this is not brought together in one task.
-HOT = 500_000
+HOT = 100_000
 _STEER = 256
 _GRAM = 16
 _SLICE = 1 << 20
