@@ -229,7 +229,9 @@ def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT, crowd: int = CR
 
 def _links(fps: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
     """Links between parts of ``fps`` (``fid``, ``fp``, ``part``)."""
-    postings = fps.select("fid", "fp").mapInArrow(_postings(scheme), "key long, fid long")
+    # fingerprints are few bytes and postings many times as many: tasks are dealt for the postings
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = fps.select("fid", "fp").repartition(tasks, "fid").mapInArrow(_postings(scheme), "key long, fid long")
     shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("first")).where("n > 1")
     met = postings.join(shared, "key")
     small = met.where(F.col("n") <= crowd).select("key", F.lit(0).alias("block"), "fid")
