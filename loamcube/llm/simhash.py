@@ -38,6 +38,8 @@ from loamcube.llm._shared import connected_components, materialize
 
 #: Fingerprints of one list that a task takes at once.
 CROWD = 4096
+#: Shingles that vote at once.
+_VOTES = 1 << 15
 #: Sets of positions that are searched before the groups so far are drawn together.
 FIRST_SETS = 16
 
@@ -85,16 +87,17 @@ def fingerprint_of(text: bytes, scheme: Scheme = CONTRACT) -> bytes:
     k = scheme.words
     if not words:
         return bytes(8 * len(scheme.seeds))
-    shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(k)), strict=False)] if len(words) > k else [b" ".join(words)]
-    half, out = len(shingles), []
-    for seed in scheme.seeds:
-        digest = xxhash.xxh64_digest
-        votes = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8)
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(votes), 1 << 15):
-            total += np.unpackbits(votes[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * total > half).tobytes())
-    return b"".join(out)
+    n = max(len(words) - k + 1, 1)
+    totals = np.zeros((len(scheme.seeds), 64), np.int64)
+    digest = xxhash.xxh64_digest
+    # a very long text's shingles aren't all held at once
+    for at in range(0, n, _VOTES):
+        part = words[at : at + _VOTES + k - 1]
+        shingles = [b" ".join(x) for x in zip(*(part[i:] for i in range(k)), strict=False)] if len(part) > k else [b" ".join(part)]
+        for total, seed in zip(totals, scheme.seeds, strict=True):
+            votes = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8)
+            total += np.unpackbits(votes, axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * totals > n, axis=1).tobytes()
 
 
 def fingerprint(text: Column | str, scheme: Scheme = CONTRACT) -> Column:
