@@ -17,6 +17,10 @@ all only if they aren't linked to it, and only links of a spanning forest leave
 points one bit away from them (and themselves): two that share a point differ in at most two bits, and two
 that differ in at most two bits share one, so the groups' stars are exactly the links. At more bits, such a
 list is dealt into blocks that all hold its first fingerprint.
+
+Bits only estimate how much two texts share. A scheme with a ``similarity`` links texts by the Jaccard
+similarity of their shingle sets itself (``verified_links``): candidates meet in lists keyed by a few of the
+sets' minima under random hashes, and each is verified on the two whole sets before it links anything.
 """
 
 from __future__ import annotations
@@ -49,7 +53,8 @@ class Scheme:
     """How texts become fingerprints, and when fingerprints link.
 
     ``words`` in a shingle; one XXH64 ``seed`` for each 8 bytes of fingerprint; ``position_sets`` key the
-    lists; a pair needs ``min_matches`` equal bytes and at most ``max_bits`` differing bits.
+    lists; a pair needs ``min_matches`` equal bytes and at most ``max_bits`` differing bits. With a
+    ``similarity`` (numerator, denominator) texts link at this Jaccard similarity of their shingle sets instead.
     """
 
     words: int
@@ -57,6 +62,7 @@ class Scheme:
     position_sets: tuple[tuple[int, ...], ...]
     min_matches: int
     max_bits: int
+    similarity: tuple[int, int] | None = None
 
 
 def paired_positions(n_bytes: int, max_bits: int) -> tuple[tuple[int, ...], ...]:
@@ -73,12 +79,15 @@ def drawn_positions(n_bytes: int, size: int, count: int, seed: int = 11) -> tupl
 
 #: 64 bits over 3-word shingles; fingerprints link at two differing bits. Finds every link.
 CONTRACT = Scheme(3, (42,), paired_positions(8, 2), 6, 2)
-#: Near copies by 5-word shingles. 256 bits; shingle sets of a Jaccard similarity of 0.8 differ in about
-#: 39 of them (expected Hamming distance 256 acos(2J / (1 + J)) / pi), give or take 6, and then share 8.7
-#: of 32 bytes on average; unrelated ones share an eighth of a byte. Not exact: ``LISTS`` lists of three
-#: bytes each find a pair of similarity 0.8, 0.85, 0.9 with a probability of 0.93, 0.99, 0.9999.
-LISTS = 128
-NEAR = Scheme(5, (42, 43, 44, 45), drawn_positions(32, 3, LISTS), 3, 46)
+#: Near copies by 5-word shingles: 256 bits name a text, shingle sets of similarity 0.8 link. Bytes of the
+#: fingerprint are poor lists for that: sets of three meet 74 % of such pairs in 128 lists.
+NEAR = Scheme(5, (42, 43, 44, 45), drawn_positions(32, 3, 128), 3, 46, (4, 5))
+#: ``BANDS`` lists of ``ROWS`` minima each. Two sets share a minimum with the probability of their similarity, so
+#: a pair at 0.8 meets in no list with a probability of (1 - 0.8^5)^32 = 3e-6. Of the 160 minima it shares 128,
+#: give or take 5; a pair that shares fewer than ``SHARED`` (probability 1e-7) isn't read in full.
+BANDS, ROWS, SHARED = 32, 5, 100
+_FACTORS, _TERMS = np.random.default_rng(12).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_FACTORS = _FACTORS * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint_of(text: bytes, scheme: Scheme = CONTRACT) -> bytes:
@@ -110,6 +119,104 @@ def fingerprint(text: Column | str, scheme: Scheme = CONTRACT) -> Column:
     return run(text)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the shingles of ``k`` words that ``fingerprint_of`` lets vote; none if wordless."""
+    words = text.lower().split()
+    if len(words) < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    n = len(words) - k + 1
+    total = np.zeros(n, np.uint64)
+    for i in range(k):
+        total = _mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
+    return np.unique(total)
+
+
+def minima(shingles: np.ndarray) -> bytes:
+    """16 bits of each of the set's minima."""
+    if not len(shingles):
+        return bytes(2 * BANDS * ROWS)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0))
+    return (_mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def _sketch(text: Column | str, k: int) -> Column:
+    """Name of the shingle set, its size and its minima."""
+    kind = T.StructType([T.StructField("cid", T.LongType()), T.StructField("size", T.LongType()), T.StructField("minima", T.BinaryType())])
+
+    @F.arrow_udf(kind)
+    def run(column: pa.Array) -> pa.Array:
+        names, sizes, least = [], [], []
+        for x in binary_of(column):
+            found = shingle_set(x.as_py(), k)
+            # a name is never below zero
+            names.append(xxhash.xxh64_intdigest(found.tobytes()) >> 1)
+            sizes.append(len(found))
+            least.append(minima(found))
+        return pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary())], ["cid", "size", "minima"])
+
+    return run(text)
+
+
+def _shingles(text: Column | str, k: int) -> Column:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in binary_of(column)], pa.list_(pa.int64()))
+
+    return run(text)
+
+
+@F.arrow_udf(T.IntegerType())
+def _n_shared(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(c), -1) for c in (a, b))
+    return pa.array((x == y).sum(axis=1), pa.int32())
+
+
+def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR, crowd: int = CROWD) -> DataFrame:
+    """Links ``a``, ``b`` that connect each group of shingle sets at ``scheme.similarity``.
+
+    ``classes`` holds each set once (``cid``, ``size``, ``minima``, ``row``), ``texts`` its text by ``row``. Every
+    list's first set is compared with all others; after that only sets of different groups are compared.
+    A list of more than ``crowd`` sets is dealt into blocks, and every block is compared with the whole list.
+    """
+    over, under = scheme.similarity
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("minima", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+    postings = classes.where("size > 0").select("cid", "size", F.explode(bands).alias("key"))
+    shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("first")).where("n > 1")
+    met = materialize(postings.join(shared, "key"), "met")
+    wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "row")
+    sets = materialize(texts.join(wanted, "row").dropDuplicates(["cid"]).select("cid", _shingles("text", scheme.words).alias("shingles")), "sets")
+    of_a, of_b = (classes.select(F.col("cid").alias(c), F.col("size").alias(f"size_{c}"), F.col("minima").alias(f"minima_{c}")) for c in "ab")
+    set_a, set_b = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(of_a, "a").join(of_b, "b")
+        near = near.where(F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over)
+        near = materialize(near.where(_n_shared("minima_a", "minima_b") >= SHARED).select("a", "b", "size_a", "size_b"), "candidates")
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return near.join(set_b, "b").join(set_a, "a").where(both * (over + under) >= (F.col("size_a") + F.col("size_b")) * over).select("a", "b")
+
+    stars = materialize(verified(met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))), "stars")
+    found = materialize(connected_components(stars), "groups")
+    parted = met.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
+    # lists of one group have nothing left to find
+    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    parted = parted.where("cid <> first").join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
+    left = parted.select("key", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), F.col("cid").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("s"))
+    right = parted.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("t"))
+    alike = (F.least("s", "t") * under >= F.greatest("s", "t") * over) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
+    return verified(left.join(right, ["key", "block"]).where(alike).select("a", "b")).union(stars)
+
+
 def _postings(scheme: Scheme):
     """(fid, fp) to one row for each set of positions: list key, fid."""
 
@@ -254,7 +361,9 @@ def _links(fps: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd: int) -> DataFrame:
-    """``id``, ``row`` (hash of id and text), ``fp``, ``component_id`` of each row."""
+    """``id``, ``row`` (hash of id and text), ``component_id`` and, for a scheme of bits, ``fp`` of each row."""
+    if scheme.similarity:
+        return _grouped_by_shingles(docs, id_col, text_col, scheme, crowd)
     named = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint(text_col, scheme).alias("fp")), "fingerprints")
     # a class is named by its smallest id; one without any id, by a negative name of its own
     classes = named.groupBy("fp").agg(F.min("id").alias("least"))
@@ -268,6 +377,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd:
     return named.join(grouped, "fp")
 
 
+def _grouped_by_shingles(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd: int) -> DataFrame:
+    """``id``, ``row``, ``component_id`` of each row; rows of equal shingle sets are one class."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
+    named = docs.select(F.col(id_col).alias("id"), row, _sketch(text_col, scheme.words).alias("sketch"))
+    named = materialize(named.select("id", "row", "sketch.*"), "sketches")
+    classes = named.groupBy("cid").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("minima").alias("minima"))
+    classes = materialize(classes, "classes")
+    parts = connected_components(verified_links(classes, docs.select(row, F.col(text_col).alias("text")), scheme, crowd))
+    grouped = classes.select("cid", "least").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
+    named_part = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
+    return named.select("id", "row", "cid").join(grouped.join(named_part, "part").select("cid", "component_id"), "cid")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
     """One row for each row of ``docs``: its id, ``fingerprint`` (lower-case hex) and ``component_id``.
 
@@ -276,7 +398,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id take part, and their component is the smallest id among the others of their group, or null if there
     is none; repeated ids give repeated rows; an empty table gives an empty one.
     """
-    return _grouped(docs, id_col, text_col, scheme, crowd).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, id_col, text_col, scheme, crowd)
+    if scheme.similarity:
+        part = found.select("row", "component_id").distinct()
+        named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint(text_col, scheme).alias("fp"))
+        found = named.join(part, "row")
+    return found.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = NEAR, crowd: int = CROWD) -> DataFrame:

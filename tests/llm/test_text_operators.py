@@ -212,6 +212,30 @@ def test_near_copies_go_and_clean_texts_stay(spark, rng):
     assert [r.text for r in kept if r.doc_id is None] == ["alone " * 30]
 
 
+def planted_at(rng, similarity, name, length=300):
+    """Two texts whose 5-word shingle sets have about ``similarity``, at least; and the similarity."""
+    one = [f"{name}x{rng.randrange(10**6)}" for _ in range(length)]
+    two, best = list(one), 1.0
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for at in rng.sample(range(length), length):
+        tried = [*two[:at], f"{name}y{at}", *two[at + 1 :]]
+        now = len(sets(one) & sets(tried)) / len(sets(one) | sets(tried))
+        if now >= similarity:
+            two, best = tried, now
+        if best < similarity + 0.004:
+            break
+    return " ".join(one), " ".join(two), best
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 1])
+def test_pairs_at_the_similarity_go(spark, rng, crowd):
+    pairs = [planted_at(rng, 0.8 + 0.05 * (i % 2), f"p{i}") for i in range(60)]
+    assert all(0.8 <= j < 0.87 for _, _, j in pairs)
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+    assert sorted(r.doc_id for r in kept) == [2 * i for i in range(60)]
+
+
 def test_simhash_at_the_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(with_clashes(edge, "fp", "fid", "fingerprint")).count() == len(EDGE)
