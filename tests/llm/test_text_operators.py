@@ -236,6 +236,16 @@ def test_pairs_at_the_similarity_go(spark, rng, crowd):
     assert sorted(r.doc_id for r in kept) == [2 * i for i in range(60)]
 
 
+def test_a_family_below_the_similarity_stays(spark, rng):
+    # any two share a template of four fifths of their words: similarity 0.65 or so
+    template = [f"t{i}" for i in range(400)]
+    texts = [" ".join([*template, *(f"d{d}w{i}" for i in range(100))]) for d in range(250)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts[:2])]
+    assert 0.6 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.7
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(df).count() == len(texts)
+
+
 def test_simhash_at_the_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(with_clashes(edge, "fp", "fid", "fingerprint")).count() == len(EDGE)
