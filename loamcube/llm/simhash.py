@@ -16,7 +16,7 @@ all only if they aren't linked to it, and only links of a spanning forest leave
 ``CROWD`` fingerprints isn't brought to one task either. At two bits, its fingerprints are grouped by the
 points one bit away from them (and themselves): two that share a point differ in at most two bits, and two
 that differ in at most two bits share one, so the groups' stars are exactly the links. At more bits, such a
-list is dealt into blocks that all hold its first fingerprint.
+list is dealt into blocks, and every two of them are brought to one task.
 
 Bits only estimate how much two texts share. A scheme with a ``similarity`` links texts by the Jaccard
 similarity of their shingle sets itself (``verified_links``): candidates meet in lists keyed by a few of the
@@ -344,17 +344,19 @@ def _links(fps: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
     postings = fps.select("fid", "fp").repartition(tasks, "fid").mapInArrow(_postings(scheme), "key long, fid long")
     shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("first")).where("n > 1")
     met = postings.join(shared, "key")
-    small = met.where(F.col("n") <= crowd).select("key", F.lit(0).alias("block"), "fid")
+    small = met.where(F.col("n") <= crowd).select("key", F.lit(0).cast("long").alias("block"), "fid")
     crowded = met.where(F.col("n") > crowd)
     if scheme.max_bits == 2:
         points = crowded.select("fid").distinct().join(fps, "fid").select("fid", "fp").mapInArrow(_points, "fid long, point binary")
         centre = points.groupBy("point").agg(F.min("fid").alias("a"), F.max("fid").alias("z")).where("a < z").select("point", "a")
         stars = points.join(centre, "point").where("fid <> a").select("a", F.col("fid").alias("b"))
     else:
+        # every two blocks meet in one task, named by both
         blocks = F.ceil(F.col("n") / crowd).cast("int")
-        dealt = crowded.where("fid <> first").select("key", F.pmod(F.xxhash64("fid"), blocks).cast("int").alias("block"), "fid")
-        firsts = shared.where(F.col("n") > crowd).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("first").alias("fid"))
-        small, stars = small.union(dealt).union(firsts), None
+        own = F.pmod(F.xxhash64("fid"), blocks).cast("int")
+        dealt = crowded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        pair = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
+        small, stars = small.union(dealt.select("key", pair.alias("block"), "fid")), None
     rows = small.join(fps, "fid").select("key", "block", "part", "fp").repartition("key", "block").sortWithinPartitions("key", "block")
     links = rows.mapInArrow(_list_links(scheme), "a long, b long")
     return (links if stars is None else links.union(stars)).distinct()

@@ -246,6 +246,18 @@ def test_a_family_below_the_similarity_stays(spark, rng):
     assert simhash.keep_one(df).count() == len(texts)
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
+def test_links_of_crowded_lists_at_many_bits(spark, rng, crowd):
+    # one list for all, which share their first byte; pairs near each other only
+    centres = [rng.getrandbits(56) for _ in range(30)]
+    fps = [c ^ (sum(1 << b for b in rng.sample(range(56), 2)) if k else 0) for c in centres for k in range(2)]
+    scheme = simhash.Scheme(3, (42,), ((0,),), 1, 4)
+    df = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "fid long, fp binary")
+    links = simhash.fingerprint_links(df, scheme, crowd)
+    got = {r.node: r.component for r in simhash.connected_components(links).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_simhash_at_the_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(with_clashes(edge, "fp", "fid", "fingerprint")).count() == len(EDGE)
