@@ -38,6 +38,10 @@ _ASIDE_NAME = re.compile(
     r"comments?|comment-\w+|disqus|replies|respond|search|widget|tags?|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Class names that say how a wrapper is laid out, not what it is.
+_LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.I)
+#: What a head may hold; anything else begins the body, as both tags of head may be left out.
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 _ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
@@ -89,11 +93,13 @@ class _Page(HTMLParser):
                 return True
             if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
                 return True
-            if value and (name == "role" and value.lower() in _ASIDE_ROLE or name in ("class", "id") and _ASIDE_NAME.search(value)):
+            if value and (name == "role" and value.lower() in _ASIDE_ROLE or name in ("class", "id") and _ASIDE_NAME.search(_LAYOUT_NAME.sub("", value))):
                 return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or tag not in _IN_HEAD and self._in_head():
+            self._close("head")
         if tag == "br":
             if self.line is not None:
                 self.line.parts.append(" ")
@@ -134,6 +140,9 @@ class _Page(HTMLParser):
             self.handle_starttag(tag, attrs)
             self.handle_endtag(tag)
 
+    def _in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def _close(self, tag: str, only_inline: bool = False) -> None:
         """Close the innermost ``tag`` and what is open inside it."""
         for i in range(len(self.open) - 1, -1, -1):
@@ -156,6 +165,8 @@ class _Page(HTMLParser):
         self._close(tag, only_inline=tag in INLINE)
 
     def handle_data(self, data: str) -> None:
+        if data.strip() and self._in_head():
+            self._close("head")
         if self.silent or (self.line is None and not data.strip()):
             return
         self._now().parts.append(data)

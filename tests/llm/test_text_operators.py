@@ -344,6 +344,18 @@ def test_license_rules(spark, edge, empty):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(edge).count() == len(EDGE)
 
 
+def test_html_of_open_heads_and_layout_classes():
+    article = "<p>" + "A long sentence of the article, with words. " * 8 + "</p>"
+    want = " ".join(("A long sentence of the article, with words. " * 8).split())
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><body>{article}",
+        f"<html><head><title>T</title>{article}",
+        f"<head><script>x</script></head><body><div class='page has-sidebar no-comments'>{article}</div></body>",
+    ):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text("<head><noscript><p>no</p></noscript><title>T</title></head>") == ""
+
+
 def test_license_scan_is_native(spark, edge):
     plan = license_scan.scan_licenses(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
