@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamcube.llm._bytes import BYTE_CODE, binary_of, joined, slices
-from loamcube.llm.suffix_dedup import remove_spans, row_key
+from loamcube.llm.suffix_dedup import remove_spans
 
 _SLICE = 1 << 20
 
@@ -136,7 +136,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     what one of them would); an empty table gives an empty one. Columns named ``cd_*`` are replaced, all
     others stay; ``cd_text`` is null unless ``want_text``.
     """
-    keyed = docs.withColumn("cd_rid", row_key(id_col, text_col))
+    keyed = docs.withColumn("cd_rid", F.xxhash64(F.col(id_col), F.col(text_col)))
     texts = keyed.where(F.octet_length(text_col) > 0).select(F.col("cd_rid").alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).alias("text"))
     chunks = texts.mapInArrow(_chunks(how), "rid long, id long, place long, size int, digest long")
     mine = F.struct("id", "rid", "place")

@@ -1,176 +1,183 @@
 """Suffix-array dedup: remove every byte that lies in a long string which also starts somewhere else.
 
 The suffix array is never needed whole: only which suffixes share their first ``length`` bytes with
-another. As in prefix doubling, positions get a rank, the class of the string of some length that starts
-there, Spark sorts positions by rank, positions with a rank of their own leave, and the others are ranked
-again by a longer string, until they are unique or past the threshold.
-
-Plain doubling sorts every byte position of the corpus in every round, some 40 times the input. Here the
-first round sorts a sample that cannot miss anything. In the text, every ``window`` consecutive positions
-have one position of least hash (of the 16 bytes there), their *anchor*; equal strings of ``length``
-bytes have their anchors at equal places. So:
-
-1. Each anchor stands for the run of positions whose window it heads. Its first rank is the class of the
-   ``length + 1 - window`` bytes from it, which all strings of the run contain. Unique: the run is done.
-2. Its second rank is the class of the whole run, from the first string's start to the last one's end.
-   Shared: the whole run repeats.
-3. Only where the anchors of a first rank differ in the second (at the ends of repeated passages), one run
-   of each class goes with its bytes to where the others of its first rank are, and each of its positions
-   is ranked by its own ``length`` bytes.
-
-Rank names are 64-bit hashes of content, so a rank at a greater offset needs no lookup of another
-position's rank.
+another. As in prefix doubling, positions get a rank, the class of the bytes at some offsets from them,
+Spark brings equal ranks together, positions with a rank of their own leave, and the others are ranked
+again over more bytes, until they are unique or past the threshold.
+
+Plain doubling sorts every byte position of the corpus in every round, some 40 times the input. Here
+positions are ranked in *runs*. In the text, every ``window`` consecutive positions have one position of
+least hash (of the 16 bytes there), their *anchor*; equal strings of ``length`` bytes have their anchors at
+equal places. The strings that start ``back`` bytes before an anchor, for ``back`` from x to y, all contain
+the ``length - (y - x)`` bytes from x before the anchor on: the run's *core*. So each round gives every run
+two ranks:
+
+* the class of its core. Unique: no string of the run repeats, and the run leaves;
+* the class of its *whole*, from the first string's start to the last one's end. Shared: all strings of the
+  run repeat.
+
+Where a core is shared and wholes differ (at the ends of repeated passages), one run of each class is cut
+into narrower ones (``_widths``: 137 starts, 18, 1), whose cores are longer (64 bytes, 183, 200), and is
+ranked again. A run of one start has core and whole of ``length`` bytes.
+
+Ranks are hashes of content, so a rank over more bytes needs no lookup of another position's rank. Those of
+wholes have 128 bits and name what is removed; those of cores have 64, and two that collide are merely
+ranked once more. Groups of one rank are only ever counted, with partial sums before the shuffle, and looked
+up by joins of which Spark can split a crowded side: none is brought to one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from loamcube.llm._bytes import binary_of, joined, mix, slices, sliding_argmin, window_hashes
+from loamcube.llm._bytes import binary_of, joined, slices, sliding_argmin, window_hashes
 from loamcube.llm._shared import materialize
 
 LENGTH = 200
 WINDOW = 137
-#: A first rank that is expected to hold more anchors than this is not brought together in one task.
-HOT = 100_000
-_STEER = 256
+#: A run is cut into so many parts, at most, from one round to the next.
+PARTS = 8
 _GRAM = 16
-_SLICE = 1 << 20
-#: A longer text is scanned in pieces of so many start positions, each with the bytes that follow.
-_PIECE = 4 << 20
-_RUN = T.StructType().add("lo", "long").add("more", "integer")
+#: Bytes that are scanned at once; a longer text is scanned in pieces, each with the bytes that follow.
+_SLICE = 1 << 18
+_RUN = "rid binary, lo long, more int, back int, many boolean, times int, reach long, rank1 long, rank2 binary"
+_ROWS = pa.schema([("rid", pa.binary()), ("lo", pa.int64()), ("more", pa.int32()), ("back", pa.int32()), ("many", pa.bool_()), ("times", pa.int32()), ("reach", pa.int64()), ("rank1", pa.int64()), ("rank2", pa.binary())])
+
+
+def _widths(window: int) -> list[int]:
+    """Starts in a run, round by round, down to one."""
+    out = [window]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // PARTS) if out[-1] > 2 * PARTS + PARTS // 2 else 1)
+    return out
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first position, bytes, offsets) with bounded bytes for each scan."""
-    if len(offsets) == 2 and len(data) > _PIECE + length:
-        for at in range(0, len(data) - length + 1, _PIECE):
-            part = data[at : at + _PIECE + length - 1]
+    if len(offsets) == 2 and len(data) > _SLICE + length:
+        for at in range(0, len(data) - length + 1, _SLICE):
+            part = data[at : at + _SLICE + length - 1]
             yield at, part, np.array([0, len(part)])
     else:
         yield 0, data, offsets
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, last start and anchor of each run; a run ends with its anchor's windows or its document."""
+    starts = max(0, len(data) - length + 1)
+    head = sliding_argmin(window_hashes(data, (_GRAM,))[_GRAM], window)[:starts] if starts else np.empty(0, np.int64)
+    # a start is good if its string ends inside its document
+    edges = offsets[1:-1]
+    good = np.ones(len(head) + 1, bool)
+    for a, b in zip(np.maximum(edges - length + 1, 0).tolist(), edges.tolist(), strict=True):
+        good[a:b] = False
+    good[-1] = False
+    new = np.ones(len(head), bool)
+    np.not_equal(head[1:], head[:-1], out=new[1:])
+    new[1:] |= ~good[:-2]
+    new[edges[edges < len(head)]] = True
+    lo = np.flatnonzero(new & good[:-1])
+    if not len(lo):
+        return lo, lo, lo
+    # a run stops before the next run or the first bad start
+    bad = np.flatnonzero(~good)
+    hi = np.minimum(np.append(lo[1:], len(head)), bad[np.searchsorted(bad, lo)]) - 1
+    return lo, hi, head[lo]
+
+
 def _anchors(length: int, window: int):
-    """Batches of (rid, text) to one row for each anchor: rid, first start and how many more, two ranks."""
+    """Batches of (rid, text) to the runs of each text, ranked.
+
+    Neighbouring runs of one whole, as periodic text has, are one row with its ``times``; the row's starts
+    reach from ``lo`` to ``reach``.
+    """
     core = length + 1 - window
+    whole_of, core_of = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, texts = batch.column(0).to_numpy(zero_copy_only=False), binary_of(batch.column(1))
-            for first, part in slices(texts, _SLICE):
+            for first, part in slices(binary_of(batch.column(1)), _SLICE):
                 for at, data, offsets in _pieces(*joined(part), length):
-                    h = window_hashes(data, (_GRAM, core, length))
-                    if not len(h[length]):
-                        continue
-                    head = sliding_argmin(h[_GRAM], window)[: len(h[length])]
-                    # a start is good if its string ends inside its document; runs end at the edges
-                    edges = offsets[1:-1]
-                    good = np.ones(len(head) + 1, bool)
-                    for a, b in zip(np.maximum(edges - length + 1, 0).tolist(), edges.tolist(), strict=True):
-                        good[a:b] = False
-                    good[-1] = False
-                    new = np.empty(len(head), bool)
-                    new[0] = True
-                    np.not_equal(head[1:], head[:-1], out=new[1:])
-                    new[1:] |= ~good[:-2]
-                    new[edges[edges < len(head)]] = True
-                    new &= good[:-1]
-                    lo = np.flatnonzero(new)
+                    lo, hi, head = _runs(data, offsets, length, window)
                     if not len(lo):
                         continue
-                    # a run stops before the next run or the first bad start
-                    bad = np.flatnonzero(~good)
-                    hi = np.minimum(np.append(lo[1:], len(head)), bad[np.searchsorted(bad, lo)]) - 1
+                    raw = data.tobytes()
+                    wholes = b"".join([whole_of(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)])
+                    cores = np.array([core_of(raw[a : a + core]) for a in head.tolist()], np.uint64)
                     doc = np.searchsorted(offsets, lo, side="right") - 1
-                    whole = mix(h[length][lo] * np.uint64(0x9E3779B97F4A7C15) + h[length][hi] + (hi - lo).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(rids[first + doc], pa.int64()),
-                            pa.array(lo - offsets[doc] + at, pa.int64()),
-                            pa.array(hi - lo, pa.int32()),
-                            pa.array(h[core][head[lo]].view(np.int64)),
-                            pa.array(whole.view(np.int64)),
-                        ],
-                        ["rid", "lo", "more", "rank1", "rank2"],
-                    )
+                    pair = np.frombuffer(wholes, np.uint64).reshape(-1, 2)
+                    new = np.append(True, (pair[1:] != pair[:-1]).any(axis=1) | (lo[1:] != hi[:-1] + 1) | (doc[1:] != doc[:-1]))
+                    keep = np.flatnonzero(new)
+                    last = np.append(keep[1:], len(lo)) - 1
+                    start = offsets[doc[keep]] - at
+                    columns = [
+                        batch.column(0).cast(pa.binary()).take(pa.array(first + doc[keep])),
+                        pa.array(lo[keep] - start),
+                        pa.array((hi - lo)[keep], pa.int32()),
+                        pa.array((head - lo)[keep], pa.int32()),
+                        pa.array(np.zeros(len(keep), bool)),
+                        pa.array(last - keep + 1, pa.int32()),
+                        pa.array(hi[last] - start),
+                        pa.array(cores[keep].view(np.int64)),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(lo), [None, pa.py_buffer(wholes)]).take(pa.array(keep)).cast(pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
 
     return scan
 
 
 def _contexts(length: int):
-    """Batches of (rid, packed text, unsure runs) to one row for each run, with its bytes."""
+    """Batches of (rid, packed text, asked runs) to one row for each run, with its bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("rank1", "rid", "lo", "many", "bytes")}
+            rows: dict[str, list] = {k: [] for k in ("rid", "lo", "more", "back", "many", "bytes")}
             for rid, z, runs in zip(*(batch.column(i) for i in range(3)), strict=True):
                 data = unpack(z.as_py())
                 for run in runs.as_py():
-                    rows["rank1"].append(run["rank1"])
+                    for k in ("lo", "more", "back", "many"):
+                        rows[k].append(run[k])
                     rows["rid"].append(rid.as_py())
-                    rows["lo"].append(run["lo"])
-                    rows["many"].append(run["many"])
                     rows["bytes"].append(data[run["lo"] : run["lo"] + run["more"] + length])
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("rank1", pa.int64()), ("rid", pa.int64()), ("lo", pa.int64()), ("many", pa.bool_()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([*(_ROWS.field(k) for k in ("rid", "lo", "more", "back", "many")), pa.field("bytes", pa.binary())]))
 
     return scan
 
 
-def _group_starts(length: int):
-    """Rows (rank1, rid, lo, many, bytes) sorted by rank1 to runs of starts that repeat inside their group."""
-
-    def runs_of(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        hashes = [window_hashes(np.frombuffer(x[4], np.uint8), (length,))[length] for x in group]
-        _, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        twice, done = n[at] > 1, 0
-        for (_, rid, lo, many, _), h in zip(group, hashes, strict=True):
-            own = twice[done : done + len(h)]
-            done += len(h)
-            if not many and own.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-                for a, b in edge.reshape(-1, 2).tolist():
-                    yield rid, lo + a, b - a - 1
+def _narrower(length: int, width: int):
+    """Rows (rid, lo, more, back, many, bytes) to the ranked runs of ``width`` starts that each is cut into.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        schema = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("more", pa.int32())])
-        out: list[tuple] = []
-        for _, group in itertools.groupby(rows(), key=lambda x: x[0]):
-            members = list(group)
-            if len(members) > 1 or not members[0][3]:
-                out += runs_of(members)
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return scan
-
-
-def _each_start(length: int):
-    """Rows (rank1, rid, lo, many, bytes) to one row for each start: the hash of its string."""
+    ``base`` is the start of the run that was cut. Cuts stand at multiples of ``width`` before the anchor.
+    """
+    whole_of, core_of = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _ROWS.append(pa.field("base", pa.int64()))
         for batch in batches:
-            for rid, lo, many, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                h = window_hashes(np.frombuffer(data, np.uint8), (length,))[length]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), rid)), pa.array(np.arange(lo, lo + len(h))), pa.array(np.full(len(h), many))], ["rank", "rid", "lo", "many"])
+            out: list[tuple] = []
+            for rid, lo, more, back, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for cell in range((back - more) // width, back // width + 1):
+                    x, y = cell * width, (cell + 1) * width - 1
+                    # starts of the run at x to y before the anchor, and what all strings at x to y contain
+                    a, b = max(0, back - y), min(more, back - x)
+                    ends = max(0, back - x), back - y + length
+                    rank = core_of(data[ends[0] : ends[1]], cell)
+                    out.append((rid, lo + a, b - a, back - a, many, 1, lo + b, rank - (1 << 64) if rank >> 63 else rank, whole_of(data[a : b + length]), lo))
+                if len(out) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return scan
 
@@ -178,7 +185,7 @@ def _each_start(length: int):
 @F.arrow_udf(T.BinaryType())
 def _pack(text: pa.Array) -> pa.Array:
     press = zstandard.ZstdCompressor(level=1).compress
-    return pa.array([press(x) for x in binary_of(text).to_pylist()], pa.binary())
+    return pa.array([press(x.as_py()) for x in binary_of(text)], pa.binary())
 
 
 def _removal(length: int, want_text: bool):
@@ -192,8 +199,8 @@ def _removal(length: int, want_text: bool):
             lo = hi = np.empty(0, np.int64)
             for run in lists:
                 if run.is_valid and len(run):
-                    a, more = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in run.values.flatten())
-                    lo, hi = np.append(lo, a), np.append(hi, a + more + length)
+                    a, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in run.values.flatten())
+                    lo, hi = np.append(lo, a), np.append(hi, b + length)
             kept, removed, spans = remove_spans(unpack(z.as_py()), lo, hi)
             rows.append({"n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode("utf-8", "ignore") if want_text else None})
         return pa.array(rows, out)
@@ -214,65 +221,72 @@ def remove_spans(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, in
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Names a row; rows equal in both columns share it, and share their result."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """Names a row by 128 bits; rows equal in both columns share it, and share their result."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat_ws("\u0000", *parts).cast("binary")))
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def _round(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """One round of ranking: the runs whose starts all repeat (``rid``, ``lo``, ``reach``), and one run of each
+    whole that shares its core with other wholes, to be cut and ranked again.
+    """
+    some = F.xxhash64("rank2")
+    cores = rows.groupBy("rank1").agg(F.sum("times").alias("n"), F.min(some).alias("low"), F.max(some).alias("high"))
+    # stored, so that the joins have plain shuffles on both sides, of which Spark splits a crowded one
+    cores = materialize(cores.where("n > 1").select("rank1", (F.col("low") != F.col("high")).alias("mixed")), f"{tag}-cores")
+    alive = materialize(rows.join(cores, "rank1"), f"{tag}-alive")
+    mixed = alive.where("mixed")
+    own = [F.first(c).alias(c) for c in ("rid", "lo", "more", "back", *(c for c in rows.columns if c == "base"))]
+    wholes = mixed.groupBy("rank1", "rank2").agg((F.max("many") | (F.sum("times") > 1)).alias("many"), *own)
+    wholes = materialize(wholes, f"{tag}-wholes")
+    out = ("rid", "lo", "reach")
+    sure = alive.where("not mixed and not many").select(*out)
+    twice = wholes.where("many").select("rank1", "rank2")
+    return sure.union(mixed.where("not many").join(twice, ["rank1", "rank2"], "left_semi").select(*out)), wholes.drop("rank1", "rank2")
+
+
+def repeated_runs(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """``rid``, ``packed`` text and two lists of runs of repeated starts for each row of ``texts`` that has any.
 
-    ``texts`` has ``rid`` (long, a row's name) and ``text``.
+    ``texts`` has ``rid`` (binary, a row's name) and ``text``.
     """
     long = texts.where(F.octet_length("text") >= length)
-    ranked = "rid long, lo long, more int, rank1 long, rank2 long"
-    found = long.mapInArrow(_anchors(length, window), ranked)
-    # A look at a fraction of the rows only tells which ranks to bring together by which plan; both are exact.
-    some = long.where(F.pmod("rid", F.lit(_STEER)) == 0).mapInArrow(_anchors(length, window), ranked)
-    crowd = some.groupBy("rank1").count().where(F.col("count") * _STEER > hot).select("rank1")
-    crowded = [r[0] for r in crowd.orderBy(F.desc("rank1")).limit(10_000).collect()]
-    is_hot = F.col("rank1").isin(crowded) if crowded else F.lit(False)
-
-    whole, first = W.partitionBy("rank1", "rank2"), W.partitionBy("rank1")
-    rep = F.struct("rid", "lo")
-    cold = found.where(~is_hot).repartition("rank1") if crowded else found.repartition("rank1")
-    cold = cold.withColumns({"n2": F.count("*").over(whole), "rep": F.min(rep).over(whole)})
-    cold = cold.withColumns({"n1": F.count("*").over(first), "unsure": F.min("rank2").over(first) != F.max("rank2").over(first)})
-    alive = cold.where("n1 > 1").select("rid", "lo", "more", "rank1", (F.col("n2") > 1).alias("many"), (F.col("unsure") & (rep == F.col("rep"))).alias("ask"))
-    if crowded:
-        warm = found.where(is_hot)
-        classes = warm.groupBy("rank1", "rank2").agg(F.count("*").alias("n2"), F.min(rep).alias("rep"))
-        ranks = classes.groupBy("rank1").agg(F.count("*").alias("k"), F.sum("n2").alias("n1"))
-        classes = classes.join(ranks, "rank1").where("n1 > 1")
-        alive = alive.union(warm.join(classes, ["rank1", "rank2"]).select("rid", "lo", "more", "rank1", F.col("n2") > 1, (F.col("k") > 1) & (rep == F.col("rep"))))
-
-    asked = F.struct("lo", "more", "rank1", "many")
-    runs = alive.where("many or ask").groupBy("rid").agg(F.collect_set(F.when(F.col("many"), F.struct("lo", "more"))).alias("sure"), F.collect_set(F.when(F.col("ask"), asked)).alias("ask"))
-    packed = long.select("rid", _pack("text").alias("packed"))
-    work = materialize(packed.join(runs, "rid").dropDuplicates(["rid"]), "repeats")
-    seen = work.where(F.size("ask") > 0).select("rid", "packed", "ask").mapInArrow(_contexts(length), "rank1 long, rid long, lo long, many boolean, bytes binary")
-    met = (seen.where(~is_hot) if crowded else seen).repartition("rank1").sortWithinPartitions("rank1")
-    more = met.mapInArrow(_group_starts(length), "rid long, lo long, more int")
-    if crowded:
-        starts = seen.where(is_hot).mapInArrow(_each_start(length), "rank long, rid long, lo long, many boolean")
-        twice = starts.groupBy("rank").count().where("count > 1").select("rank")
-        more = more.union(starts.where("not many").join(twice, "rank").select("rid", "lo", F.lit(0)))
-    more = more.groupBy("rid").agg(F.collect_set(F.struct("lo", "more")).alias("found"))
-    return work.join(more, "rid", "left").select("rid", "packed", "sure", "found").where("size(sure) > 0 or found is not null")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, hot: int = HOT, want_text: bool = True) -> DataFrame:
+    rows = materialize(long.mapInArrow(_anchors(length, window), _RUN), "runs")
+    sure, asked = _round(rows, "first")
+    # the texts of all runs that repeat or are to be cut are packed and brought to them once
+    no_run, run = F.lit(None).cast("struct<lo:bigint,reach:bigint>"), F.struct("lo", "reach")
+    ask = F.struct("lo", "more", "back", "many")
+    each = sure.select("rid", run.alias("run"), F.lit(None).cast("struct<lo:bigint,more:int,back:int,many:boolean>").alias("ask")).union(asked.select("rid", no_run.alias("run"), ask.alias("ask")))
+    each = each.groupBy("rid").agg(F.collect_set("run").alias("sure"), F.collect_set("ask").alias("ask"))
+    work = materialize(long.select("rid", _pack("text").alias("packed")).join(each, "rid").dropDuplicates(["rid"]), "repeats")
+    held = materialize(work.where(F.size("ask") > 0).select("rid", "packed", "ask").mapInArrow(_contexts(length), "rid binary, lo long, more int, back int, many boolean, bytes binary"), "asked")
+    found = None
+    for width in _widths(window)[1:]:
+        rows = materialize(held.mapInArrow(_narrower(length, width), f"{_RUN}, base long"), "runs")
+        more, asked = _round(rows, f"width{width}")
+        found = more if found is None else found.union(more)
+        if width > 1:
+            base = held.select("rid", F.col("lo").alias("base"), "bytes")
+            own = F.expr(f"substring(bytes, int(lo - base) + 1, more + {length})")
+            held = materialize(asked.join(base, ["rid", "base"]).select("rid", "lo", "more", "back", "many", own.alias("bytes")), "asked")
+    found = found.groupBy("rid").agg(F.collect_set(F.struct("lo", "reach")).alias("found"))
+    return work.join(found, "rid", "left").select("rid", "packed", "sure", "found").where("size(sure) > 0 or found is not null")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, want_text: bool = True) -> DataFrame:
     """``docs`` with ``sd_n_bytes``, ``sd_n_removed``, ``sd_n_spans``, ``sd_kept_sha256`` and ``sd_text``.
 
     A byte goes if a string of ``length`` bytes over it also starts at any other place of any row, the
     same row included (overlaps count). ``sd_text`` is the text without those bytes (what is left of a
     character that was cut apart goes with it), or null unless ``want_text``. A null text is empty, a text
-    under ``length`` bytes neither loses nor causes anything, equal rows are each other's copies, an empty
-    table gives an empty one; all columns of ``docs`` are kept (those named ``sd_*`` are replaced).
+    under ``length`` bytes neither loses nor causes anything, very long texts are scanned in slices, equal rows are
+    each other's copies, an empty table gives an empty one; all columns of ``docs`` are kept (those named
+    ``sd_*`` are replaced).
     """
     if not 1 < window < length - _GRAM:
         raise ValueError(f"window must lie between 1 and length - {_GRAM}")
     keyed = docs.withColumn("sd_rid", row_key(id_col, text_col))
-    runs = repeated_runs(keyed.select(F.col("sd_rid").alias("rid"), F.col(text_col).alias("text")), length, window, hot)
+    runs = repeated_runs(keyed.select(F.col("sd_rid").alias("rid"), F.col(text_col).alias("text")), length, window)
     cut = runs.select(F.col("rid").alias("sd_rid"), _removal(length, want_text)("packed", "sure", "found").alias("sd"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = keyed.withColumns({"sd_n_bytes": F.octet_length(text).cast("long"), "sd_kept_sha256": F.sha2(text.cast("binary"), 256)})

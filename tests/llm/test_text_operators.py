@@ -62,14 +62,44 @@ def passages(rng, length):
     return docs + [(60, "a" * 700), (61, None), (62, ""), (63, "ab" * 150), (64, docs[3][1]), (None, docs[5][1]), (7, docs[7][1]), (8, "other")]
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, -1, 200])
-@pytest.mark.parametrize(("length", "window"), [(200, 137), (50, 20)])
-def test_repeats_against_brute_force(spark, rng, hot, length, window):
+def repeats_of(spark, docs, parts=3, **options):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    out = suffix_dedup.remove_repeats(df, want_text=False, **options)
+    return sorted((tuple(r) for r in out.select("doc_id", "sd_n_bytes", "sd_n_removed", "sd_n_spans", "sd_kept_sha256").collect()), key=str)
+
+
+@pytest.mark.parametrize(("length", "window"), [(200, 137), (50, 20), (60, 40)])
+def test_repeats_against_brute_force(spark, rng, length, window):
     docs = passages(rng, length)
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    out = suffix_dedup.remove_repeats(df, length=length, window=window, hot=hot, want_text=False)
-    got = sorted((tuple(r) for r in out.select("doc_id", "sd_n_bytes", "sd_n_removed", "sd_n_spans", "sd_kept_sha256").collect()), key=str)
-    assert got == brute_repeats(docs, length)
+    assert repeats_of(spark, docs, length=length, window=window) == brute_repeats(docs, length)
+
+
+def test_repeats_of_a_passage_in_many_contexts(spark, rng):
+    # one core for all, of some 100 bytes, and passages around it that some share
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    middle, left, right = say(100), [say(80) for _ in range(6)], [say(80) for _ in range(6)]
+    docs = [(i, say(rng.randint(0, 90)) + rng.choice(left)[rng.randint(0, 70) :] + middle + rng.choice(right)[: rng.randint(5, 80)] + say(rng.randint(0, 90))) for i in range(300)]
+    docs += [(1000, "a line of text that stands here again and again\n" * 90), (1001, "word " * 900), (1002, "xyz" * 70), (1003, "a line of text that stands")]
+    assert repeats_of(spark, docs) == brute_repeats(docs, 200)
+
+
+def test_repeats_of_very_long_texts(spark, rng, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 1000)
+    docs = [(i, "".join(rng.choice("abcdefghij ") for _ in range(2500))) for i in range(4)]
+    docs += [(10, docs[0][1][300:2100] + docs[1][1] + docs[0][1]), (11, "b" * 4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").toPandas()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"rid": [str(i).encode() for i in df.doc_id], "text": df.text.tolist()})
+    rows = [r for b in suffix_dedup._anchors(200, 137)(iter([batch])) for r in b.to_pylist()]
+    # runs in slices cover each start of each text once
+    for d, t in docs:
+        starts = sorted(s for r in rows if r["rid"] == str(d).encode() for s in range(r["lo"], r["reach"] + 1))
+        assert starts == list(range(len(t) - 199))
+    assert sum(r["rid"] == b"11" for r in rows) < 40
+    million = [(1, "a" * 1_000_000), (2, "a" * 150), (3, "ab" * 300_000 + "c" * 250)]
+    got = {r[0]: r[2:4] for r in repeats_of(spark, million)}
+    assert got == {1: (1_000_000, 1), 2: (0, 0), 3: (600_250, 1)}
 
 
 def test_repeats_at_the_edges(spark, edge, empty):
