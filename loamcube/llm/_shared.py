@@ -33,32 +33,54 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: With fewer edges than this, all edges of a node fit one task.
+FEW_EDGES = 1_000_000
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges`` has two long columns ``a`` and ``b``. Returns ``node``, ``component`` for each node that
     has an edge to another; the component is its smallest node. Alternates the large-star and small-star
-    steps until the edges form stars; every round is a few joins and grouped minima on the edge list.
+    steps until the edges form stars; every round is a few joins and grouped minima on the edge list. With more than
+    ``few`` edges the minima are stored before they are joined: then both sides of a join are plain shuffles,
+    of which Spark splits the crowded one of a node with very many edges.
     """
-    spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(now, "edges")
-    seen = None
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now, seen = materialize(edges, "edges"), None
     for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = materialize(small.where("u <> v").distinct(), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        seen = mark
+        seen, stored = mark, [now]
+
+        def least_of(rows: DataFrame, least, many: bool = mark[0] > few, stored: list = stored) -> DataFrame:
+            out = rows.groupBy("u").agg(least.alias("m"))
+            if many:
+                stored.append(out := materialize(out, "minima"))
+            return out
+
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(least_of(both, F.least(F.min("v"), F.col("u"))), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        if mark[0] > few:
+            stored.append(large := materialize(large, "large-star"))
+        small = large.join(least_of(large, F.min("v")), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        now = materialize(small.where("u <> v").distinct(), "edges")
+        for old in stored:
+            discard(old)
     raise RuntimeError("components did not settle")

@@ -208,13 +208,15 @@ def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR,
     stars = materialize(verified(met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))), "stars")
     found = materialize(connected_components(stars), "groups")
     parted = met.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
-    # lists of one group have nothing left to find
-    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    # lists of one group have nothing left to find; in others, what isn't in the first set's group meets all
+    own = F.max(F.when(F.col("cid") == F.col("first"), F.col("part"))).alias("own")
+    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), own).where("low < high").select("key", "own")
     parted = parted.where("cid <> first").join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
-    left = parted.select("key", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), F.col("cid").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("s"))
-    right = parted.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("t"))
-    alike = (F.least("s", "t") * under >= F.greatest("s", "t") * over) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
-    return verified(left.join(right, ["key", "block"]).where(alike).select("a", "b")).union(stars)
+    left = parted.where("part <> own").select("key", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), F.col("cid").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("s"))
+    right = parted.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("y"), F.col("part").alias("part_y"), F.col("size").alias("t"))
+    alike = (F.least("s", "t") * under >= F.greatest("s", "t") * over) & (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("own")) | (F.col("x") < F.col("y")))
+    pairs = left.join(right, ["key", "block"]).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return verified(pairs).union(stars)
 
 
 def _postings(scheme: Scheme):
@@ -363,33 +365,37 @@ def _links(fps: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd: int) -> DataFrame:
-    """``id``, ``row`` (hash of id and text), ``component_id`` and, for a scheme of bits, ``fp`` of each row."""
-    if scheme.similarity:
-        return _grouped_by_shingles(docs, id_col, text_col, scheme, crowd)
-    named = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint(text_col, scheme).alias("fp")), "fingerprints")
-    # a class is named by its smallest id; one without any id, by a negative name of its own
-    classes = named.groupBy("fp").agg(F.min("id").alias("least"))
-    classes = classes.withColumn("fid", F.coalesce(F.col("least"), -1 - F.abs(F.xxhash64("fp") % F.lit(1 << 62))))
-    classes = materialize(classes, "classes")
-    parts = connected_components(fingerprint_links(classes, scheme, crowd))
-    grouped = classes.join(parts.withColumnRenamed("node", "fid"), "fid", "left").withColumn("part", F.coalesce("component", "fid"))
-    # names below zero only stand for missing ids
-    named_part = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
-    grouped = grouped.join(named_part, "part").select("fp", "component_id")
-    return named.join(grouped, "fp")
-
-
-def _grouped_by_shingles(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd: int) -> DataFrame:
-    """``id``, ``row``, ``component_id`` of each row; rows of equal shingle sets are one class."""
+    """``id``, ``row`` (hash of id and text), ``least`` and, for a scheme of bits, ``fp`` of each row.
+
+    ``least`` is the first row of its group: whether it has no id, its id, its hash. Classes are named by their
+    content, never by an id, which several texts may share.
+    """
     row = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
-    named = docs.select(F.col(id_col).alias("id"), row, _sketch(text_col, scheme.words).alias("sketch"))
-    named = materialize(named.select("id", "row", "sketch.*"), "sketches")
-    classes = named.groupBy("cid").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("minima").alias("minima"))
-    classes = materialize(classes, "classes")
-    parts = connected_components(verified_links(classes, docs.select(row, F.col(text_col).alias("text")), scheme, crowd))
-    grouped = classes.select("cid", "least").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
-    named_part = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
-    return named.select("id", "row", "cid").join(grouped.join(named_part, "part").select("cid", "component_id"), "cid")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+    if scheme.similarity:
+        named = docs.select(F.col(id_col).alias("id"), row, _sketch(text_col, scheme.words).alias("sketch"))
+        named = materialize(named.select("id", "row", "sketch.*"), "sketches")
+        classes = named.groupBy(F.col("cid").alias("name")).agg(first, F.min("row").alias("row"), F.first("size").alias("size"), F.first("minima").alias("minima"))
+        classes = materialize(classes, "classes")
+        sets = classes.select(F.col("name").alias("cid"), "row", "size", "minima")
+        links = verified_links(sets, docs.select(row, F.col(text_col).alias("text")), scheme, crowd)
+        return _named_by_groups(named.withColumnRenamed("cid", "name").drop("size", "minima"), classes, links)
+    # eight bytes are their own name
+    name = F.conv(F.hex("fp"), 16, -10).cast("long") if len(scheme.seeds) == 1 else F.xxhash64("fp")
+    named = docs.select(F.col(id_col).alias("id"), row, fingerprint(text_col, scheme).alias("fp"))
+    named = materialize(named.withColumn("name", name), "fingerprints")
+    classes = materialize(named.groupBy("name").agg(first, F.first("fp").alias("fp")), "classes")
+    return _named_by_groups(named, classes, fingerprint_links(classes.select(F.col("name").alias("fid"), "fp"), scheme, crowd))
+
+
+def _named_by_groups(named: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` with the ``least`` of its class's group; a class without links is a group."""
+    parts = materialize(connected_components(links), "parts").withColumnRenamed("node", "name")
+    own = classes.select("name", "least")
+    # stored, so that Spark can split the join of a crowded group
+    leasts = materialize(parts.join(own, "name").groupBy("component").agg(F.min("least").alias("of_group")), "groups")
+    grouped = own.join(parts.join(leasts, "component").select("name", "of_group"), "name", "left")
+    return named.join(grouped.select("name", F.coalesce("of_group", "least").alias("least")), "name").drop("name")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:
@@ -402,18 +408,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = _grouped(docs, id_col, text_col, scheme, crowd)
     if scheme.similarity:
-        part = found.select("row", "component_id").distinct()
+        part = found.select("row", "least").distinct()
         named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), fingerprint(text_col, scheme).alias("fp"))
         found = named.join(part, "row")
-    return found.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("least.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = NEAR, crowd: int = CROWD) -> DataFrame:
-    """``docs`` without near copies: of each group the row of smallest id stays.
+    """``docs`` without near copies: of each group the row of smallest id stays (null last, then by a hash of the row).
 
-    A row of null id goes if its group has an id, and stays otherwise. Equal rows (same id, same text) count as
-    one row: both stay or both go. All columns are kept.
+    Equal rows (same id, same text) count as one row: both stay or both go. Texts that resemble nothing stay,
+    whatever other rows share their id. Null, empty and wordless texts are one group. All columns are kept.
     """
     found = _grouped(docs, id_col, text_col, scheme, crowd)
-    gone = found.where((F.col("id") != F.col("component_id")) | F.col("id").isNull() & F.col("component_id").isNotNull()).select(F.col("row").alias("sh_row")).distinct()
+    gone = found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias("sh_row")).distinct()
     return docs.withColumn("sh_row", F.xxhash64(F.col(id_col), F.col(text_col))).join(gone, "sh_row", "left_anti").drop("sh_row")

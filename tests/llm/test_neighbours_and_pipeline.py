@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force; the pipeline stage by stage."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -56,9 +57,10 @@ def test_copies_ties_and_bad_vectors(spark):
     assert [tuple(r) for r in hilbert_ann.nearest(few).orderBy("query_id").collect()] == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_components_of_a_chain_and_a_star(spark, few):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 

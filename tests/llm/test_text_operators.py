@@ -242,6 +242,17 @@ def test_near_copies_go_and_clean_texts_stay(spark, rng):
     assert [r.text for r in kept if r.doc_id is None] == ["alone " * 30]
 
 
+def test_one_id_on_several_texts(spark):
+    b, c = " ".join(f"b{i}" for i in range(100)), " ".join(f"c{i}" for i in range(100))
+    rows = [(3, b), (5, "nothing like it " + c[::-1]), (5, b + " tail"), (9, c), (None, c + " x"), (None, "no id"), (None, "no  id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in kept) == [(0, "no"), (3, "b0"), (5, "no"), (9, "c0")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scheme=simhash.NEAR).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 9), (3, 3), (5, 3), (5, 5), (9, 9)]
+    same = simhash.near_duplicates(spark.createDataFrame([(4, "a b c"), (4, "d e f"), (2, "d e f")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in same) == [(2, 2), (4, 2), (4, 4)]
+
+
 def planted_at(rng, similarity, name, length=300):
     """Two texts whose 5-word shingle sets have about ``similarity``, at least; and the similarity."""
     one = [f"{name}x{rng.randrange(10**6)}" for _ in range(length)]
