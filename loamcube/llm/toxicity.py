@@ -6,8 +6,13 @@ never sees a probability that its own label helped to make: earlier links give o
 fold by a model of the other folds), so that later links learn how far to trust them. The last link is the
 label itself, ``toxic``; it decides.
 
+Where labels only say toxic or not, the earlier categories are the modes in which texts are toxic: the toxic
+texts of the sample, clustered by the features that go with the label. They need no word lists and follow
+whatever languages the labels cover. A caller with word lists of their own passes ``categories``.
+
 Fitting takes a bounded sample of labelled rows (``MOST_TOXIC`` and ``MOST_OTHER``, those of least hash),
-weighted back to the shares of all labels. Scoring is one pass over whole texts without a shuffle.
+weighted back to the shares of all labels. Spark counts their features and picks the best; the driver gets at
+most ``FEATURES`` numbers of each sampled text. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamcube.llm._bytes import binary_of
+from loamcube.llm._shared import materialize
 from loamcube.llm.decontam import words_of
 
 #: Bounds of the labelled sample.
@@ -37,11 +43,8 @@ THRESHOLD = 0.5
 LEAST_TEXTS = 3
 _MOST_CACHED = 200_000
 _MOST_LOGIT = 9.0
-# Words that place a text labelled toxic in a category.
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum"),
-    "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
-}
+#: Categories before the last, where no word lists are given.
+MODES = 2
 
 
 def features_of(word: bytes) -> tuple[int, ...]:
@@ -101,7 +104,7 @@ class Presence:
         return Presence(number[self.row[ones]], self.column[ones], int(keep.sum()), self.n_columns, self.beside[keep])
 
 
-def _fit_link(x: Presence, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+def _fit_link(x: Presence, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 200, settled: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weighted L2 logistic regression by accelerated gradient steps, over columns of equal mean square."""
     share = float(np.clip((weight * y).sum() / weight.sum(), 1e-4, 1 - 1e-4))
     w, b = np.zeros(x.n_columns + x.beside.shape[1]), float(np.log(share / (1 - share)))
@@ -120,54 +123,84 @@ def _fit_link(x: Presence, y: np.ndarray, weight: np.ndarray, penalty: float = 1
     for _ in range(rounds):
         g = weight * (1 / (1 + np.exp(-np.clip(x.times(scale * pw) + pb, -40, 40))) - y)
         nw, nb = pw - step * (scale * x.transposed_times(g) + penalty * pw), pb - step * float(g.sum())
+        moved = float(np.abs(nw - w).max(initial=0)) + abs(nb - b)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         pw, pb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
+        if moved < settled:
+            break
     return scale * w, b
 
 
-def fit_chain(x: Presence, labels: dict[str, np.ndarray], weight: np.ndarray, folds: np.ndarray) -> list[Link]:
-    """Links for ``labels`` in order; ``folds`` numbers the fold of each row."""
+def fit_chain(x: Presence, labels: dict[str, np.ndarray], weight: np.ndarray, folds: np.ndarray, **steps) -> list[Link]:
+    """Links for ``labels`` in order; ``folds`` numbers the fold of each row, ``steps`` are those of ``_fit_link``."""
     links: list[Link] = []
     for name, y in labels.items():
         y = y.astype(float)
-        w, b = _fit_link(x, y, weight)
+        w, b = _fit_link(x, y, weight, **steps)
         links.append(Link(name, w[: x.n_columns], w[x.n_columns :], b))
         if len(links) < len(labels):
             held_out = np.zeros(len(y))
             for f in np.unique(folds):
                 own = folds == f
-                fw, fb = (w, b) if own.all() else _fit_link(x.where(~own), y[~own], weight[~own])
+                fw, fb = (w, b) if own.all() else _fit_link(x.where(~own), y[~own], weight[~own], **steps)
                 held_out[own] = x.where(own).times(fw) + fb
             x = x.with_column(np.clip(held_out, -_MOST_LOGIT, _MOST_LOGIT))
     return links
 
 
+def modes_of(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Number of the cluster of each text (texts by features): spherical k-means from texts far apart, larger clusters first."""
+    x = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
+    centres = [x.mean(axis=0)]
+    while len(centres) <= k:
+        near = np.max(x @ np.array(centres[1:] or centres[:1]).T, axis=1)
+        centres.append(x[int(np.argmin(near))])
+    centre, at = np.array(centres[1:]), np.zeros(len(x), int)
+    for _ in range(rounds):
+        at = np.argmax(x @ centre.T, axis=1)
+        sums = np.array([x[at == c].sum(axis=0) for c in range(k)])
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centre = np.where(length > 0, sums / np.maximum(length, 1e-9), centre)
+    order = np.argsort(-np.bincount(at, minlength=k), kind="stable")
+    return np.argsort(order, kind="stable")[at]
+
+
 def _sample_rows(categories: dict[str, tuple[str, ...]]):
-    """(hash, toxic, weight, text) to (hash, toxic, weight, categories met as bits, features)."""
+    """(id, hash, toxic, weight, text) to (id, hash, toxic, weight, categories met as bits, features)."""
     sets = [{w.encode() for w in words} for words in categories.values()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, rows = [], []
-            for text in binary_of(batch.column(3)):
+            for text in binary_of(batch.column(4)):
                 words = set(words_of(text.as_py()))
                 bits.append(sum(1 << n for n, s in enumerate(sets) if words & s))
-                rows.append(np.unique(np.array([f for w in words for f in features_of(w)], np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bits, pa.int32()), pa.array(rows, pa.binary())], ["h", "toxic", "weight", "bits", "features"])
+                rows.append(np.unique(np.array([f for w in words for f in features_of(w)], np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(bits, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["id", "h", "toxic", "weight", "bits", "features"])
 
     return scan
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", categories: dict[str, tuple[str, ...]] | None = None, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER, n_features: int = FEATURES
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    categories: dict[str, tuple[str, ...]] | None = None,
+    modes: int = MODES,
+    most_toxic: int = MOST_TOXIC,
+    most_other: int = MOST_OTHER,
+    n_features: int = FEATURES,
 ) -> ToxicityChain:
     """Train the chain on labelled rows of ``docs``.
 
-    Labels of null id or value are left out; an id with several labels is toxic if one says so; without any
-    labelled text the chain is empty and calls nothing toxic.
+    ``categories`` are word lists; a toxic text with a word of one belongs to it. Without them the toxic texts'
+    own ``modes`` are the categories. Labels of null id or value are left out; an id with several labels is toxic if
+    one says so, one with several texts counts with the least of them by features; without any labelled text the chain is
+    empty and calls nothing toxic.
     """
-    categories = CATEGORIES if categories is None else categories
     each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     counts = {r.toxic: r.n for r in each.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     each = each.withColumn("h", F.xxhash64("id"))
@@ -177,32 +210,45 @@ def fit(
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most most_toxic + most_other rows are broadcast
-    rows = texts.join(F.broadcast(picked), "id").select("h", "toxic", "weight", "text")
-    got = rows.mapInArrow(_sample_rows(categories), "h long, toxic int, weight double, bits int, features binary").orderBy("h", "features").toArrow()
-    if not got.num_rows:
+    rows = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("string"), "h", "toxic", "weight", "text")
+    rows = rows.mapInArrow(_sample_rows(categories or {}), "id string, h long, toxic int, weight double, bits int, features array<int>")
+    rows = rows.groupBy("id", "h", "toxic", "weight").agg(F.min(F.struct("features", "bits")).alias("x")).select("id", "h", "toxic", "weight", "x.*")
+    rows = materialize(rows, "labelled")
+    total, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+    if not total:
         return ToxicityChain({}, [])
-    toxic, weight, bits, h = (got.column(c).to_numpy() for c in ("toxic", "weight", "bits", "h"))
-    packed = got.column("features").to_pylist()
-    del got
-    sizes = np.array([len(f) // 4 for f in packed])
-    at = np.frombuffer(b"".join(packed), np.uint32).astype(np.int32)
-    del packed
     # how surely presence goes with the label: signed root of chi squared, by counts
-    here = np.bincount(at, minlength=BUCKETS).astype(float)
-    with_label = np.bincount(at[np.repeat(toxic == 1, sizes)], minlength=BUCKETS)
-    share = toxic.mean()
-    score = np.abs(with_label - here * share) / np.sqrt(here * share * (1 - share) + 1e-9)
-    score[here < min(LEAST_TEXTS, max(1, len(sizes) // 20))] = -1
-    best = np.sort(np.argsort(-score, kind="stable")[:n_features])
-    best = best[score[best] >= 0]
-    column = np.full(BUCKETS, -1, np.int32)
-    column[best] = np.arange(len(best))
-    at = column[at]
-    x = Presence(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at >= 0], at[at >= 0], len(sizes), len(best), np.zeros((len(sizes), 0)))
-    chain = {name: (toxic == 1) & (bits >> n & 1 == 1) for n, name in enumerate(categories)}
+    share = n_toxic / total
+    here, expected = F.count("*"), F.count("*") * share
+    score = (F.sum("toxic") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
+    each = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(here.alias("n"), F.round(score, 9).alias("score"))
+    best = each.where(F.col("n") >= min(LEAST_TEXTS, max(1, total // 20))).orderBy(F.desc(F.abs("score")), "feature").limit(n_features).collect()
+    best.sort(key=lambda r: r.feature)
+    index = {r.feature: n for n, r in enumerate(best)}
+
+    @F.arrow_udf(T.ArrayType(T.ShortType()))
+    def chosen(column: pa.Array) -> pa.Array:
+        return pa.array([[index[f] for f in x if f in index] for x in column.to_pylist()], pa.list_(pa.int16()))
+
+    got = rows.select("id", "h", "toxic", "weight", "bits", chosen("features").alias("at")).orderBy("h", "id").toArrow()
+    toxic, weight, bits, h = (got.column(c).to_numpy() for c in ("toxic", "weight", "bits", "h"))
+    at = got.column("at").combine_chunks()
+    sizes = at.value_lengths().to_numpy(zero_copy_only=False)
+    x = Presence(np.repeat(np.arange(total, dtype=np.int32), sizes), at.flatten().to_numpy().astype(np.int32), total, len(best), np.zeros((total, 0)))
+    if categories:
+        chain = {name: (toxic == 1) & (bits >> n & 1 == 1) for n, name in enumerate(categories)}
+    else:
+        goes_with = np.array([r.score > 0 for r in best], bool)
+        chain = {f"mode{m + 1}": np.zeros(total, bool) for m in range(modes)}
+        if n_toxic:
+            own = x.where(toxic == 1)
+            held = np.zeros((own.n_rows, own.n_columns), np.float32)
+            held[own.row, own.column] = goes_with[own.column]
+            mode = modes_of(held, modes)
+            for m in range(modes):
+                chain[f"mode{m + 1}"][np.flatnonzero(toxic == 1)[mode == m]] = True
     chain["toxic"] = toxic == 1
-    folds = h.astype(np.int64) % FOLDS
-    return ToxicityChain({int(b): n for n, b in enumerate(best)}, fit_chain(x, chain, weight, folds))
+    return ToxicityChain(index, fit_chain(x, chain, weight, h.astype(np.int64) % FOLDS))
 
 
 def _scorer(shared):
@@ -243,8 +289,8 @@ def _scorer(shared):
 def score(docs: DataFrame, chain: ToxicityChain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the probability ``tx_<link>`` of each link and ``tx_is_toxic`` (that of the last link at ``threshold``).
 
-    A null or empty text has no words: its probabilities are the chain's without any. Equal texts score alike, an
-    empty table gives an empty one. Columns named ``tx_*`` are replaced, all others stay.
+    A null or empty text has no words: its probabilities are the chain's without any. Whole texts are scored, however long;
+    equal texts score alike, an empty table gives an empty one. Columns named ``tx_*`` are replaced, all others stay.
     """
     if not chain.links:
         return docs.withColumns({"tx_toxic": F.lit(0.0), "tx_is_toxic": F.lit(False)})

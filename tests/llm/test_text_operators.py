@@ -454,7 +454,7 @@ def test_chain_finds_held_out_toxic_texts(spark, rng):
     labels = [(i, int(i % 5 == 0)) for i in range(1000)] + [(None, 1), (3, None), (1, 0), (9999, 1)]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     chain = toxicity.fit(d, lab)
-    assert [link.name for link in chain.links] == ["insult", "contempt", "toxic"] and [len(link.earlier) for link in chain.links] == [0, 1, 2]
+    assert [link.name for link in chain.links] == ["mode1", "mode2", "toxic"] and [len(link.earlier) for link in chain.links] == [0, 1, 2]
     out = {r.doc_id: r for r in toxicity.score(with_clashes(d, "tx_toxic", "tx"), chain).collect()}
     wrong = [i for i in range(1000, 1500) if out[i].tx_is_toxic != (i % 5 == 0)]
     assert len(wrong) <= 5 and out[5002].tx_is_toxic and not out[5000].tx_is_toxic
@@ -463,6 +463,59 @@ def test_chain_finds_held_out_toxic_texts(spark, rng):
     assert kept == {i for i, r in out.items() if not r.tx_is_toxic}
 
 
+def plain_logistic(x, y, weight, penalty=1e-4):
+    """Newton steps on the dense problem, over columns of equal mean square."""
+    if y.min() == y.max():
+        share = np.clip((weight * y).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        return np.zeros(x.shape[1]), np.log(share / (1 - share))
+    weight = weight / weight.sum()
+    scale = 1 / np.sqrt(weight @ x**2 + 1e-4)
+    z, w = np.column_stack([x * scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    ridge = np.diag([penalty] * x.shape[1] + [0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(len(w)), z.T @ (weight * (p - y)) + ridge @ w)
+    return w[:-1] * scale, w[-1]
+
+
+def test_chain_against_a_plain_one(rng):
+    n, k = 240, 8
+    held = np.array([[rng.random() < 0.3 for _ in range(k)] for _ in range(n)], float)
+    noise = np.array([rng.random() for _ in range(n)])
+    labels = {"one": (held[:, 0] + noise > 1.1).astype(float), "two": (held[:, 1] * held[:, 2] + 0.6 * noise > 0.9).astype(float)}
+    labels["toxic"] = ((labels["one"] + labels["two"] + 0.3 * noise) > 0.8).astype(float)
+    weight, folds = np.array([1.0 + (i % 3) for i in range(n)]), np.arange(n) % 3
+    row, column = np.nonzero(held)
+    x = toxicity.Presence(row, column, n, k, np.zeros((n, 0)))
+    exact, usual = (toxicity.ToxicityChain({i: i for i in range(k)}, toxicity.fit_chain(x, labels, weight, folds, **steps)).probabilities(held) for steps in ({"rounds": 20_000, "settled": 1e-9}, {}))
+    # the same by dense models: out-of-fold logits in training, the links' own in scoring
+    train, at = held, held
+    for name, y in labels.items():
+        w, b = plain_logistic(train, y, weight)
+        logit = np.clip(at @ w + b, -9, 9)
+        link = list(labels).index(name)
+        assert np.abs(1 / (1 + np.exp(-logit)) - exact[:, link]).max() < 0.01
+        # as many steps as in use decide alike
+        assert ((logit >= 0) == (usual[:, link] >= 0.5)).mean() > 0.97
+        out = np.zeros(n)
+        for f in range(3):
+            fw, fb = plain_logistic(train[folds != f], y[folds != f], weight[folds != f])
+            out[folds == f] = train[folds == f] @ fw + fb
+        train, at = np.column_stack([train, np.clip(out, -9, 9)]), np.column_stack([at, logit])
+
+
+def test_modes_are_clusters_of_toxic_texts(spark, rng):
+    groups = np.repeat([0, 1, 1], 20)
+    rows = np.array([[float(c // 5 == g and rng.random() < 0.7) for c in range(10)] for g in groups])
+    rows[:, 0] += groups == 0
+    rows[:, 9] += groups == 1
+    assert toxicity.modes_of(rows, 2).tolist() == (1 - groups).tolist()
+    docs = spark.createDataFrame([(1, "good day"), (1, "bad idiot"), (2, "bad moron"), (3, "fine")] * 2, "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, lab, categories={"insult": ("idiot", "moron")})
+    assert [link.name for link in chain.links] == ["insult", "toxic"]
+
+
 def test_chain_without_labels(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.drop_toxic(edge, none).count() == len(EDGE)
