@@ -185,8 +185,9 @@ def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR,
     """Links ``a``, ``b`` that connect each group of shingle sets at ``scheme.similarity``.
 
     ``classes`` holds each set once (``cid``, ``size``, ``minima``, ``row``), ``texts`` its text by ``row``. Every
-    list's first set is compared with all others; after that only sets of different groups are compared.
-    A list of more than ``crowd`` sets is dealt into blocks, and every block is compared with the whole list.
+    list's first set is compared with all others. Sets of lists that are then in several groups are compared again
+    where they share one of their rarest shingles, and only with sets of other groups (``_prefix_pairs``).
+    There, a list of more than ``crowd`` sets is dealt into blocks, and every block is compared with the whole list.
     """
     over, under = scheme.similarity
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("minima", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
@@ -208,15 +209,37 @@ def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR,
     stars = materialize(verified(met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))), "stars")
     found = materialize(connected_components(stars), "groups")
     parted = met.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
-    # lists of one group have nothing left to find; in others, what isn't in the first set's group meets all
-    own = F.max(F.when(F.col("cid") == F.col("first"), F.col("part"))).alias("own")
-    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), own).where("low < high").select("key", "own")
-    parted = parted.where("cid <> first").join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
-    left = parted.where("part <> own").select("key", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), F.col("cid").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("s"))
-    right = parted.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("y"), F.col("part").alias("part_y"), F.col("size").alias("t"))
-    alike = (F.least("s", "t") * under >= F.greatest("s", "t") * over) & (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("own")) | (F.col("x") < F.col("y")))
-    pairs = left.join(right, ["key", "block"]).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return verified(pairs).union(stars)
+    # lists of one group have nothing left to find
+    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    open_sets = parted.join(mixed, "key").select("cid", "part", "size").distinct()
+    return verified(_prefix_pairs(open_sets.join(sets, "cid"), scheme, crowd)).union(stars)
+
+
+def _prefix_pairs(sets: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets (``cid``, ``part``, ``size``, ``shingles``) of different parts that may be similar enough.
+
+    Two sets of s and t shingles at similarity n / m share at least n (s + t) / (n + m) of them, hence n s / m. With the
+    shingles of every set in one order for all, the first that they share stands so far ahead in both that enough are
+    left behind it. Rare shingles come first, so texts of one template that differ in places of their own rarely meet.
+    """
+    over, under = scheme.similarity
+    tokens = sets.select("cid", F.explode("shingles").alias("token"))
+    # stored, so that Spark splits the join of a crowded shingle
+    common = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    ranked = tokens.join(common, "token", "left").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("ranked"))
+    ahead = F.expr(f"slice(ranked, 1, size(ranked) - cast(ceil(size(ranked) * {over} / {under}) as int) + 1)")
+    ranked = ranked.select("cid", F.posexplode(ahead).alias("at", "item")).where("item.n > 1").select("cid", F.col("item.token").alias("token"), "at")
+    posts = materialize(ranked.join(sets.select("cid", "part", "size"), "cid"), "prefixes")
+    own = F.min(F.struct("cid", "part")).alias("own")
+    lists = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), own).where("low < high")
+    lists = materialize(lists.select("token", F.ceil(F.col("n") / crowd).cast("int").alias("blocks"), F.col("own.part").alias("own")), "prefix-lists")
+    posts = posts.join(lists, "token")
+    # what is in the first set's part needs comparing with the others only
+    left = posts.where("part <> own").select("token", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), F.col("cid").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("s"), F.col("at").alias("i"))
+    right = posts.select("token", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("y"), F.col("part").alias("part_y"), F.col("size").alias("t"), F.col("at").alias("j"))
+    enough = F.least(F.col("s") - F.col("i"), F.col("t") - F.col("j")) * (over + under) >= (F.col("s") + F.col("t")) * over
+    apart = (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("own")) | (F.col("x") < F.col("y")))
+    return left.join(right, ["token", "block"]).where(enough & apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _postings(scheme: Scheme):
@@ -395,7 +418,8 @@ def _named_by_groups(named: DataFrame, classes: DataFrame, links: DataFrame) ->
     # stored, so that Spark can split the join of a crowded group
     leasts = materialize(parts.join(own, "name").groupBy("component").agg(F.min("least").alias("of_group")), "groups")
     grouped = own.join(parts.join(leasts, "component").select("name", "of_group"), "name", "left")
-    return named.join(grouped.select("name", F.coalesce("of_group", "least").alias("least")), "name").drop("name")
+    grouped = materialize(grouped.select("name", F.coalesce("of_group", "least").alias("least")), "grouped")
+    return named.join(grouped, "name").drop("name")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CONTRACT, crowd: int = CROWD) -> DataFrame:

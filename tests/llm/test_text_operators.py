@@ -277,6 +277,22 @@ def test_pairs_at_the_similarity_go(spark, rng, crowd):
     assert sorted(r.doc_id for r in kept) == [2 * i for i in range(60)]
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 2])
+def test_a_family_around_the_similarity_against_brute_force(spark, rng, crowd):
+    base = [f"t{i}" for i in range(150)]
+    texts = [" ".join(f"d{d}w{i}" if rng.random() < share else w for i, w in enumerate(base)) for d, share in enumerate(0.12 * rng.random() for _ in range(160))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    part = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if part[a] != part[b] and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                    part[a] = part[b] = min(part[a], part[b])
+    assert 20 < len(set(part)) < 140
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crowd=crowd).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(part))
+
+
 def test_a_family_below_the_similarity_stays(spark, rng):
     # any two share a template of four fifths of their words: similarity 0.65 or so
     template = [f"t{i}" for i in range(400)]
