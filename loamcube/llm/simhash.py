@@ -185,15 +185,19 @@ def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR,
     """Links ``a``, ``b`` that connect each group of shingle sets at ``scheme.similarity``.
 
     ``classes`` holds each set once (``cid``, ``size``, ``minima``, ``row``), ``texts`` its text by ``row``. Every
-    list's first set is compared with all others. Sets of lists that are then in several groups are compared again
+    list's set that meets most others is compared with all of the list. Sets of lists that are then in several groups are compared again
     where they share one of their rarest shingles, and only with sets of other groups (``_prefix_pairs``).
     There, a list of more than ``crowd`` sets is dealt into blocks, and every block is compared with the whole list.
     """
     over, under = scheme.similarity
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("minima", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     postings = classes.where("size > 0").select("cid", "size", F.explode(bands).alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("first")).where("n > 1")
+    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(postings.join(shared, "key"), "met")
+    # the set that meets most others is likely the one that the others of a list are copies of
+    meets = met.groupBy("cid").agg(F.sum("n").alias("meets"))
+    first = met.select("key", "cid").join(meets, "cid").groupBy("key").agg(F.max(F.struct("meets", "cid")).alias("first"))
+    met = materialize(met.drop("n").join(materialize(first.select("key", F.col("first.cid").alias("first")), "firsts"), "key"), "met")
     wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "row")
     sets = materialize(texts.join(wanted, "row").dropDuplicates(["cid"]).select("cid", _shingles("text", scheme.words).alias("shingles")), "sets")
     of_a, of_b = (classes.select(F.col("cid").alias(c), F.col("size").alias(f"size_{c}"), F.col("minima").alias(f"minima_{c}")) for c in "ab")
