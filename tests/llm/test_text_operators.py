@@ -456,6 +456,39 @@ def test_html_regions_and_entities(spark):
     assert got[2] == got[3] == ("", 0) and got[4] == ("just text", 9) and got[5] == ("deep", 4) and got[6][0].startswith("cut off in the")
 
 
+def test_the_threshold_finds_the_article():
+    # nothing but ratios tells the article from link lists
+    links = "".join(f"<div><a href=x>Link number {i}</a> <a href=y>more</a> <a href=z>and more of it</a></div>" for i in range(40))
+    article = "".join(f"<p>{f'Sentence {i} of the article, which has a good many words. ' * 6}</p>" for i in range(5))
+    page = f"<body><div>{links}</div><div>{article}</div><div>{links}</div></body>"
+    want = "\n".join((f"Sentence {i} of the article, which has a good many words. " * 6).strip() for i in range(5))
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(page, by_ratio=False) != want
+    # a menu in the article's own element
+    assert html_text.main_text(f"<body><div>{links}{article}</div></body>") == want
+
+
+@pytest.mark.parametrize("name", ["post tag-news", "post type-post category-legal", "entry social-science", "content related", "search-results article-body", "story side-by-side"])
+def test_names_alone_set_nothing_aside(name):
+    body = "".join(f"<p>{f'Sentence {i} of the article, which has a good many words. ' * 6}</p>" for i in range(3))
+    page = f"<body><nav><a>menu</a></nav><div class='{name}'>{body}<div class='comments'><p>short comment</p></div></div><footer>foot</footer></body>"
+    text = html_text.main_text(page)
+    assert text.count("Sentence") == 18 and "comment" not in text and "menu" not in text and "foot" not in text
+    assert html_text.main_text(f"<body><form>{body}</form></body>").count("Sentence") == 18
+    assert html_text.main_text(f"<body><div><noscript><p>no<svg></div>{body}</body>").count("Sentence") == 18
+    sections = f"<article><section>{body * 2}</section><section>{body}</section></article>"
+    assert html_text.main_text(f"<main>{sections}</main>").count("Sentence") == 54
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 100_000 + "deep", "<b>" * 50_000 + "bold" + "</i>" * 50_000, "<div class=ad>" * 50_000 + "word " * 50, "<p>line<ul><li>x" * 30_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000 + "x"):
+        assert html_text.main_text(page)
+    assert time.time() - began < 20
+
+
 def test_smoothing_and_threshold():
     flat = html_text.smoothed(np.full(9, 4.0))
     assert np.allclose(flat, 4) and html_text.threshold(np.array([1.0, 1, 9, 9])) == 5
