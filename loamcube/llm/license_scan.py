@@ -1,12 +1,14 @@
 """Licence scan by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences, each sentence normalised, and looked up among the sentences that licences
-and their notices consist of. What remains of a document is the sequence of the identifiers it holds, in
-order. Rules are sequences of identifiers; the longer ones claim their part of the sequence first, so that
-the clauses of a long licence don't also count as a shorter one that shares them.
+A text is normalised (a-z, 0-9, single spaces; marks where sentences and lines end) and its known sentences,
+those that licences and their notices consist of, are mapped to identifiers. A known sentence may be wrapped
+over lines, stand behind comment signs or a list number, and end a longer sentence; it must end where a
+sentence or a line does. What remains of a document is the sequence of the identifiers it holds, in order.
+Rules are sequences of identifiers; the longer ones claim their part of the sequence first, so that the
+clauses of a long licence don't also count as a shorter one that shares them.
 
 Documents without any of the few words that every known sentence holds one of are passed over before they
-are cut up; that test is part of the tables (see ``CLUES``) and loses nothing.
+are normalised; that test is part of the tables (see ``CLUES``) and loses nothing.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ SENTENCES: dict[str, str] = {
     "CC5": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "CC6": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "GP1": "this work is licensed under the gnu general public license version 3",
-    "GP2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "GP3": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "GP0": "this program is free software",
+    "GP2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "GP3": "this program is distributed in the hope that it will be useful but without any warranty",
+    "GPW": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "GP4": "see the gnu general public license for more details",
     "GP5": "licensed under the gnu general public license version 2",
     "IS1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
@@ -52,7 +56,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("AP2", "AP3", "AP4", "AP5")),
     ("BSD-3-Clause", ("BS1", "BS2", "BS3", "BS4")),
     ("BSD-2-Clause", ("BS1", "BS2", "BS3")),
-    ("GPL-3.0-or-later", ("GP2", "GP3", "GP4")),
+    ("GPL-3.0-or-later", ("GP0", "GP2", "GP3", "GPW", "GP4")),
     ("MIT", ("MI3", "MI4")),
     ("Apache-2.0", ("AP1",)),
     ("CC-BY-NC-4.0", ("CC1",)),
@@ -71,10 +75,25 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", ("RS1",)),
 )
 #: Every known sentence holds one of these.
-CLUES = ("license", "licensed", "reserved", "redistribut", "permission", "warrant", "domain")
+CLUES = ("license", "reserved", "redistribut", "permission", "warrant", "domain", "free software")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BREAK = "([.!?:;])[ \\t\\n\\r]+"
-_NOT_ALNUM = "[^a-z0-9]+"
+# Steps of normalisation, (pattern, replacement), after A-Z are lower-cased; then B ends a sentence, L a line.
+_STEPS = (
+    # the point of an abbreviated version ends nothing
+    ("([^a-z0-9]v)\\. *([0-9])", "\\1 \\2"),
+    # a list number begins anew
+    ("\\n[^a-z0-9\\n]*([0-9]{1,3}|[a-z])[.)][ \\t]+", "\n\n"),
+    # a point and white space, or a line without words
+    ("[.!?:;][\"')\\]]*[ \\t\\r\\n]+|[.!?:;]+$|\\n([^a-z0-9\\n]*\\n)+", " B "),
+    ("\\n", " L "),
+    ("[^a-z0-9BL]+", " "),
+)
+
+
+def _known_sentence() -> str:
+    """Pattern of any known sentence, longest first, words apart or on two lines."""
+    longest_first = sorted(SENTENCES.values(), key=lambda s: (-len(s), s))
+    return "(?:^| )(" + "|".join(s.replace(" ", "(?: L)? ") for s in longest_first) + ")(?: [BL]|$)"
 
 
 def ordered_rules() -> list[tuple[str, str]]:
@@ -85,20 +104,19 @@ def ordered_rules() -> list[tuple[str, str]]:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences in order, each between bars; empty if there are none."""
-    low = F.translate(text, _UPPER, _LOWER)
-    pieces = F.split(F.regexp_replace(low, _BREAK, "$1\n"), "\n")
+    out = F.translate(text, _UPPER, _LOWER)
+    for pattern, by in _STEPS:
+        out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
     known = F.create_map(*[F.lit(x) for pair in ((s, k) for k, s in SENTENCES.items()) for x in pair])
-    longest = max(map(len, SENTENCES.values()))
-    # what is far too long to be a known sentence isn't normalised
-    pieces = F.filter(pieces, lambda s: F.length(s).between(1, 4 * longest))
-    found = F.transform(pieces, lambda s: known[F.trim(F.regexp_replace(s, _NOT_ALNUM, " "))])
-    return F.concat_ws("", F.transform(F.filter(found, lambda k: k.isNotNull()), lambda k: F.concat(F.lit("|"), k, F.lit("|"))))
+    found = F.regexp_extract_all(F.trim(out), F.lit(_known_sentence()), F.lit(1))
+    return F.concat_ws("", F.transform(found, lambda s: F.concat(F.lit("|"), known[F.replace(s, F.lit(" L"), F.lit(""))], F.lit("|"))))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ls_ids`` (known sentences), ``ls_n_known``, ``ls_licenses`` (names, sorted, comma-joined).
 
-    A null or empty text holds nothing: an empty string, 0, an empty string. A licence found twice is
+    A null or empty text holds nothing: an empty string, 0, an empty string. Whole texts are read, however long their
+    sentences; equal rows get equal results, an empty table gives an empty one. A licence found twice is
     named once. Columns named ``ls_*`` are replaced, all others stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -120,14 +138,13 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def oracle_sql() -> str:
     """The same digest over ``documents`` for DuckDB."""
     known = "MAP {" + ", ".join(f"'{s}': '{k}'" for k, s in SENTENCES.items()) + "}"
-    longest = 4 * max(map(len, SENTENCES.values()))
     low = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
-    sql = f"""WITH t AS (SELECT doc_id, {low} AS low FROM documents),
-    p AS (SELECT doc_id, string_split(regexp_replace(low, '([.!?:;])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM t),
-    k AS (SELECT doc_id, list_transform(list_filter(parts, lambda s: length(s) BETWEEN 1 AND {longest}),
-                 lambda s: {known}[trim(regexp_replace(s, '{_NOT_ALNUM}', ' ', 'g'))]) AS ids FROM p),
-    r0 AS (SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(ids, lambda i: i IS NOT NULL), lambda i: '|' || i || '|'), ''), '') AS rest,
-                  coalesce(array_to_string(list_transform(list_filter(ids, lambda i: i IS NOT NULL), lambda i: '|' || i || '|'), ''), '') AS ids, CAST([] AS VARCHAR[]) AS found FROM k)"""
+    for pattern, by in _STEPS:
+        pattern, by = pattern.replace("'", "''"), by.replace("\n", "' || chr(10) || '")
+        low = f"regexp_replace({low}, '{pattern}', '{by}', 'g')"
+    sql = f"""WITH t AS (SELECT doc_id, trim({low}) AS low FROM documents),
+    k AS (SELECT doc_id, list_transform(regexp_extract_all(low, '{_known_sentence()}', 1), lambda s: '|' || {known}[replace(s, ' L', '')] || '|') AS ids FROM t),
+    r0 AS (SELECT doc_id, coalesce(array_to_string(ids, ''), '') AS rest, coalesce(array_to_string(ids, ''), '') AS ids, CAST([] AS VARCHAR[]) AS found FROM k)"""
     last = 0
     for n, (name, pattern) in enumerate(ordered_rules()):
         sql += f""",

@@ -401,6 +401,82 @@ def test_license_rules(spark, edge, empty):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(edge).count() == len(EDGE)
 
 
+LICENCES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND""",
+    "Apache-2.0": """Copyright 2020 Somebody
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-2-Clause,all-rights-reserved": """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "ISC": """Copyright (c) 2020 Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_licence_files_as_they_are_written(spark):
+    bsd2 = LICENCES["BSD-2-Clause,all-rights-reserved"]
+    files = {**LICENCES, "BSD-3-Clause,all-rights-reserved": bsd2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""}
+    ways = (lambda t: t, lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\ncode()", lambda t: "Words before.\n\n" + t.replace("\n", "\r\n") + "\nmore words")
+    rows = [(10 * i + k, way(t), name) for i, (name, t) in enumerate(files.items()) for k, way in enumerate(ways)]
+    rows += [(900, "Released under the" + " *" * 6000 + " MIT License.", "MIT"), (901, "a line\nReleased under the MIT License\nanother", "MIT"), (902, "we aren't licensed under the MIT license terms of old", ""), (903, "Our tool is released under the MIT license!", "MIT")]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.ls_licenses for r in license_scan.scan_licenses(df).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: r[3] for r in con.execute(license_scan.oracle_sql()).fetchall()} == got
+
+
 def test_html_of_open_heads_and_layout_classes():
     article = "<p>" + "A long sentence of the article, with words. " * 8 + "</p>"
     want = " ".join(("A long sentence of the article, with words. " * 8).split())
