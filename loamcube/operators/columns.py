@@ -13,8 +13,10 @@ from loamcube.schemas import PIXEL, Standardization
 
 def day_offset(df: DataFrame, date_col: str = "acquisition_date", origin: str | None = None, to: str = "doy") -> DataFrame:
     """Days since ``origin``, or since the site's first HR date."""
-    first = F.min(F.when(F.col("sensor") == "hr", F.col(date_col))).over(W.partitionBy("site"))
-    return df.withColumn(to, F.datediff(date_col, F.to_date(F.lit(origin)) if origin else first))
+    if origin:
+        return df.withColumn(to, F.datediff(date_col, F.to_date(F.lit(origin))))
+    first = df.where("sensor = 'hr'").groupBy("site").agg(F.min(date_col).alias("_first"))
+    return df.join(first, "site", "left").withColumn(to, F.datediff(date_col, "_first")).drop("_first")
 
 
 def select_bands(df: DataFrame, bands: list[str], keep: tuple[str, ...] = (*PIXEL, "doy", "masked")) -> DataFrame:

@@ -49,8 +49,10 @@ def clip_to_aoi(cells: DataFrame, aoi: DataFrame, most: int) -> DataFrame:
     out = cells.join(aoi.withColumnRenamed("name", "site"), "site")
     same = F.col("epsg") == F.col("crs")
     box = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    first = (F.dense_rank().over(W.partitionBy("site").orderBy("x")) <= most) & (F.dense_rank().over(W.partitionBy("site").orderBy(F.desc("y"))) <= most)
-    return out.withColumn("_first", first).where(F.when(same, box).otherwise(F.col("_first"))).select(*cells.columns)
+    # a site's few distinct rows and columns are ranked, not its cells
+    nth = lambda axis, order: cells.select("site", axis).distinct().select("site", axis, F.row_number().over(W.partitionBy("site").orderBy(order)).alias(f"_n{axis}"))
+    out = out.join(nth("x", F.col("x")), ["site", "x"]).join(nth("y", F.desc("y")), ["site", "y"])
+    return out.where(F.when(same, box).otherwise((F.col("_nx") <= most) & (F.col("_ny") <= most))).select(*cells.columns)
 
 
 def cloud_ceiling(catalogue: DataFrame, most: float = 75.0, start: str | None = None, end: str | None = None) -> DataFrame:

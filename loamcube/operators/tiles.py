@@ -1,8 +1,8 @@
 """Neighbourhood operators on square tiles in pixel rows (keys, ``r``, ``c``, a value).
 
-Linear ones are tables of weights, one for each axis or for both: a few thousand rows whatever the data, broadcast
-and joined; values are weighted sums. Local reductions are separable range windows. Tiles of production size
-go through ``dense`` instead, block by block as arrays.
+Linear ones are tables of weights, one for each axis: a row for each tap of each line of a tile, whatever the data,
+broadcast and joined; values are weighted sums. Local reductions are separable range windows. A user's own
+function of tiles goes through ``dense``, block by block as arrays.
 """
 
 from __future__ import annotations
@@ -37,16 +37,20 @@ def reflect(i: int, size: int) -> int:
     return i
 
 
-def convolution_weights(size: int, kernel: np.ndarray) -> dict[tuple[int, int, int, int], float]:
-    """(row out, column out, row in, column in) to weight, borders reflected."""
-    half = kernel.shape[0] // 2
-    out: dict[tuple[int, int, int, int], float] = {}
-    for r in range(size):
-        for c in range(size):
-            for dr in range(-half, half + 1):
-                for dc in range(-half, half + 1):
-                    key = (r, c, reflect(r + dr, size), reflect(c + dc, size))
-                    out[key] = out.get(key, 0.0) + float(kernel[half + dr, half + dc])
+def separated(kernel: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of column and row kernels whose products add up to ``kernel``; a Gaussian is one pair."""
+    u, s, v = np.linalg.svd(kernel)
+    return [(u[:, i] * s[i], v[i]) for i in range(len(s)) if s[i] > 1e-12 * s[0]]
+
+
+def convolution_weights(size: int, kernel: np.ndarray) -> dict[tuple[int, int], float]:
+    """(out, in) to weight of convolving one axis, borders reflected."""
+    half = len(kernel) // 2
+    out: dict[tuple[int, int], float] = {}
+    for o in range(size):
+        for d in range(-half, half + 1):
+            key = (o, reflect(o + d, size))
+            out[key] = out.get(key, 0.0) + float(kernel[half + d])
     return {k: w for k, w in out.items() if w != 0}
 
 
@@ -79,11 +83,22 @@ def _axis_table(spark: SparkSession, weights: dict[tuple[int, int], float], name
 
 
 def convolve(px: DataFrame, size: int, kernel: np.ndarray, keys: tuple[str, ...], value: str = "v", to: str = "v") -> DataFrame:
-    """Convolution of each tile; rows come back with ``r``, ``c`` and the new value alone."""
-    rows = [(*k, w) for k, w in convolution_weights(size, kernel).items()]
-    table = px.sparkSession.createDataFrame(rows, "ro int, co int, r int, c int, w double")
-    out = px.select(*keys, "r", "c", F.col(value).alias("_v")).join(F.broadcast(table), ["r", "c"])
-    return out.groupBy(*keys, "ro", "co").agg(F.sum(F.col("_v") * F.col("w")).alias(to)).withColumnsRenamed({"ro": "r", "co": "c"})
+    """Convolution of each tile; rows come back with ``r``, ``c`` and the new value alone.
+
+    One axis after the other, so the tables of weights have a row for each tap of each line, and a pixel meets
+    twice the taps of an axis instead of all taps of the kernel.
+    """
+    spark, parts = px.sparkSession, []
+    for down, along in separated(kernel):
+        out = px.select(*keys, "r", "c", F.col(value).alias("_v")).join(_axis_table(spark, convolution_weights(size, down), ("ro", "r", "w")), "r")
+        out = out.groupBy(*keys, "ro", "c").agg(F.sum(F.col("_v") * F.col("w")).alias("_v")).join(_axis_table(spark, convolution_weights(size, along), ("co", "c", "w")), "c")
+        parts.append(out.groupBy(*keys, "ro", "co").agg(F.sum(F.col("_v") * F.col("w")).alias(to)))
+    out = parts[0]
+    if len(parts) > 1:
+        for other in parts[1:]:
+            out = out.union(other)
+        out = out.groupBy(*keys, "ro", "co").agg(F.sum(to).alias(to))
+    return out.withColumnsRenamed({"ro": "r", "co": "c"})
 
 
 def high_pass(px: DataFrame, size: int, kernel: np.ndarray, keys: tuple[str, ...], value: str = "v", to: str = "v") -> DataFrame:
@@ -118,9 +133,9 @@ def resample(px: DataFrame, size: int, factor: float, keys: tuple[str, ...], val
     return out.join(m.select(*keys, F.col("ro").alias("r"), F.col("co").alias("c"), mask), [*keys, "r", "c"])
 
 
-def downsample_mtf(px: DataFrame, size: int, res: float, mtf_res: float, mtf: float, factor: float, keys: tuple[str, ...], value: str = "v") -> DataFrame:
-    """Blur by the sensor's transfer function, then resample."""
-    return resample(convolve(px, size, psf_kernel(res, mtf_res, mtf), keys, value, value), size, factor, keys, value)
+def downsample_mtf(px: DataFrame, size: int, res: float, mtf_res: float, mtf: float, factor: float, keys: tuple[str, ...], value: str = "v", half: int | None = None) -> DataFrame:
+    """Blur by the sensor's transfer function, its kernel of fixed half width if ``half`` is given, then resample."""
+    return resample(convolve(px, size, psf_kernel(res, mtf_res, mtf, half), keys, value, value), size, factor, keys, value)
 
 
 def _slide(px: DataFrame, keys: tuple[str, ...], flag: str, k: int, any_: bool, origin: int) -> DataFrame:

@@ -17,7 +17,7 @@ def training_table(index: DataFrame, obs: DataFrame, days: int = 365, least_date
         ok = joins.conjunctions(ok, "lr", "acquisition_date").unionByName(joins.conjunctions(ok, "hr", "acquisition_date"))
     kept = timeops.time_slices(columns.day_offset(obs.join(ok, [*SERIES, "acquisition_date"], "left_semi"), origin=origin), days)
     dense = timeops.dense_slices(kept, least_dates).select("site", "slice_idx")
-    return columns.joint_mask(kept.join(F.broadcast(dense), ["site", "slice_idx"], "left_semi"))
+    return columns.joint_mask(kept.join(dense, ["site", "slice_idx"], "left_semi"))
 
 
 def time_range(index: DataFrame, date_col: str = "acquisition_date") -> DataFrame:

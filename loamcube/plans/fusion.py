@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamcube.operators import joins, tiles, timeops
@@ -24,22 +25,36 @@ def stair(obs: DataFrame, band: str, keys: tuple[str, ...] = ("site", "px")) ->
 
     For each conjunction held out, the difference HR - LR at the others is interpolated to it and added to its
     LR value; HR there is gap-filled from the dates left. Rows of LR that are masked stay masked.
+
+    Holding a date out only changes what its neighbours are filled from, so each date carries its two nearest clear HR
+    dates to each side, and windows over a pixel's dates do the rest: rows don't multiply.
     """
     lr = obs.where("sensor = 'lr'").select(*keys, "doy", F.col(band).alias("lr"), F.col("masked").alias("lr_masked"))
-    hr = obs.where("sensor = 'hr'").select(*keys, "doy", band, "masked")
-    both = joins.conjunctions(obs, "lr").select(*keys, "doy").join(hr.select(*keys, "doy"), [*keys, "doy"])
-    held = both.withColumnRenamed("doy", "held_out")
-    left = hr.join(held, list(keys)).where("doy <> held_out")
-    others = both.join(held, list(keys)).where("doy <> held_out")
-    by = (*keys, "held_out")
-    filled = timeops.linear_gapfilling(left, others.select(*by, "doy"), [band], by)
-    clear_lr = lr.where("not lr_masked")
-    diff = filled.join(clear_lr, [*keys, "doy"]).where(F.col(band).isNotNull()).select(*by, "doy", (F.col(band) - F.col("lr")).alias("diff"), F.lit(False).alias("masked"))
-    at = held.withColumn("doy", F.col("held_out")).select(*by, "doy")
-    gap = timeops.linear_gapfilling(diff, at, ["diff"], by)
-    out = gap.join(lr, [*keys, "doy"])
-    ok = F.col("diff").isNotNull()
-    return out.select(*keys, "doy", F.when(ok, F.col("lr") + F.col("diff")).otherwise(0.0).alias("pred"), (F.col("lr_masked") | ~ok).alias("masked"))
+    hr = obs.where("sensor = 'hr'").select(*keys, "doy", F.col(band).alias("v"), (~F.col("masked")).alias("ok"))
+    w = W.partitionBy(*keys).orderBy("doy")
+    before, behind = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    out = hr.join(lr, [*keys, "doy"], "left")
+    date = F.when(F.col("ok"), F.struct("doy", "v"))
+    out = out.withColumns({"p1": F.last(date, True).over(before), "n1": F.first(date, True).over(behind)})
+    out = out.withColumns({"p2": F.last(F.when(F.col("ok"), F.struct(F.col("p1.doy").alias("doy"), F.col("p1.v").alias("v"))), True).over(before), "n2": F.first(F.when(F.col("ok"), F.struct(F.col("n1.doy").alias("doy"), F.col("n1.v").alias("v"))), True).over(behind)})
+    usable = F.when(~F.col("lr_masked"), F.struct("doy", "v", "ok", "lr", "p1", "p2", "n1", "n2"))
+    out = out.withColumns({"a": F.last(usable, True).over(before), "b": F.first(usable, True).over(behind)}).where("lr_masked is not null")
+
+    def filled(side: str, own: str, nearest: str) -> Column:
+        """HR - LR at the neighbour ``side``, with the row's own date left out of what HR is filled from."""
+        x = F.col(side)
+        held = x[nearest]["doy"] == F.col("doy")
+        near, far = F.when(held, x[f"{nearest[0]}2"]).otherwise(x[nearest]), x[own]
+        v = near["v"] + (far["v"] - near["v"]) * ((x["doy"] - near["doy"]) / (far["doy"] - near["doy"]))
+        hr_value = F.when(x["ok"], x["v"]).when(near["doy"].isNull(), far["v"]).when(far["doy"].isNull(), near["v"]).otherwise(v)
+        return hr_value - x["lr"]
+
+    out = out.withColumns({"da": filled("a", "p1", "n1"), "db": filled("b", "n1", "p1")})
+    between = F.col("da") + (F.col("db") - F.col("da")) * ((F.col("doy") - F.col("a.doy")) / (F.col("b.doy") - F.col("a.doy")))
+    diff = F.when(F.col("db").isNull(), F.col("da")).when(F.col("da").isNull(), F.col("db")).otherwise(between)
+    out = out.withColumn("diff", diff)
+    known = F.col("diff").isNotNull()
+    return out.select(*keys, "doy", F.when(known, F.col("lr") + F.col("diff")).otherwise(0.0).alias("pred"), (F.col("lr_masked") | ~known).alias("masked"))
 
 
 def extrapolate_previous(obs: DataFrame, band: str, most_masked: float = 1.0) -> DataFrame:
@@ -52,7 +67,7 @@ def extrapolate_previous(obs: DataFrame, band: str, most_masked: float = 1.0) ->
     pairs = joins.previous_clear(dates, lr.select("site", "doy").distinct(), [])
     hr = obs.where("sensor = 'hr'").select("site", "px", F.col("doy").alias("d"), F.col(band).alias("v"), F.col("masked").alias("m"))
     side = lambda n: hr.select("site", "px", F.col("d").alias(f"{n}_doy"), F.col("v").alias(f"{n}_v"), F.col("m").alias(f"{n}_m"))
-    out = lr.join(F.broadcast(pairs), ["site", "doy"]).join(side("first"), ["site", "px", "first_doy"], "left").join(side("second"), ["site", "px", "second_doy"], "left")
+    out = lr.join(pairs, ["site", "doy"]).join(side("first"), ["site", "px", "first_doy"], "left").join(side("second"), ["site", "px", "second_doy"], "left")
     slope = (F.col("second_v") - F.col("first_v")) / (F.col("second_doy") - F.col("first_doy"))
     pred = slope * (F.col("doy") - F.col("second_doy")) + F.col("second_v")
     bad = F.col("lr_masked") | F.coalesce("first_m", F.lit(True)) | F.coalesce("second_m", F.lit(True))
@@ -102,7 +117,7 @@ def pair_inputs(obs: DataFrame, bands: list[str]) -> DataFrame:
     near = joins.nearest_date(hr_dates, lr_dates, ("site",), allow_same_day=False).where("nearest_doy is not null")
     lr = obs.where("sensor = 'lr'").select("site", "px", "doy", *(F.col(b).alias(f"lr_{b}") for b in bands))
     hr = obs.where("sensor = 'hr'").select("site", "px", F.col("doy").alias("nearest_doy"), *(F.col(b).alias(f"hr_{b}") for b in bands))
-    return lr.join(F.broadcast(near), ["site", "doy"]).join(hr, ["site", "px", "nearest_doy"])
+    return lr.join(near, ["site", "doy"]).join(hr, ["site", "px", "nearest_doy"])
 
 
 def filled_calendar(obs: DataFrame, targets: DataFrame, bands: list[str], fill: float = 1.0) -> DataFrame:

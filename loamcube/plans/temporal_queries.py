@@ -608,16 +608,28 @@ def q_naive(spark, sf):
     return fusion.naive(fx.cube(spark, sf), ["b1"]).groupBy(*SERIES, "doy").agg(F.count("b1").alias("n"), F.avg("b1").alias("b1"))
 
 
-_STAIR = """l AS (SELECT site, px, doy, b1, masked FROM cube WHERE sensor = 'lr'), h AS (SELECT site, px, doy, b1, masked FROM cube WHERE sensor = 'hr'),
-    j AS (SELECT l.site, l.px, l.doy FROM l JOIN h USING (site, px, doy)), held AS (SELECT site, px, doy AS held_out FROM j),
-    k AS (SELECT h.site, h.px, held_out, h.doy, b1 FROM h JOIN held USING (site, px) WHERE h.doy <> held_out AND NOT masked),
-    o AS (SELECT j.site, j.px, held_out, j.doy FROM j JOIN held USING (site, px) WHERE j.doy <> held_out),
-    """ + gapfill_sql("f", "k", "o", "b1", "site px held_out") + """,
-    dd AS (SELECT f.site, f.px, f.held_out, f.doy, f.b1 - l.b1 AS diff FROM f JOIN l USING (site, px, doy) WHERE NOT l.masked AND f.b1 IS NOT NULL), a AS (SELECT site, px, held_out, held_out AS doy FROM held),
-    """ + gapfill_sql("g", "dd", "a", "diff", "site px held_out")
+_PIXEL_DATES = "OVER (PARTITION BY site, px ORDER BY doy ROWS BETWEEN"
+_BEFORE, _BEHIND = f"{_PIXEL_DATES} UNBOUNDED PRECEDING AND 1 PRECEDING)", f"{_PIXEL_DATES} 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 
 
-@query("q_stair", _STAIR + ", q AS (SELECT g.site, g.px, g.doy, CASE WHEN diff IS NOT NULL THEN l.b1 + diff ELSE 0 END AS pred, l.masked OR diff IS NULL AS masked FROM g JOIN l USING (site, px, doy))", "pred")
+def _stair_fill(side: str, far: str, near: str) -> str:
+    """HR - LR at a neighbouring conjunction, filled without the row's own date."""
+    n, f = f"CASE WHEN {side}.{near}1.d = doy THEN {side}.{near}2 ELSE {side}.{near}1 END", f"{side}.{far}1"
+    return f"""CASE WHEN {side}.ok THEN {side}.v WHEN ({n}).d IS NULL THEN {f}.v WHEN {f}.d IS NULL THEN ({n}).v
+        ELSE ({n}).v + ({f}.v - ({n}).v) * ({side}.d - ({n}).d) / ({f}.d - ({n}).d)::DOUBLE END - {side}.lr"""
+
+
+_STAIR = f"""l AS (SELECT site, px, doy, b1, masked FROM cube WHERE sensor = 'lr'), h AS (SELECT site, px, doy, b1 AS v, NOT masked AS ok FROM cube WHERE sensor = 'hr'),
+    x0 AS (SELECT h.*, l.b1 AS lr, l.masked AS lm FROM h LEFT JOIN l USING (site, px, doy)),
+    x1 AS (SELECT *, last_value(CASE WHEN ok THEN {{'d': doy, 'v': v}} END IGNORE NULLS) {_BEFORE} AS p1, first_value(CASE WHEN ok THEN {{'d': doy, 'v': v}} END IGNORE NULLS) {_BEHIND} AS n1 FROM x0),
+    x2 AS (SELECT *, last_value(CASE WHEN ok THEN {{'d': p1.d, 'v': p1.v}} END IGNORE NULLS) {_BEFORE} AS p2, first_value(CASE WHEN ok THEN {{'d': n1.d, 'v': n1.v}} END IGNORE NULLS) {_BEHIND} AS n2 FROM x1),
+    x3 AS (SELECT *, CASE WHEN NOT lm THEN {{'d': doy, 'v': v, 'ok': ok, 'lr': lr, 'p1': p1, 'p2': p2, 'n1': n1, 'n2': n2}} END AS u FROM x2),
+    x4 AS (SELECT *, last_value(u IGNORE NULLS) {_BEFORE} AS a, first_value(u IGNORE NULLS) {_BEHIND} AS b FROM x3),
+    x5 AS (SELECT *, {_stair_fill("a", "p", "n")} AS da, {_stair_fill("b", "n", "p")} AS db FROM x4 WHERE lm IS NOT NULL),
+    x6 AS (SELECT *, CASE WHEN db IS NULL THEN da WHEN da IS NULL THEN db ELSE da + (db - da) * (doy - a.d) / (b.d - a.d)::DOUBLE END AS diff FROM x5)"""
+
+
+@query("q_stair", _STAIR + ", q AS (SELECT site, px, doy, CASE WHEN diff IS NOT NULL THEN lr + diff ELSE 0 END AS pred, lm OR diff IS NULL AS masked FROM x6)", "pred")
 def q_stair(spark, sf):
     return fusion.stair(fx.cube(spark, sf), "b1")
 
