@@ -214,3 +214,13 @@ def q_site_checks(spark, sf):
 def q_thumbnail(spark, sf):
     """Half the size by bilinear resampling, which at this factor is the mean of four cells."""
     return tiles.resample(fx.tile_px(spark, sf), 8, 2, ("vec_id",), mode="bilinear")
+
+
+@query("q_sharpen_bands", """m AS (SELECT site, doy, avg(b3) AS mean FROM cube WHERE sensor = 'hr' GROUP BY ALL),
+    q AS (SELECT site, px, doy, mean AS b3, b1, b1 / 2 AS b2 FROM cube JOIN m USING (site, doy) WHERE sensor = 'hr')""", "b1 b2 b3:9")
+def q_sharpen_bands(spark, sf):
+    """A stand-in model: half the first fine band, and a site's mean of a coarse one."""
+    hr = fx.cube(spark, sf).where("sensor = 'hr'").drop("sensor")
+    coarse = hr.groupBy("site", "doy").agg(F.avg("b3").alias("b3")).join(hr.select("site", "px", "doy"), ["site", "doy"])
+    model = lambda fine, low: fine.join(low, ["site", "px", "doy"]).withColumn("b2", F.col("b1") / 2)
+    return fusion.sharpen_bands(hr, coarse.withColumn("b2", F.lit(0.0)), model, ["b1"], ["b2", "b3"], ["b3", "b1", "b2"], ("site", "px", "doy"))

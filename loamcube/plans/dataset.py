@@ -20,6 +20,19 @@ def training_table(index: DataFrame, obs: DataFrame, days: int = 365, least_date
     return columns.joint_mask(kept.join(dense, ["site", "slice_idx"], "left_semi"))
 
 
+def resample_at_read(px: DataFrame, size: int, stored: float, wanted: float, keys: tuple[str, ...], value: str = "v", mask: str = "masked", mtf: float = 0.4) -> DataFrame:
+    """Pixels stored at one resolution on the grid of another: bicubic to a finer one, as whole numbers; blurred by a
+    kernel of half width 3 to a coarser one. The mask by the nearest cell.
+    """
+    if stored == wanted:
+        return px
+    factor = wanted / stored
+    if factor < 1:
+        return tiles.resample(px, size, factor, keys, value, mask=mask).withColumn(value, F.col(value).cast("short"))
+    blurred = tiles.convolve(px, size, tiles.psf_kernel(stored, wanted, mtf, 3), keys, value, value).join(px.select(*keys, "r", "c", mask), [*keys, "r", "c"])
+    return tiles.resample(blurred, size, factor, keys, value, mask=mask)
+
+
 def time_range(index: DataFrame, date_col: str = "acquisition_date") -> DataFrame:
     return index.groupBy("site").agg(F.min(date_col).alias("first"), F.max(date_col).alias("last"), F.countDistinct(date_col).alias("n_dates"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,6 +127,17 @@ def filled_calendar(obs: DataFrame, targets: DataFrame, bands: list[str], fill:
     return joins.calendar_join(obs, dates, bands, fill)
 
 
+def sharpen_bands(fine: DataFrame, coarse: DataFrame, model: Callable[[DataFrame, DataFrame], DataFrame], fine_bands: list[str], coarse_bands: list[str], order: list[str], keys: tuple[str, ...], scale: float = 2000.0) -> DataFrame:
+    """Coarse bands on the fine grid by ``model``, beside the fine ones and in the given order.
+
+    The model gets both tables divided by ``scale`` and returns keys and ``coarse_bands`` on the fine grid.
+    """
+    scaled = lambda df, bands: df.select(*keys, *((F.col(b) / scale).alias(b) for b in bands))
+    sharp = model(scaled(fine, fine_bands), scaled(coarse, coarse_bands))
+    sharp = sharp.select(*keys, *((F.col(b) * scale).alias(b) for b in coarse_bands))
+    return fine.select(*keys, *fine_bands).join(sharp, list(keys)).select(*keys, *order)
+
+
 @dataclass(frozen=True)
 class Method:
     """A method's bands and the strategy it is scored with."""

@@ -388,14 +388,29 @@ def q_role_weights(spark, sf):
     return aggs.role_weights(fx.cube(spark, sf).select(*SERIES, "doy").distinct())
 
 
-@query("q_composite_score", _GAP_PRED + """, l AS (SELECT site, sensor, clear, avg(CASE WHEN abs(p - r) < 0.1 THEN 0.5 * (p - r) * (p - r) / 0.1 ELSE abs(p - r) - 0.05 END) AS loss FROM sc GROUP BY ALL),
+_FIT = """e AS (SELECT site, sensor FROM al GROUP BY ALL HAVING avg(masked::INT) <= 0.5), sc2 AS (SELECT * FROM sc WHERE (site, sensor) IN (SELECT (site, sensor) FROM e)),
+    m AS (SELECT site, sensor, count(*) AS n, avg(p) AS mp, avg(r) AS mr, sum(p * p) AS spp, sum(r * r) AS srr, sum(p * r) AS spr FROM sc2 GROUP BY ALL),
+    s AS (SELECT *, sqrt(spp / (n - 1) - mp * mp) AS dp, sqrt(srr / (n - 1) - mr * mr) AS dr FROM m),
+    t AS (SELECT *, ((spr - n * mr * mp) / (dr * dp)) / ((srr - n * mr * mr) / (dr * dr) + 1e-3) * dp / dr AS slope FROM s),
+    f AS (SELECT site, sensor, p - (slope * r + mp - slope * mr) AS d FROM sc2 JOIN t USING (site, sensor)),
+    fit AS (SELECT site, sensor, avg(CASE WHEN abs(d) < 0.1 THEN 0.5 * d * d / 0.1 ELSE abs(d) - 0.05 END) AS fit_loss FROM f GROUP BY ALL)"""
+_TRIPLET = _NEAR_PIXEL + """, x AS (SELECT j.site, j.sensor, abs(g.b1 - j.near_b1 + 1e-6) AS dp, least(abs(g.b1 - c.b1 + 1e-6), abs(j.near_b1 - c.b1 + 1e-6)) AS dn
+    FROM j JOIN g USING (site, px, sensor, doy) JOIN cube c USING (site, px, sensor, doy) WHERE j.n = 1 AND c.masked), tr AS (SELECT site, sensor, avg(greatest(0, dp - dn + 0.1)) AS triplet FROM x GROUP BY ALL)"""
+
+
+@query("q_composite_score", _GAP_PRED + ", " + _TRIPLET + ", " + _FIT + """, l AS (SELECT site, sensor, clear, avg(CASE WHEN abs(p - r) < 0.1 THEN 0.5 * (p - r) * (p - r) / 0.1 ELSE abs(p - r) - 0.05 END) AS loss FROM sc GROUP BY ALL),
     d AS (SELECT site, sensor, count(DISTINCT doy) AS n FROM cube GROUP BY ALL), wt AS (SELECT site, sensor, n / sum(n) OVER (PARTITION BY site) AS weight FROM d),
-    q AS (SELECT site, sum(weight * CASE WHEN clear THEN 1 ELSE 0.5 END * loss) AS score FROM l JOIN wt USING (site, sensor) GROUP BY site)""", "score")
+    q AS (SELECT site, sum(CASE WHEN clear THEN weight * loss ELSE weight * 0.5 * (loss + coalesce(triplet, 0)) + coalesce(fit_loss, 0) END) AS score
+          FROM l JOIN wt USING (site, sensor) LEFT JOIN tr USING (site, sensor) LEFT JOIN fit USING (site, sensor) GROUP BY site)""", "score")
 def q_composite_score(spark, sf):
+    """Reconstruction of all dates; cloud leak and regression fit count with the hidden ones."""
     c = fx.cube(spark, sf)
-    loss = aggs.per_band(gap_aligned(spark, sf), ["b1"], (*SERIES, "clear"), aggs.smooth_l1_score, "reconstruction")
-    parts = loss.join(aggs.role_weights(c.select(*SERIES, "doy").distinct()), list(SERIES)).withColumns({"triplet": F.lit(0.0), "fit": F.lit(0.0)})
-    return evaluation.composite_score(parts)
+    aligned = gap_aligned(spark, sf)
+    loss = aggs.per_band(aligned, ["b1"], (*SERIES, "clear"), aggs.smooth_l1_score, "reconstruction")
+    parts = loss.join(aggs.role_weights(c.select(*SERIES, "doy").distinct()), list(SERIES))
+    parts = parts.join(q_triplet(spark, sf), list(SERIES), "left").join(q_regression_fit(spark, sf).withColumnRenamed("fit_loss", "fit"), list(SERIES), "left")
+    hidden = lambda c: F.when(~F.col("clear"), F.col(c))
+    return evaluation.composite_score(parts.withColumns({"triplet": hidden("triplet"), "fit": hidden("fit")}))
 
 
 @query("q_ensemble_mean", _CLEAR + ",\n" + gapfill_sql("g", "k", "cube", "b1") + """, a AS (SELECT site, px, sensor, doy, b1 FROM g UNION ALL SELECT site, px, sensor, doy, b1 FROM cube),

@@ -57,12 +57,27 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.orderBy("doy").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def write_predictions(pred: DataFrame, path: str, bands: list[str], origin: str, scale: float = 10000.0) -> None:
-    """Predictions as shorts, by site, sensor, mode (``mae`` for hidden dates, ``clr`` for given ones) and date."""
-    out = pred.withColumns({**{b: export_value(F.col(b), scale) for b in bands}, "mode": F.when(F.col("clear"), "clr").otherwise("mae"), "acq_date": F.date_add(F.to_date(F.lit(origin)), F.col("doy"))})
+def write_predictions(pred: DataFrame, path: str, bands: list[str], origin: str, scale: float = 10000.0, reference: DataFrame | None = None, keys: tuple[str, ...] = ("site", "px", "sensor", "doy")) -> None:
+    """Predictions as shorts, by site, sensor, mode (``mae`` for hidden dates, ``clr`` for given ones) and date.
+
+    With a ``reference`` its values stand beside them as ``ref_<band>``, no-data where it is masked or missing.
+    """
+    out = pred
+    if reference is not None:
+        shown = [F.when(~F.col("masked"), F.col(b)).alias(f"ref_{b}") for b in bands]
+        out = out.join(reference.select(*keys, *shown), list(keys), "left")
+        out = out.withColumns({f"ref_{b}": export_value(F.col(f"ref_{b}"), scale) for b in bands})
+    out = out.withColumns({**{b: export_value(F.col(b), scale) for b in bands}, "mode": F.when(F.col("clear"), "clr").otherwise("mae"), "acq_date": F.date_add(F.to_date(F.lit(origin)), F.col("doy"))})
     out.write.mode("overwrite").partitionBy("site", "sensor", "mode", "acq_date").parquet(path)
 
 
+def write_samples(obs: DataFrame, path: str, bands: list[str], origin: str, rows: tuple[int, int], cols: tuple[int, int], scale: float = 1.0) -> None:
+    """Raw dates of one patch (half-open rows and columns) as shorts, by site, sensor and date; hidden pixels stay."""
+    inside = (F.col("r") >= rows[0]) & (F.col("r") < rows[1]) & (F.col("c") >= cols[0]) & (F.col("c") < cols[1])
+    out = obs.where(inside).withColumns({**{b: export_value(F.col(b), scale) for b in bands}, "acq_date": F.date_add(F.to_date(F.lit(origin)), F.col("doy"))})
+    out.select("site", "sensor", "acq_date", "r", "c", *bands).write.mode("overwrite").partitionBy("site", "sensor", "acq_date").parquet(path)
+
+
 def write_features(df: DataFrame, path: str, features: list[str]) -> None:
     df.withColumns({f: F.col(f).cast("float") for f in features}).write.mode("overwrite").partitionBy("site", "sensor").parquet(path)
 

@@ -225,6 +225,39 @@ def test_sources_round_trip(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_sinks_round_trip(spark, tmp_path):
+    rows = [(s, px, "hr", d, px // 4, px % 4, float(px + d) / 10, px == 3) for s in (1, 2) for px in range(16) for d in (0, 10)]
+    obs = spark.createDataFrame(rows, "site int, px int, sensor string, doy int, r int, c int, b1 double, masked boolean")
+    path = lambda n: str(tmp_path / n)
+    tables.write_observations(obs, path("obs"))
+    part = tables.read_observations(spark, path("obs"), ["b1"], sites=[2], sensor="hr", rows=(1, 3), cols=(0, 2))
+    assert part.count() == 8 and set(part.columns) == {"site", "sensor", "doy", "px", "r", "c", "masked", "b1"}
+    tables.write_samples(obs, path("raw"), ["b1"], "2022-01-01", (0, 2), (0, 2), 10.0)
+    raw = spark.read.parquet(path("raw"))
+    assert raw.count() == 16 and dict(raw.dtypes)["b1"] == "smallint" and {str(r.acq_date) for r in raw.collect()} == {"2022-01-01", "2022-01-11"}
+    pred = obs.withColumn("clear", F.col("doy") == 0).drop("masked")
+    tables.write_predictions(pred, path("pred"), ["b1"], "2022-01-01", 10.0, reference=obs)
+    got = spark.read.parquet(path("pred"))
+    assert got.where("mode = 'clr'").count() == 32 and {(r.px, r.ref_b1) for r in got.where("site = 1 and doy = 10 and px < 5").collect()} == {(0, 10), (1, 11), (2, 12), (3, -10000), (4, 14)}
+    tables.write_features(obs, path("features"), ["b1"])
+    assert dict(spark.read.parquet(path("features")).dtypes)["b1"] == "float"
+    metrics = obs.select("doy", F.col("b1").alias("value"))
+    tables.write_metrics(metrics, path("metrics"))
+    back = tables.read_metrics(spark, path("metrics"), "doy int, value double").collect()
+    assert len(back) == 64 and [r.doy for r in back] == sorted(r.doy for r in back)
+    index = spark.createDataFrame([("p", dt.date(2022, 1, 1), 0.5, "1", "hr")], "product_id string, acquisition_date date, clear_pixel_rate double, site string, sensor string")
+    tables.write_product_index(index, path("index"))
+    assert spark.read.csv(path("index"), sep="\t", header=True).first().product_id == "p"
+
+
+def test_resampling_at_read(spark):
+    px = spark.createDataFrame([(1, r, c, 100.0, r == 0) for r in range(8) for c in range(8)], "k int, r int, c int, v double, masked boolean")
+    assert dataset.resample_at_read(px, 8, 10, 10, ("k",)) is px
+    fine, coarse = dataset.resample_at_read(px, 8, 20, 10, ("k",)).collect(), dataset.resample_at_read(px, 8, 10, 20, ("k",)).collect()
+    assert len(fine) == 256 and {r.v for r in fine} == {100} and sum(r.masked for r in fine) == 32
+    assert len(coarse) == 16 and all(abs(r.v - 100) < 1e-9 for r in coarse) and sum(r.masked for r in coarse) == 4
+
+
 def test_ingest_marks_cloudy_products(spark):
     rows = [("s", "hr", dt.date(2022, 1, d), r, c, 4 if d == 1 else 9, 0.5) for d in (1, 2) for r in range(6) for c in range(6)]
     px = spark.createDataFrame(rows, "site string, sensor string, acquisition_date date, r int, c int, scl int, b1 double")
