@@ -6,6 +6,8 @@ substrings hash alike in any document and in any task.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,20 @@ import pyarrow as pa
 _WORD = 1 << 64
 
 
+def _give_back() -> None:
+    """Let a Python worker, which Spark keeps for later tasks, return freed batches to the system at once.
+
+    Arrow's own pool keeps them; the C library's keeps blocks below a threshold that it raises by itself.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        # the threshold, M_MMAP_THRESHOLD, stays where it is set
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)
+
+
+_give_back()
+
+
 def _mix_int(x: int) -> int:
     x = (x + 0x9E3779B97F4A7C15) % _WORD
     x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % _WORD

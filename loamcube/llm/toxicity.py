@@ -41,7 +41,7 @@ FOLDS = 3
 THRESHOLD = 0.5
 #: Least number of sampled texts that hold a feature.
 LEAST_TEXTS = 3
-_MOST_CACHED = 200_000
+_MOST_CACHED = 100_000
 _MOST_LOGIT = 9.0
 #: Categories before the last, where no word lists are given.
 MODES = 2
