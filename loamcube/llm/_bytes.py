@@ -24,7 +24,7 @@ def _give_back() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         # the threshold, M_MMAP_THRESHOLD, stays where it is set
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 21)
 
 
 _give_back()
