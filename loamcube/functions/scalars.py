@@ -71,6 +71,27 @@ def target_scale(band: Column, value: Column) -> Column:
     return F.when(band == "lst", value / 10).otherwise(value / 10000)
 
 
+def thermal_band(bands: list[str]) -> str | None:
+    """Name of the thermal band by its place: the eighth of eight or more, or the only one."""
+    return bands[7] if len(bands) >= 8 else bands[0] if len(bands) == 1 else None
+
+
+def target_values(bands: list[str]) -> dict[str, Column]:
+    """Stored values of ``bands`` to reflectance, the thermal one by its place to kelvin."""
+    thermal = thermal_band(bands)
+    return {b: target_scale(F.lit("lst" if b == thermal else "reflectance"), F.col(b)) for b in bands}
+
+
+def raw_thermal(value: Column) -> Column:
+    """The unscaled thermal band at ingest."""
+    return value / 1000
+
+
+def stored_to_celsius(value: Column) -> Column:
+    """Stored tenths of a kelvin."""
+    return kelvin_to_celsius(value / 10)
+
+
 def kelvin_to_celsius(kelvin: Column) -> Column:
     return kelvin - 273.15
 
@@ -105,6 +126,17 @@ def export_value(value: Column, scale: float = 1.0) -> Column:
     return F.coalesce(F.nanvl(value * scale, F.lit(None).cast("double")), F.lit(float(NO_DATA))).cast("short")
 
 
+def product_day(date: Column) -> Column:
+    """Name of a date's folder."""
+    return F.date_format(date, "yyyyMMdd")
+
+
+def export_path(sensor: Column, what: str, date: Column) -> Column:
+    """Path of a date's export under the folder of its site."""
+    day = product_day(date)
+    return F.concat(day, F.lit("/"), F.concat_ws("_", sensor, F.lit(what), day))
+
+
 def smooth_l1(difference: Column, beta: float = 0.1) -> Column:
     d = F.abs(difference)
     return F.when(d < beta, 0.5 * d * d / beta).otherwise(d - 0.5 * beta)

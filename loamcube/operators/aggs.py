@@ -158,10 +158,20 @@ def ridge_multi(aligned: DataFrame, sources: list[str], targets: list[str], keys
 
 def regression_fit(aligned: DataFrame, band: str, keys: tuple[str, ...], most_masked: float = 0.5, security: float | None = None, loss: Callable[[Column], Column] = smooth_l1) -> DataFrame:
     """Loss between the prediction and its regression from the reference, over groups that are clear enough."""
+    return fit_loss(adapted_reference(aligned, band, keys, most_masked).where("not masked"), band, keys, security, loss)
+
+
+def adapted_reference(aligned: DataFrame, band: str, keys: tuple[str, ...], most_masked: float = 0.5) -> DataFrame:
+    """Groups that are clear enough, with ``a_<band>``: the reference put through the regression of the prediction on it."""
     rate = aligned.groupBy(*keys).agg(F.avg(F.col("masked").cast("int")).alias("_rate")).where(F.col("_rate") <= most_masked).drop("_rate")
     ok = aligned.join(rate, list(keys), "left_semi")
-    fit = ridge_closed(ok, band, keys)
-    out = ok.where("not masked").join(fit, list(keys)).groupBy(*keys).agg(F.avg(loss(F.col(f"p_{band}") - (F.col("slope") * F.col(f"r_{band}") + F.col("intercept")))).alias("fit_loss"))
+    fit = ridge_closed(ok, band, keys).drop("n")
+    return ok.join(fit, list(keys)).withColumn(f"a_{band}", F.col("slope") * F.col(f"r_{band}") + F.col("intercept")).drop("slope", "intercept")
+
+
+def fit_loss(adapted: DataFrame, band: str, keys: tuple[str, ...], security: float | None = None, loss: Callable[[Column], Column] = smooth_l1) -> DataFrame:
+    """Mean loss against the adapted reference where that is a number; null above ``security``."""
+    out = adapted.where(~F.isnan(f"a_{band}")).groupBy(*keys).agg(F.avg(loss(F.col(f"p_{band}") - F.col(f"a_{band}"))).alias("fit_loss"))
     return out if security is None else out.withColumn("fit_loss", F.when(F.col("fit_loss") <= security, F.col("fit_loss")))
 
 

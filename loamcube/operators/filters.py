@@ -29,6 +29,12 @@ def drop_masked_dates(df: DataFrame, keys: tuple[str, ...] = (*SERIES, "doy")) -
     return df.join(blind, list(keys), "left_anti")
 
 
+def trim(df: DataFrame, keys: tuple[str, ...] = SERIES) -> tuple[DataFrame, DataFrame]:
+    """(observations of dates with a clear pixel, series of which nothing is left)."""
+    kept = drop_masked_dates(df, (*keys, "doy"))
+    return kept, df.select(*keys).distinct().join(kept.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def inside_margin(row: str, col: str, size: int, margin: int) -> Column:
     if 2 * margin + 1 >= size:
         raise ValueError("the margin leaves nothing")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamcube.functions.scalars import product_day
 from loamcube.schemas import PIXEL, SERIES
 
 
@@ -185,6 +186,12 @@ def reconcile_index(index: DataFrame, other: DataFrame, on: tuple[str, ...] = ("
     return out.withColumns({c: F.when(F.col("valid"), F.col(c)) for c in paths}) if paths else out
 
 
+def stale_folders(index: DataFrame, other: DataFrame, on: tuple[str, ...] = ("site", "doy"), date_col: str = "acquisition_date") -> DataFrame:
+    """Folders (site, day) of products that are invalid or that the other index lacks: to be deleted."""
+    lost = index.join(other.select(*on).distinct(), list(on), "left_anti")
+    return index.where("not valid").unionByName(lost).select("site", product_day(F.col(date_col)).alias("folder")).distinct()
+
+
 def skip_existing(incoming: DataFrame, stored: DataFrame, on: tuple[str, ...] = ("product_id",), override: bool = False) -> DataFrame:
     return incoming if override else incoming.join(stored, list(on), "left_anti")
 

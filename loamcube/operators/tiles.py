@@ -123,9 +123,7 @@ def resample(px: DataFrame, size: int, factor: float, keys: tuple[str, ...], val
         return px
     spark = px.sparkSession
     weights = axis_weights(size, factor, mode)
-    out = px.select(*keys, "r", "c", F.col(value).alias("_v")).join(_axis_table(spark, weights, ("ro", "r", "wr")), "r")
-    out = out.groupBy(*keys, "ro", "c").agg(F.sum(F.col("_v") * F.col("wr")).alias("_v")).join(_axis_table(spark, weights, ("co", "c", "wc")), "c")
-    out = out.groupBy(*keys, "ro", "co").agg(F.sum(F.col("_v") * F.col("wc")).alias(value)).withColumnsRenamed({"ro": "r", "co": "c"})
+    out = _by_axes(px, weights, weights, keys, value)
     if mask is None:
         return out
     near = {(o, min(int(o * factor), size - 1)): 1.0 for o in range(int(size / factor))}
@@ -138,6 +136,70 @@ def downsample_mtf(px: DataFrame, size: int, res: float, mtf_res: float, mtf: fl
     return resample(convolve(px, size, psf_kernel(res, mtf_res, mtf, half), keys, value, value), size, factor, keys, value)
 
 
+def shrink(px: DataFrame, size: int, factor: float, keys: tuple[str, ...], value: str = "v", mtf: float = 0.1, half: int = 3) -> DataFrame:
+    """Anti-aliased shrinking by ``factor``: the kernel follows the factor, its half width is fixed."""
+    return downsample_mtf(px, size, 1.0, factor, mtf, factor, keys, value, half)
+
+
+def thumbnail_weights(size: int, factor: float) -> dict[tuple[int, int], float]:
+    """(out, in) to weight of shrinking one axis by a triangle as wide as two cells of the result; inside the tile they add up to 1."""
+    out: dict[tuple[int, int], float] = {}
+    for o in range(int(size / factor)):
+        x = (o + 0.5) * factor - 0.5
+        taps = {i: linear((x - i) / factor) for i in range(max(math.ceil(x - factor), 0), min(math.floor(x + factor), size - 1) + 1)}
+        out.update({(o, i): w / sum(taps.values()) for i, w in taps.items() if w > 0})
+    return out
+
+
+def thumbnail(px: DataFrame, size: int, factor: float, keys: tuple[str, ...], value: str = "v", mask: str | None = None) -> DataFrame:
+    """Shrunk at read by ``factor``: values by a widened triangle, the mask by the cell at the middle."""
+    weights = thumbnail_weights(size, factor)
+    out = _by_axes(px, weights, weights, keys, value)
+    if mask is None:
+        return out
+    near = {(o, min(int((o + 0.5) * factor), size - 1)): 1.0 for o in range(int(size / factor))}
+    m = _by_axes(px.withColumn("_m", F.col(mask).cast("double")), near, near, keys, "_m")
+    return out.join(m.select(*keys, "r", "c", (F.col("_m") > 0).alias(mask)), [*keys, "r", "c"])
+
+
+def _by_axes(px: DataFrame, down: dict[tuple[int, int], float], along: dict[tuple[int, int], float], keys: tuple[str, ...], value: str) -> DataFrame:
+    """Weighted sums over rows by ``down``, then over columns by ``along``."""
+    spark = px.sparkSession
+    out = px.select(*keys, "r", "c", F.col(value).alias("_v")).join(_axis_table(spark, down, ("ro", "r", "w")), "r")
+    out = out.groupBy(*keys, "ro", "c").agg(F.sum(F.col("_v") * F.col("w")).alias("_v")).join(_axis_table(spark, along, ("co", "c", "w")), "c")
+    return out.groupBy(*keys, "ro", "co").agg(F.sum(F.col("_v") * F.col("w")).alias(value)).withColumnsRenamed({"ro": "r", "co": "c"})
+
+
+def spline_weights(size: int, offset: float, step: float = 1.0, n_out: int | None = None) -> dict[tuple[int, int], float]:
+    """(out, in) to weight of the cubic spline through an axis, read at ``out * step + offset``.
+
+    The axis is mirrored about the edges of its end cells. The spline's coefficients solve a banded system; their
+    weights fall by a factor of 3.7 a cell, so those under 1e-12 are left out.
+    """
+    basis = lambda t: (4 - 6 * t * t + 3 * t**3) / 6 if t < 1 else (2 - t) ** 3 / 6 if t < 2 else 0.0
+
+    def mirrored(i: int) -> int:
+        i %= 2 * size
+        return i if i < size else 2 * size - 1 - i
+
+    def taps(at: list[float]) -> np.ndarray:
+        out = np.zeros((len(at), size))
+        for o, x in enumerate(at):
+            for i in range(math.floor(x) - 1, math.floor(x) + 3):
+                out[o, mirrored(i)] += basis(abs(x - i))
+        return out
+
+    own = taps([float(i) for i in range(size)])
+    wanted = taps([o * step + offset for o in range(size if n_out is None else n_out)])
+    weights = np.linalg.solve(own.T, wanted.T).T
+    return {(int(o), int(i)): float(weights[o, i]) for o, i in zip(*np.nonzero(np.abs(weights) > 1e-12), strict=True)}
+
+
+def shift_spline(px: DataFrame, size: int, dr: float, dc: float, keys: tuple[str, ...], value: str = "v", step: float = 1.0, n_out: int | None = None) -> DataFrame:
+    """Tile moved by a part of a pixel along a cubic spline; ``step`` and ``n_out`` put it on another grid."""
+    return _by_axes(px, spline_weights(size, dr, step, n_out), spline_weights(size, dc, step, n_out), keys, value)
+
+
 def _slide(px: DataFrame, keys: tuple[str, ...], flag: str, k: int, any_: bool, origin: int) -> DataFrame:
     """Any or all of a ``k`` x ``k`` neighbourhood, axis by axis; outside counts as clear."""
     low, high = -(k // 2) + origin, (k - 1) // 2 + origin

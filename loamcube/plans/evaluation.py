@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamcube.operators import aggs, joins, timeops
+from loamcube.functions import scalars
+from loamcube.operators import aggs, filters, joins, reshape, tiles, timeops
 from loamcube.plans.scenarios import make_scenario
 from loamcube.schemas import PIXEL, SERIES, HidingParameters
 
@@ -23,13 +24,66 @@ def gapfill_scenario(obs: DataFrame, bands: list[str], p: HidingParameters) -> D
     return joins.clear_masked_split(out, given)
 
 
-def scores(aligned: DataFrame, bands: list[str], keys: tuple[str, ...] = (*SERIES, "doy", "clear")) -> DataFrame:
-    """Long metric rows: rmse, nrmse and mae of each band, spectral angle of all."""
+def scores(aligned: DataFrame, bands: list[str], keys: tuple[str, ...] = (*SERIES, "doy", "clear"), angle_bands: list[str] | None = None) -> DataFrame:
+    """Long metric rows: rmse, nrmse and mae of each band, spectral angle of all or of ``angle_bands``."""
     parts = [aggs.per_band(aligned, bands, keys, f, "value").withColumn("metric", F.lit(n)) for n, f in (("rmse", aggs.rmse), ("nrmse", aggs.nrmse), ("mae", aggs.mae))]
-    angle = aggs.spectral_angle(aligned, bands, keys).select(*keys, F.lit("all").alias("band"), F.col("sam").alias("value"), F.lit("sam").alias("metric"))
+    angle = aggs.spectral_angle(aligned, angle_bands or bands, keys).select(*keys, F.lit("all").alias("band"), F.col("sam").alias("value"), F.lit("sam").alias("metric"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(angle)
 
 
+def scores_on_coarse_grid(pred: DataFrame, target: DataFrame, size: int, factor: int, bands: list[str], keys: tuple[str, ...], transfer: dict[str, tuple[float, float]], res: float = 1.0, margin: int = 5) -> DataFrame:
+    """Long metric rows of a prediction on the fine grid, reduced by each band's transfer function (resolution, value) to the target's.
+
+    Both have keys, ``r``, ``c`` and the bands, the target ``masked``. Scores leave a margin of the coarse tile out, and the
+    thermal band the spectral angle.
+    """
+    low = target.select(*keys, "r", "c", "masked", *(F.col(b).alias(f"r_{b}") for b in bands))
+    for b in bands:
+        reduced = tiles.downsample_mtf(pred, size, res, *transfer[b], float(factor), keys, b)
+        low = low.join(reduced.withColumnRenamed(b, f"p_{b}"), [*keys, "r", "c"])
+    low = filters.scored(low, size // factor, margin).withColumn("masked", ~F.col("scored"))
+    thermal = scalars.thermal_band(bands)
+    return scores(low, bands, keys, [b for b in bands if b != thermal or len(bands) == 1])
+
+
+def spectra(pred: DataFrame, target: DataFrame, size: int, factor: int, band: str, keys: tuple[str, ...], margin: int = 5) -> DataFrame:
+    """Frequency restoration of a prediction against the enlarged target, both without a margin of the fine tile."""
+    up = tiles.resample(target, size // factor, 1 / factor, keys, band)
+    inner = size - 2 * margin
+
+    def profile(px: DataFrame) -> DataFrame:
+        block = filters.crop(px, size, margin).select(*keys, (F.col("r") * inner + F.col("c")).alias("idx"), F.col(band).alias("v"))
+        return tiles.fft_profile(reshape.pixels_to_tile(block, keys), "data", inner, keys)
+
+    return tiles.frequency_restoration(profile(pred), profile(up), keys)
+
+
+def filtered_fit(aligned: DataFrame, band: str, size: int, keys: tuple[str, ...], when: str = "PRE", kernel=None, most_masked: float = 0.5, security: float | None = None) -> DataFrame:
+    """Regression-fit score of tiles of which the sharp part counts, taken before (``PRE``) or after (``POST``) the regression.
+
+    The sharp part is what the kernel's blur leaves, or without a kernel the squared gradient.
+    """
+    if when not in ("PRE", "POST"):
+        raise ValueError(f"unknown mode {when}")
+
+    def sharp(df: DataFrame, name: str) -> DataFrame:
+        if kernel is None:
+            return tiles.gradient_magnitude(df, keys, name, "_s").drop(name).withColumnRenamed("_s", name)
+        return df.drop(name).join(tiles.high_pass(df, size, kernel, keys, name, name), [*keys, "r", "c"])
+
+    p, r, a = (f"{side}_{band}" for side in "pra")
+    if when == "PRE":
+        return aggs.regression_fit(sharp(sharp(aligned, p), r), band, keys, most_masked, security)
+    fitted = aggs.adapted_reference(aligned, band, keys, most_masked)
+    return aggs.fit_loss(sharp(sharp(fitted, p), a).where("not masked"), band, keys, security)
+
+
+def evaluate(obs: DataFrame, bands: list[str], p: HidingParameters, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores of each date, table of results, wanted sites that gave none): scenario, prediction and scores of all sites in one plan."""
+    rows = scores(gapfill_scenario(obs.join(wanted.select("site").distinct(), "site", "left_semi"), bands, p), bands)
+    return rows, aggs.result_table(rows), skipped_sites(wanted, rows)
+
+
 def date_record(aligned: DataFrame, given: DataFrame, bands: list[str], bandwidth: float = 10.0) -> DataFrame:
     """One row for each site, sensor and date: clear rate, predicted rate, nearest input date, density, mean RMSE."""
     keys = (*SERIES, "doy")

@@ -81,6 +81,32 @@ def add_high_frequency(pred: DataFrame, base: DataFrame, size: int, keys: tuple[
     return base.join(sharp, [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("v") + F.col("_hp")).alias("v"))
 
 
+def sen2like(hr: DataFrame, lr: DataFrame, size: int, factor: int, band: str, mtf: float = 0.4, most_masked: float = 1.0) -> DataFrame:
+    """HR at each LR date: the sharp part of what the two HR dates before extend to, on top of the enlarged LR.
+
+    ``hr`` has site, doy, r, c, the band and ``masked`` on the fine grid, ``lr`` the same on one ``factor`` times coarser.
+    Masked where LR or either date is, or there are no two dates; without two dates the value is null.
+    """
+    keys = ("site", "doy")
+    up = tiles.resample(lr, size // factor, 1 / factor, keys, band, mode="bilinear", mask="masked")
+    px = (F.col("r") * size + F.col("c")).alias("px")
+    rows = lambda df, sensor: df.select(*keys, px, F.lit(sensor).alias("sensor"), band, "masked")
+    ahead = extrapolate_previous(rows(hr, "hr").union(rows(up, "lr")), band, most_masked)
+    cell = {"r": F.floor(F.col("px") / size).cast("int"), "c": (F.col("px") % size).cast("int")}
+    ahead = ahead.withColumns(cell).withColumn("v", F.col("hr_pred")).select(*keys, "r", "c", "v", "lr", "masked")
+    sharp = tiles.high_pass(ahead, size, tiles.psf_kernel(1.0, 1.0, mtf), keys, "v", "_hp")
+    out = ahead.join(sharp, [*keys, "r", "c"])
+    return out.select(*keys, "r", "c", (F.col("lr") + F.col("_hp")).alias(band), "masked")
+
+
+def naive_on_fine_grid(lr: DataFrame, size: int, factor: int, band: str, targets: DataFrame) -> DataFrame:
+    """LR (site, doy, r, c, band, masked) gap-filled at the target dates, then enlarged to the fine grid."""
+    px = (F.col("r") * size + F.col("c")).alias("px")
+    obs = lr.select("site", px, F.lit("lr").alias("sensor"), "doy", band, "masked")
+    filled = naive(obs, [band], targets).withColumns({"r": F.floor(F.col("px") / size).cast("int"), "c": (F.col("px") % size).cast("int")})
+    return tiles.resample(filled.select("site", "doy", "r", "c", band), size, 1 / factor, ("site", "doy"), band)
+
+
 def residual_compensation(pred: DataFrame, coarse: DataFrame, fine_size: int, factor: int, keys: tuple[str, ...], mtf: float = 0.4) -> DataFrame:
     """Prediction + (enlarged observation - blurred prediction)."""
     up = tiles.resample(coarse, fine_size // factor, 1 / factor, keys).withColumnRenamed("v", "_up")
@@ -111,6 +137,19 @@ def thermal_sharpening(fine: DataFrame, coarse: DataFrame, factor: int, features
     return out.withColumn("masked", F.col("masked") | F.coalesce("_m", F.lit(True)) | F.isnan("lst")).drop("_r", "_c", "_m")
 
 
+def sharpen_thermal_series(hr: DataFrame, lr: DataFrame, factor: int, features: list[str], depth: int = 4, residual: bool = True) -> DataFrame:
+    """Thermal sharpening of each LR date by the nearest HR date of its site; tiles have site, doy, r, c."""
+    near = joins.nearest_date(hr.select("site", "doy").distinct(), lr.select("site", "doy").distinct()).where("nearest_doy is not null")
+    fine = hr.withColumnRenamed("doy", "nearest_doy").join(near.select("site", "doy", "nearest_doy"), ["site", "nearest_doy"])
+    return thermal_sharpening(fine.drop("nearest_doy"), lr, factor, features, ("site", "doy"), depth, residual)
+
+
+def pair_tiles(hr: DataFrame, lr: DataFrame, size: int, band: str, reduce_by: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(LR date and nearest HR date of another day, LR tiles reduced by ``reduce_by``): the inputs of a per-date model."""
+    near = joins.nearest_date(hr.select("site", "doy").distinct(), lr.select("site", "doy").distinct(), allow_same_day=False).where("nearest_doy is not null")
+    return near, tiles.shrink(lr, size, reduce_by, ("site", "doy"), band)
+
+
 def pair_inputs(obs: DataFrame, bands: list[str]) -> DataFrame:
     """For each LR date the nearest HR date of another day, as a per-date model wants them: LR and HR rows side by side."""
     hr_dates = joins.clear_dates(obs.where("sensor = 'hr'"))

@@ -275,3 +275,67 @@ def test_streaming_ingest_skips_what_is_stored(spark, tmp_path):
     spark.createDataFrame([("b", 9), ("c", 3)], "product_id string, v int").write.mode("append").parquet(src)
     ingest_new(spark, spark.readStream.schema("product_id string, v int").parquet(src), out, str(tmp_path / "ck")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_spline_weights_interpolate_and_reproduce_cubics():
+    n = 40
+    exact = tiles.spline_weights(n, 0.0)
+    assert exact.keys() == {(i, i) for i in range(n)} and all(abs(w - 1) < 1e-12 for w in exact.values())
+    for offset, step, n_out in ((0.3, 1.0, n), (-0.25, 0.5, 2 * n)):
+        m = np.zeros((n_out, n))
+        for (o, i), w in tiles.spline_weights(n, offset, step, n_out).items():
+            m[o, i] = w
+        x = np.arange(n_out) * step + offset
+        inner = (x > 15) & (x < n - 16)
+        cubic = lambda t: t**3 / 500 - t**2 / 10 + t
+        # mirrored borders bend the curve there; what they add falls by 3.7 a cell
+        assert inner.any() and np.abs(m @ cubic(np.arange(n)) - cubic(x))[inner].max() < 1e-5
+        assert np.allclose(m.sum(axis=1), 1)
+
+
+def test_thermal_band_and_patch_size():
+    assert scalars.thermal_band([f"b{i}" for i in range(8)]) == "b7" and scalars.thermal_band(["t"]) == "t" and scalars.thermal_band(["a", "b"]) is None
+    assert quality.patch_size(990, 10, 3) == 99
+    for bad in ((995, 10, 3), (100, 10, 3)):
+        with pytest.raises(ValueError):
+            quality.patch_size(*bad)
+
+
+def test_filtered_fit_refuses_unknown_modes(spark):
+    px = spark.createDataFrame([(1, 0, 0, 1.0, 1.0, False)], "k int, r int, c int, p_v double, r_v double, masked boolean")
+    with pytest.raises(ValueError):
+        evaluation.filtered_fit(px, "v", 8, ("k",), "NEVER")
+
+
+def test_filtered_fit_of_an_affine_prediction_is_near_zero(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, r, c, 0.0, float(v), False) for (r, c), v in np.ndenumerate(rng.normal(0, 1, (8, 8)))]
+    px = spark.createDataFrame(rows, "k int, r int, c int, p_v double, r_v double, masked boolean").withColumn("p_v", 2 * F.col("r_v") + 1)
+    for when in ("PRE", "POST"):
+        for kernel in (tiles.psf_kernel(1.0, 2.0, 0.2), None):
+            if kernel is not None or when == "POST":
+                assert evaluation.filtered_fit(px, "v", 8, ("k",), when, kernel).first().fit_loss < 1e-3
+    assert evaluation.filtered_fit(px.withColumn("p_v", -F.col("c") * F.col("r_v")), "v", 8, ("k",), "PRE", tiles.psf_kernel(1.0, 2.0, 0.2), security=1e-9).first().fit_loss is None
+
+
+def test_evaluation_job_scores_all_sites_and_names_those_without(spark):
+    rows = [(s, 1, "hr", d, float(d), False) for s in (1, 2) for d in range(0, 100, 10)]
+    obs = spark.createDataFrame(rows, SERIES_SCHEMA)
+    wanted = spark.createDataFrame([(1,), (2,), (9,)], "site int")
+    by_date, table, skipped = evaluation.evaluate(obs, ["b1"], HidingParameters("GAPS", gap=30), wanted)
+    assert {r.site for r in by_date.collect()} == {1, 2} and [r.site for r in skipped.collect()] == [9]
+    assert all(r["mean"] < 1e-9 for r in table.where("metric = 'rmse'").collect())
+
+
+def test_ingest_hides_what_is_near_zeros_and_what_is_missing(spark):
+    rows = [("s", "hr", dt.date(2022, 1, 1), r, c, {(0, 0): 0.0, (7, 7): float("nan")}.get((r, c), 0.5)) for r in range(8) for c in range(8)]
+    px = spark.createDataFrame(rows, "site string, sensor string, acquisition_date date, r int, c int, b1 double")
+    index, kept = dataset.ingest(px, F.lit(False), opening=1, dilation=1, zero_dilation=3)
+    assert {(r.r, r.c) for r in kept.where("masked").collect()} == {(0, 0), (0, 1), (1, 0), (1, 1), (7, 7)}
+    assert (index.first().bands, index.first().mask) == ("20220101/hr_bands_20220101", "20220101/hr_mask_20220101")
+
+
+def test_trim_names_series_of_which_nothing_is_left(spark):
+    obs = series(spark, [(1, 1, True), (2, 2, False)]).union(series(spark, [(1, 1, True)], "lr"))
+    kept, gone = filters.trim(obs)
+    assert [r.doy for r in kept.collect()] == [2] and [r.sensor for r in gone.collect()] == ["lr"]
