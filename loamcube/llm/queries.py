@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_source_mixing": mixing.oracle_sql(),
+    "op8_suffix_array_dedup": suffix_dedup.oracle_sql(),
     "op9_license_scan": license_scan.oracle_sql(),
     "op10_benchmark_decontamination": decontam.oracle_sql(),
 }

@@ -303,3 +303,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         }
     )
     return out.drop("sd", "sd_rid")
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """The report of ``documents`` for DuckDB: every string of ``length`` bytes is counted by its 128-bit hash."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    s AS (SELECT k, unnest(range(octet_length(b) - {length - 1})) AS i, b FROM d WHERE octet_length(b) >= {length}),
+    g AS MATERIALIZED (SELECT k, i, md5_number(b[i + 1 : i + {length}]) AS h FROM s),
+    r AS (SELECT k, i FROM g JOIN (SELECT h FROM g GROUP BY h HAVING count(*) > 1) USING (h)),
+    o AS (SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + {length}, true)::INT AS opens FROM r),
+    n AS (SELECT k, i, sum(opens) OVER (PARTITION BY k ORDER BY i) AS run FROM o),
+    c AS (SELECT k, run, min(i) AS a, max(i) + {length} AS z FROM n GROUP BY ALL),
+    e AS (SELECT k, count(*) AS n_spans, sum(z - a) AS n_removed FROM c GROUP BY k),
+    p AS (SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS f, a AS t FROM c UNION ALL SELECT k, max(z), NULL FROM c GROUP BY k),
+    x AS (SELECT p.k, string_agg(hex(b[f + 1 : coalesce(t, octet_length(b))]), '' ORDER BY f) AS kept FROM p JOIN d USING (k) GROUP BY p.k)
+    SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+           sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM d LEFT JOIN e USING (k) LEFT JOIN x USING (k)"""
