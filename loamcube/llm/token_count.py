@@ -24,7 +24,7 @@ from itertools import pairwise
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,20 +166,21 @@ class TokenCounter:
     _loaded: dict[str, TokenCounter] = {}
 
     @classmethod
-    def load(cls, path: str) -> TokenCounter:
-        """One for each file and process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def load(cls, spec: str) -> TokenCounter:
+        """One for each tokenizer (the text of its file) and process."""
+        if spec not in cls._loaded:
+            cls._loaded[spec] = cls(json.loads(spec))
+        return cls._loaded[spec]
+
+    def __init__(self, spec: dict):
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without normalisation is compiled")
         letter = byte_letters()
         to_bytes = lambda s: bytes(letter[c] for c in s)
+        if any(t.get(x) for t in spec["added_tokens"] for x in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("only added tokens that take nothing around them are compiled")
         special = [t["content"] for t in spec["added_tokens"]]
+        self.heads = {s[0] for s in special}
         tokens = [to_bytes(t) for t in spec["model"]["vocab"] if t not in special]
         pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
         self.words = _Words(CountingTransducer(tokens, [(to_bytes(a), to_bytes(b)) for a, b in pairs]))
@@ -226,18 +227,20 @@ class TokenCounter:
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a text; a special token's string counts as that token."""
-        if self.special is None:
+        if not any(h in text for h in self.heads):
             return self.segment(text, chunk)
-        parts = self.special.split(text) if "<" in text or "|" in text else [text]
+        parts = self.special.split(text)
         return sum(self.segment(p, chunk) for p in parts) + len(parts) - 1
 
 
 def token_count(text: Column | str, path: str) -> Column:
-    """Number of tokens as long. Null counts as empty."""
+    """Number of tokens as long. Null counts as empty. The file is read by the driver and broadcast: executors needn't have it."""
+    with open(path, encoding="utf-8") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.arrow_udf(T.LongType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = TokenCounter.load(path)
+        counter = TokenCounter.load(shared.value)
         for column in batches:
             yield pa.array([counter.count(x.as_py().decode("utf-8", "replace")) for x in binary_of(column)], pa.int64())
 

@@ -1,6 +1,8 @@
 """Operators on texts against brute force, and their defined results at the edges."""
 
+import json
 import hashlib
+import json
 import re
 
 import duckdb
@@ -336,7 +338,8 @@ def test_token_counts_equal_the_library(spark, rng, tokenizer):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(600)]
     texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 60))) for _ in range(600)] + ["word " * 40_000, "z" * 3000, " " * 5000, "", "<|endoftext|>"]
     want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
-    counter = token_count.TokenCounter.load(path)
+    with open(path, encoding="utf-8") as f:
+        counter = token_count.TokenCounter.load(f.read())
     assert [counter.count(t) for t in texts] == want
     # chunks of any size compose to the same count
     assert [counter.count(t, chunk=29) for t in texts] == want
@@ -369,6 +372,20 @@ def brute_hits(docs, bench, window=10):
     return out
 
 
+def test_added_tokens_of_any_spelling(tokenizer):
+    path, _ = tokenizer
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 60_000, "content": "[PAD]"})
+    lib = Tokenizer.from_str(json.dumps(spec))
+    counter = token_count.TokenCounter(spec)
+    for text in ("a [PAD] b", "[PAD][PAD]", "[PA", "x<|endoftext|>[PAD] y", "plain"):
+        assert counter.count(text) == len(lib.encode(text, add_special_tokens=False).ids), text
+    spec["added_tokens"][-1]["lstrip"] = True
+    with pytest.raises(ValueError):
+        token_count.TokenCounter(spec)
+
+
 @pytest.mark.parametrize("most", [decontam.MOST_WINDOWS, 20])
 def test_decontamination_against_brute_force(spark, rng, most):
     say = lambda n: " ".join(rng.choice(["the", "of", "Ça", "x1", "Red", "blue", "été", "7"]) for _ in range(n))
