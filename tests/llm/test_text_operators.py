@@ -1,6 +1,5 @@
 """Operators on texts against brute force, and their defined results at the edges."""
 
-import json
 import hashlib
 import json
 import re
