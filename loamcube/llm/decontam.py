@@ -1,10 +1,11 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against all training text.
 
-The n-grams of the benchmark are counted first. Up to ``most_windows`` of them are broadcast at once; a
-larger benchmark is dealt by hash into parts of that size, each scanned in its turn, and the findings are
-merged per document. The scan keeps no table of document n-grams and shuffles no text: each document's
-words become numbers of the benchmark's vocabulary, runs of known words are hashed, and a hash that hits is
-verified word by word.
+The n-grams of the benchmark are counted first. Up to ``most_windows`` of them are broadcast at once, each
+with its items. Of a larger benchmark the distinct n-grams are dealt by hash into parts of that size, each
+scanned in its turn; an n-gram then only carries the name of the set of items that hold it (however many do),
+findings are merged per document, and Spark joins the items to the names that were found. The scan keeps no
+table of document n-grams: each document's words become numbers of the benchmark's vocabulary, runs of known
+words are hashed, and a hash that hits is verified word by word.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +101,20 @@ def _scanner(shared):
     return scan
 
 
+def item_sets(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``name``, ``gram``) and (``name``, ``item``): n-grams that the same items hold share a name.
+
+    A name is the number of items and two sums of their hashes, so no set is ever gathered.
+    """
+
+    def total(*seed) -> Column:
+        return F.sum(F.xxhash64(*seed, "item").cast("decimal(38,0)"))
+
+    name = F.md5(F.concat_ws(":", F.count("*"), total(), total(F.lit(1))).cast("binary"))
+    named = materialize(grams.groupBy("gram").agg(name.alias("name")), "item-sets")
+    return named, grams.join(named.groupBy("name").agg(F.min("gram").alias("gram")), "gram").select("name", "item")
+
+
 def _count_union(runs: list[dict]) -> Iterator[int]:
     end = -1
     for r in sorted(runs, key=lambda r: r["a"]):
@@ -124,33 +140,34 @@ def scan_documents(
 
     Words are runs of a-z (A-Z lower-cased), 0-9 and non-ASCII characters. A document word is hit if it
     lies in an occurrence of a window of the benchmark; ``dc_runs`` has the hit runs of words (first, one
-    past the last). Null and empty texts have no words; items of null id are left out, equal items count
-    once; an empty benchmark hits nothing; columns named ``dc_*`` are replaced and all others stay.
+    past the last). Null and empty texts have no words; very long ones are scanned whole, by one task each. Every
+    row of ``docs`` comes out once, repeated rows with equal reports; items of null id are left out, equal items
+    count once; an empty benchmark hits nothing; columns named ``dc_*`` are replaced and all others stay.
     """
     spark = docs.sparkSession
     grams = materialize(benchmark_windows(bench, item_col, bench_text_col, window).select(F.col("item").cast("string"), "gram"), "grams")
-    parts = max(1, -(-grams.count() // most_windows))
 
-    def scanned(part: int) -> DataFrame:
-        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part)
-        # bounded: about most_windows rows
-        shared = spark.sparkContext.broadcast(GramSet([(r.item, r.gram) for r in own.collect()]))
-        return docs.withColumn("dc", _scanner(shared)(F.col(text_col)))
+    def scanned(rows: DataFrame, own: DataFrame) -> DataFrame:
+        # bounded: about most_windows rows of (holder, gram)
+        shared = spark.sparkContext.broadcast(GramSet([tuple(r) for r in own.collect()]))
+        return rows.withColumn("dc", _scanner(shared)(F.col(text_col)))
 
-    if parts == 1:
-        out = scanned(0)
-        out = out if keep_text else out.drop(text_col)
+    if grams.count() <= most_windows:
+        out = scanned(docs, grams.select("item", "gram"))
     else:
-        keyed = docs
-        docs = docs.withColumn("dc_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-        pieces = scanned(0).select("dc_row", "dc")
-        for part in range(1, parts):
-            pieces = pieces.union(scanned(part).select("dc_row", "dc"))
-        merged = pieces.groupBy("dc_row").agg(
-            F.struct(F.first("dc.n_words").alias("n_words"), F.flatten(F.collect_set("dc.runs")).alias("runs"), F.flatten(F.collect_set("dc.items")).alias("items")).alias("dc")
+        named, holders = item_sets(grams)
+        parts = -(-named.count() // most_windows)
+        keyed = docs.withColumn("dc_row", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
+        part = F.pmod(F.xxhash64("gram"), F.lit(parts))
+        pieces = [scanned(keyed, named.where(part == p).select("name", "gram")).select("dc_row", "dc.*") for p in range(parts)]
+        merged = reduce(DataFrame.union, pieces).groupBy("dc_row").agg(
+            F.first("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), F.flatten(F.collect_set("items")).alias("names")
         )
-        out = docs.join(merged, "dc_row").drop("dc_row")
-        out = out if keep_text else out.drop(*(c for c in [text_col] if c in keyed.columns))
+        merged = materialize(merged, "findings")
+        items = merged.select("dc_row", F.explode("names").alias("name")).join(holders, "name").groupBy("dc_row").agg(F.collect_set("item").alias("items"))
+        merged = merged.join(items, "dc_row", "left").select("dc_row", F.struct("n_words", "runs", "items").alias("dc"))
+        out = keyed.join(merged, "dc_row").drop("dc_row")
+    out = out if keep_text else out.drop(text_col)
     out = out.withColumn("dc_report", _report("dc.runs", "dc.items"))
     return out.withColumns(
         {
