@@ -8,7 +8,8 @@ form one long text that is cut into blocks of equal words; rank ``r`` takes bloc
 behind the last one.
 
 Everything is counted in words. The number of slots is a parameter (``SLOTS``), so the schedule's cost does
-not depend on the corpus; the length of a block does. Positions in a source's shuffled text are running
+not depend on the corpus; the length of a block does. A source has blocks of its own length, and is cut into
+``LEAST_BLOCKS`` at least, so that a small one beside huge ones meets its target too. Positions in a source's shuffled text are running
 sums, taken in two steps (over hash ranges, then inside each), so that no source is gathered in one task.
 """
 
@@ -23,6 +24,8 @@ from loamcube.llm._shared import materialize
 #: Slots of the schedule; a block has at least ``LEAST_BLOCK`` words, so a small corpus has fewer slots.
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
+#: Blocks of a source, if its words suffice for so many of ``LEAST_BLOCK``.
+LEAST_BLOCKS = 64
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 SEED = "mix-1"
@@ -72,7 +75,8 @@ def mix(
     ``size`` counts words between ASCII white space (null: 0); ``target`` is the source's, in words; ``taken``
     counts the row's words in the mix, repeats included, never over ``most_repeats`` times its size. Null is a source
     of its own. Rows are shuffled by a hash of id and text, so reruns agree whatever the partitioning;
-    equal rows share ``row_key`` and may differ in ``taken`` alone. An empty table, or one without words, takes nothing.
+    equal rows share ``row_key`` and may differ in ``taken`` alone. A very long text is counted whole and lies in many
+    blocks. Other columns of ``docs``, of whatever name, are left out. An empty table, or one without words, takes nothing.
     """
     spark = docs.sparkSession
     text_hash = F.xxhash64(F.col(text_col))
@@ -85,7 +89,8 @@ def mix(
     # the one number that the driver needs: words in all
     total = rows.agg(F.sum("size")).first()[0] or 0
     block = max(least_block, -(-total // slots), 1)
-    plan = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block))).where("n_blocks > 0")
+    fewest = F.least(F.ceil(F.col("source_size") / F.lit(least_block)), F.lit(LEAST_BLOCKS))
+    plan = targets.withColumn("n_blocks", F.greatest(F.ceil(F.col("source_size") / F.lit(block)), fewest)).where("n_blocks > 0")
     plan = plan.withColumn("block", F.ceil(F.col("source_size") / F.col("n_blocks")))
     plan = plan.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")))
     # blocks to take, so that their expected words are the target
@@ -140,7 +145,7 @@ def oracle_sql(slots: int = SLOTS, least_block: int = LEAST_BLOCK) -> str:
     goal AS (SELECT source, source_size, turn, CASE WHEN filled OR l0 IS NULL THEN most::DOUBLE ELSE least(l0 * weight / w0, most::DOUBLE) END AS target
              FROM f LEFT JOIN one ON true),
     b AS (SELECT greatest({least_block}, (sum(size) + {slots} - 1) // {slots}, 1)::BIGINT AS block FROM d),
-    p1 AS (SELECT goal.*, ceil(source_size / block::DOUBLE)::BIGINT AS nb FROM goal, b WHERE source_size > 0),
+    p1 AS (SELECT goal.*, greatest(ceil(source_size / block::DOUBLE), least(ceil(source_size / {least_block}::DOUBLE), {LEAST_BLOCKS}))::BIGINT AS nb FROM goal, b WHERE source_size > 0),
     p2 AS (SELECT * REPLACE (ceil(source_size / ceil(source_size / nb::DOUBLE))::BIGINT AS nb), ceil(source_size / nb::DOUBLE)::BIGINT AS block FROM p1),
     p3 AS (SELECT *, target * nb / source_size AS share FROM p2),
     p4 AS (SELECT *, sum(share) OVER (ORDER BY turn) AS upto, sum(share) OVER () AS everything FROM p3),
