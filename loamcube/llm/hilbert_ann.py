@@ -90,9 +90,12 @@ def _pack(vectors: pa.Array) -> pa.Array:
         x = None
         if v.is_valid and v.values is not None and v.values.null_count == 0 and len(v.values):
             x = v.values.to_numpy(zero_copy_only=False)
-            with np.errstate(over="ignore"):
-                norm = float(x @ x) if np.isfinite(x).all() else 0.0
-            x = x.tobytes() if norm > 0 and np.isfinite(norm) else None
+            most = np.abs(x).max()
+            if most > 0 and np.isfinite(most):
+                # a power of two leaves the cosine as it is; squares can't leave the range of doubles then
+                x = x.tobytes() if 1e-100 < most < 1e100 else np.ldexp(x, -int(np.frexp(most)[1])).tobytes()
+            else:
+                x = None
         out.append(x)
     return pa.array(out, pa.binary())
 
@@ -157,7 +160,8 @@ def nearest(
     ``queries`` has the ids to ask for (null: all); they are rows of ``vectors``, and never their own
     neighbours. Nearest first, ties to the smaller id. Vectors that are null, zero, of another length than most,
     or hold null or non-finite components take no part, nor do null ids; an id that stands on several rows is taken once,
-    by its first vector in byte order.
+    by its first vector in byte order. Components of any finite size count. Equal vectors are ranked by id. Other columns, of
+    whatever name, are left out. An empty table, or one without usable vectors, gives no rows.
     """
     packed = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _pack(F.col(vector_col).cast("array<double>")).alias("vec")).where("vec is not null")
     packed = packed.groupBy("id").agg(F.min("vec").alias("vec"))
