@@ -432,7 +432,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id that links reach, itself included. Rows of equal fingerprint are one
     class, so copies cost one fingerprint. A null text has no words and links like any other; rows of null
     id take part, and their component is the smallest id among the others of their group, or null if there
-    is none; repeated ids give repeated rows; an empty table gives an empty one.
+    is none; repeated ids give repeated rows; the shingles of very long texts vote in slices, all of them; an empty table
+    gives an empty one. Other columns, of whatever name, are left out.
     """
     found = _grouped(docs, id_col, text_col, scheme, crowd)
     if scheme.similarity:
@@ -446,7 +447,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     """``docs`` without near copies: of each group the row of smallest id stays (null last, then by a hash of the row).
 
     Equal rows (same id, same text) count as one row: both stay or both go. Texts that resemble nothing stay,
-    whatever other rows share their id. Null, empty and wordless texts are one group. All columns are kept.
+    whatever other rows share their id. Null, empty and wordless texts are one group. Very long texts are compared whole.
+    All columns are kept, but one named ``sh_row``.
     """
     found = _grouped(docs, id_col, text_col, scheme, crowd)
     gone = found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias("sh_row")).distinct()

@@ -250,8 +250,8 @@ def token_count(text: Column | str, path: str) -> Column:
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """``docs`` with ``tk_n_bytes``, ``tk_n_tokens`` and ``tk_over_limit`` (more tokens than ``limit``).
 
-    Each row is counted by itself: null and empty texts have none, equal rows count alike, an empty table
-    gives an empty one. Columns named ``tk_*`` are replaced, all others stay.
+    Each row is counted by itself: null and empty texts have none, very long ones are counted whole (in chunks of
+    ``CHUNK`` characters, one task a text), equal rows count alike, an empty table gives an empty one. Columns named ``tk_*`` are replaced, all others stay.
     """
     out = docs.withColumns({"tk_n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "tk_n_tokens": token_count(text_col, path)})
     return out.withColumn("tk_over_limit", F.col("tk_n_tokens") > limit)

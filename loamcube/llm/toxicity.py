@@ -198,7 +198,8 @@ def fit(
 
     ``categories`` are word lists; a toxic text with a word of one belongs to it. Without them the toxic texts'
     own ``modes`` are the categories. Labels of null id or value are left out; an id with several labels is toxic if
-    one says so, one with several texts counts with the least of them by features; without any labelled text the chain is
+    one says so, one with several texts counts with the least of them by features. A null text has no features, a very long one is read whole
+    and leaves its features alone; other columns, of whatever name, aren't read. Without any labelled text the chain is
     empty and calls nothing toxic.
     """
     each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))

@@ -57,6 +57,13 @@ def test_copies_ties_and_bad_vectors(spark):
     assert [tuple(r) for r in hilbert_ann.nearest(few).orderBy("query_id").collect()] == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
 
 
+def test_vectors_of_any_finite_size(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e200, 1e200]), (3, [0.0, 5e-324]), (4, [-1e308, 1e-308]), (5, [3e-200, 4e-200])]
+    got = hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 1").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 5, 3, 4]
+    assert [r.score for r in got] == pytest.approx([0.5**0.5, 0.6, 0.0, -1.0])
+
+
 @pytest.mark.parametrize("few", [1000, 0])
 def test_components_of_a_chain_and_a_star(spark, few):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]

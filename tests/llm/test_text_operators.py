@@ -389,10 +389,14 @@ def test_added_tokens_of_any_spelling(tokenizer):
 def test_decontamination_against_brute_force(spark, rng, most):
     say = lambda n: " ".join(rng.choice(["the", "of", "Ça", "x1", "Red", "blue", "été", "7"]) for _ in range(n))
     bench = [(i, say(rng.randint(8, 30))) for i in range(12)] + [(50, "Tiny Item"), (51, "solo"), (52, None), (53, " ,. "), (None, "not an item at all"), (10, say(12))]
+    shared = say(25)
+    bench += [(100 + i, shared) for i in range(60)]
     docs = [(i, say(rng.randint(0, 40)) + (", " + (rng.choice(bench)[1] or "").upper() if rng.random() < 0.3 else "")) for i in range(80)]
-    docs += [(900, None), (901, ""), (902, "a tiny-item here; SOLO"), (903, "tiny items"), (904, "of " * 30_000)]
+    docs += [(900, None), (901, ""), (902, "a tiny-item here; SOLO"), (903, "tiny items"), (904, "of " * 30_000), (905, shared + " Solo"), (906, shared[:60])]
+    docs.append(docs[-2])
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     out = decontam.scan_documents(with_clashes(d, "dc_n_hit", "gram"), b, most_windows=most).collect()
+    assert len(out) == len(docs)
     assert {r.doc_id: (r.dc_n_words, r.dc_n_hit, r.dc_n_items, r.dc_items_sha256, r.dc_contaminated) for r in out} == brute_hits(docs, bench)
     kept = {r.doc_id for r in decontam.drop_contaminated(d, b, most_windows=most).collect()}
     assert kept == {i for i, x in brute_hits(docs, bench).items() if not x[4]}
@@ -530,6 +534,16 @@ def test_mix_meets_targets(spark, edge, empty):
     assert mixing.mix(with_clashes(edge, "place", "taken", "target", "size")).count() == len(EDGE)
 
 
+def test_small_sources_beside_huge_ones_meet_their_targets(spark):
+    rows = [(i, "w " * 40, "big") for i in range(4000)] + [(10_000 + i, "w " * 9, f"s{i // 60:02}") for i in range(60 * 40)]
+    # a block of the whole mix would be as long as a small source
+    taken, target = {}, {}
+    for r in mixing.mix(spark.createDataFrame(rows, DOC), slots=300).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.1 * target[s] for s in target)
+
+
 def test_targets_stop_at_three_times_a_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), ("c", 0), (None, 0)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
