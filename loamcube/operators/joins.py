@@ -67,39 +67,40 @@ def calendar_join(df: DataFrame, targets: DataFrame | None, bands: list[str], fi
     return out.withColumns({**{b: F.coalesce(b, F.lit(float(fill))) for b in bands}, "masked": F.coalesce("masked", F.lit(True))})
 
 
-def _both(source: DataFrame, targets: DataFrame, keys: tuple[str, ...], payload: Column) -> DataFrame:
-    a = source.select(*keys, "doy", payload.alias("_v"), F.lit(False).alias("_ask"))
-    b = targets.select(*keys, "doy").withColumns({"_v": F.lit(None).cast(a.schema["_v"].dataType), "_ask": F.lit(True)})
+def _both(source: DataFrame, targets: DataFrame, keys: tuple[str, ...], payload: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    none = [F.lit(None).cast(targets.schema[c].dataType).alias(c) for c in carry]
+    a = source.select(*keys, "doy", payload.alias("_v"), F.lit(False).alias("_ask"), *none)
+    b = targets.select(*keys, "doy", *carry).withColumns({"_v": F.lit(None).cast(a.schema["_v"].dataType), "_ask": F.lit(True)})
     return a.unionByName(b)
 
 
-def bracket(source: DataFrame, targets: DataFrame, values: list[str], keys: tuple[str, ...] = PIXEL, strict_after: bool = False) -> DataFrame:
+def bracket(source: DataFrame, targets: DataFrame, values: list[str], keys: tuple[str, ...] = PIXEL, strict_after: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each target date the last source row strictly before and the first at or after it.
 
     ``source`` holds usable rows only, one for each key and date. Returns keys, ``doy``, ``prev_doy``,
-    ``prev_<value>``, ``next_doy``, ``next_<value>``; null where there is none.
+    ``prev_<value>``, ``next_doy``, ``next_<value>``; null where there is none. Columns of the targets to ``carry`` come along.
     """
     payload = F.struct("doy", *values)
     w = W.partitionBy(*keys).orderBy("doy")
-    out = _both(source, targets, keys, payload).withColumns(
+    out = _both(source, targets, keys, payload, carry).withColumns(
         {
             "_p": F.last("_v", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1)),
             "_n": F.first("_v", ignorenulls=True).over(w.rangeBetween(1 if strict_after else 0, W.unboundedFollowing)),
         }
     )
     sides = [F.col(f"{side}.{v}").alias(f"{name}_{v}") for side, name in (("_p", "prev"), ("_n", "next")) for v in ("doy", *values)]
-    return out.where("_ask").select(*keys, "doy", *sides)
+    return out.where("_ask").select(*keys, "doy", *sides, *carry)
 
 
-def nearest_date(source_dates: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("site",), allow_same_day: bool = True) -> DataFrame:
+def nearest_date(source_dates: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("site",), allow_same_day: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Nearest source date of each target date, the earlier one on ties; null without any.
 
-    ``source_dates`` holds the eligible dates.
+    ``source_dates`` holds the eligible dates. Columns of the targets to ``carry`` come along.
     """
-    out = bracket(source_dates, targets, [], keys, strict_after=not allow_same_day)
+    out = bracket(source_dates, targets, [], keys, not allow_same_day, carry)
     before, after = F.col("doy") - F.col("prev_doy"), F.col("next_doy") - F.col("doy")
     near = F.when(F.col("next_doy").isNull() | (before <= after), F.col("prev_doy")).otherwise(F.col("next_doy"))
-    return out.select(*keys, "doy", near.alias("nearest_doy"), F.abs(near - F.col("doy")).alias("distance"))
+    return out.select(*keys, "doy", near.alias("nearest_doy"), F.abs(near - F.col("doy")).alias("distance"), *carry)
 
 
 def clear_dates(df: DataFrame, most_masked: float = 1.0, keys: tuple[str, ...] = ("site",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamcube.functions import scalars
@@ -85,13 +85,26 @@ def evaluate(obs: DataFrame, bands: list[str], p: HidingParameters, wanted: Data
 
 
 def date_record(aligned: DataFrame, given: DataFrame, bands: list[str], bandwidth: float = 10.0) -> DataFrame:
-    """One row for each site, sensor and date: clear rate, predicted rate, nearest input date, density, mean RMSE."""
+    """One row for each site, sensor and date: clear rate, predicted rate, nearest input date, density, mean RMSE.
+
+    Pixels are aggregated once; the nearest input date is found among the dates' records.
+    """
     keys = (*SERIES, "doy")
-    rate = aligned.groupBy(*keys, "clear").agg(F.avg(F.when(F.col("masked"), 0.0).otherwise(1.0)).alias("clear_pixel_rate"), F.avg(F.when(F.col(f"p_{bands[0]}").isNotNull(), 1.0).otherwise(0.0)).alias("predicted_pixel_rate"))
-    near = joins.nearest_date(given.select(*keys).distinct(), aligned.select(*keys).distinct(), SERIES)
-    near = near.withColumn("density", aggs.density(F.col("distance"), bandwidth)).drop("nearest_doy")
-    mean = aggs.per_band(aligned, bands, keys, aggs.rmse, "v").groupBy(*keys).agg(F.avg("v").alias("rmse"))
-    return rate.join(near, list(keys)).join(mean, list(keys), "left")
+
+    def error(b: str) -> Column:
+        p, r = F.col(f"p_{b}"), F.col(f"r_{b}")
+        scored = ~F.col("masked") & p.isNotNull() & r.isNotNull() & ~F.isnan(p)
+        return aggs.rmse(F.when(scored, p), F.when(scored, r))
+
+    record = aligned.groupBy(*keys, "clear").agg(
+        F.avg(F.when(F.col("masked"), 0.0).otherwise(1.0)).alias("clear_pixel_rate"),
+        F.avg(F.when(F.col(f"p_{bands[0]}").isNotNull(), 1.0).otherwise(0.0)).alias("predicted_pixel_rate"),
+        F.array_compact(F.array(*[error(b) for b in bands])).alias("errors"),
+    )
+    mean = F.aggregate("errors", F.lit(0.0), lambda total, e: total + e) / F.nullif(F.size("errors"), F.lit(0))
+    record = record.select(*keys, "clear", "clear_pixel_rate", "predicted_pixel_rate", mean.alias("rmse"))
+    out = joins.nearest_date(given.select(*keys).distinct(), record, SERIES, carry=("clear", "clear_pixel_rate", "predicted_pixel_rate", "rmse"))
+    return out.select(*keys, "clear", "clear_pixel_rate", "predicted_pixel_rate", "distance", aggs.density(F.col("distance"), bandwidth).alias("density"), "rmse")
 
 
 def invariant_violations(record: DataFrame) -> DataFrame:
