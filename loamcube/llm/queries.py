@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamcube.llm import chunk_dedup, decontam, hilbert_ann, html_text, license_scan, mixing, simhash, suffix_dedup, token_count, toxicity
-from loamcube.llm._shared import table
+from loamcube.llm import chunk_dedup, decontam, hilbert_ann, html_text, license_scan, mixing, simhash, suffix_dedup, token_count, toxicity, url_filter, vector_codes
+from loamcube.llm._shared import materialize, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", *(F.col(f"dc_{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark))
+    return out.select("page_id", *(F.col(f"uf_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    codebooks = vector_codes.fit(vectors)
+    coded = materialize(vector_codes.encode(vectors, codebooks).drop("embedding"), "vector-codes")
+    out = vector_codes.with_label_errors(coded)
+    return out.select("vec_id", *(F.col(f"vq_{c}").alias(c) for c in ("code", "error", "label_error")), F.lit(vector_codes.codebooks_sha256(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_hilbert_nearest_neighbours": op2_hilbert_nearest_neighbours,
@@ -82,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_url_filter": op12_url_filter,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -89,4 +104,6 @@ ORACLE: dict[str, str] = {
     "op8_suffix_array_dedup": suffix_dedup.oracle_sql(),
     "op9_license_scan": license_scan.oracle_sql(),
     "op10_benchmark_decontamination": decontam.oracle_sql(),
+    "op12_url_filter": url_filter.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
