@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamcube.llm import chunk_dedup, decontam, hilbert_ann, html_text, license_scan, mixing, simhash, suffix_dedup, token_count, toxicity, url_filter, vector_codes
+from loamcube.llm import chunk_dedup, decontam, hilbert_ann, html_text, license_scan, mixing, phrases, simhash, suffix_dedup, token_count, toxicity, url_filter, vector_codes
 from loamcube.llm._shared import materialize, table
 
 
@@ -71,6 +71,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", *(F.col(f"dc_{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark))
     return out.select("page_id", *(F.col(f"uf_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_url_filter": op12_url_filter,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -104,6 +109,7 @@ ORACLE: dict[str, str] = {
     "op8_suffix_array_dedup": suffix_dedup.oracle_sql(),
     "op9_license_scan": license_scan.oracle_sql(),
     "op10_benchmark_decontamination": decontam.oracle_sql(),
+    "op11_phrase_collocations": phrases.oracle_sql(),
     "op12_url_filter": url_filter.oracle_sql(),
     "op13_vector_codes": vector_codes.oracle_sql(),
 }
