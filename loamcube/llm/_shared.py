@@ -38,6 +38,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in buckets of ``key``: grouping by it later moves no row of it.
+
+    There are as many buckets as a shuffle has partitions. ``drop`` takes the table away.
+    """
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at, out.stored_as = path, name
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Take away what ``materialize_by`` made, once nothing reads it any more."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
+    discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

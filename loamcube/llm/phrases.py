@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamcube.llm._bytes import binary_of
-from loamcube.llm._shared import materialize
+from loamcube.llm._shared import drop, materialize, materialize_by
 
 #: Words of the longest phrase, occurrences of a frequent one, per cent of a phrase's occurrences that a longer one takes over.
 LONGEST, LEAST, TAKEN_OVER, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
@@ -270,13 +270,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     shards = texts.mapInArrow(lambda batches: _shards(batches, shard_words), "shard long, ids binary, langs array<string>, words array<string>, counts array<long>")
-    shards = materialize(shards, "phrase-shards")
+    # in buckets: what is frequent goes to the shards, and no shard is moved
+    shards = materialize_by(shards, "shard", "phrase_shards")
     ids = shards.select("shard", "ids").groupBy("shard")
 
     vocabulary = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("pos", "w")).select("shard", (F.col("pos") + 1).cast("long").alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f"))
     words = materialize(_numbered(words.where(F.col("f") >= least), ["lang", "word"], "number"), "phrase-words")
-    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     known = materialize(vocabulary.join(words, ["lang", "word"]).select("shard", "local", F.col("number").alias("x"), F.lit(0).cast("long").alias("y")), "phrase-known")
 
     found = ids.cogroup(known.groupBy("shard")).applyInArrow(lambda s, k: _pairs(s, k), "x long, y long, shard long, n long")
@@ -287,6 +288,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     longer = ids.cogroup(known.groupBy("shard")).applyInArrow(lambda s, k: _longer(s, k), "a long, b long, c long, d long, n long")
     longer = longer.groupBy("a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     longer = materialize(longer, "phrase-longer")
+    drop(shards)
 
     word = lambda n: words.select(F.col("number").alias(n), F.col("word").alias(f"word_{n}"), F.col("f").alias(f"f_{n}"), "lang")
     two = found.select(F.col("x").alias("a"), F.col("y").alias("b"), "f").distinct().join(word("a"), "a").join(word("b").drop("lang"), "b")
