@@ -122,8 +122,9 @@ def display_stretch(value: Column, masked: Column, channel: str) -> Column:
 
 
 def export_value(value: Column, scale: float = 1.0) -> Column:
-    """Scaled value as short; missing becomes the no-data value."""
-    return F.coalesce(F.nanvl(value * scale, F.lit(None).cast("double")), F.lit(float(NO_DATA))).cast("short")
+    """Scaled value as short; missing becomes the no-data value, what shorts can't hold the nearest one they can."""
+    known = F.coalesce(F.nanvl(value * scale, F.lit(None).cast("double")), F.lit(float(NO_DATA)))
+    return F.greatest(F.least(known, F.lit(32767.0)), F.lit(-32768.0)).cast("short")
 
 
 def product_day(date: Column) -> Column:

@@ -1,18 +1,20 @@
 """Neighbourhood operators on square tiles in pixel rows (keys, ``r``, ``c``, a value).
 
-Linear ones are tables of weights, one for each axis: a row for each tap of each line of a tile, whatever the data,
-broadcast and joined; values are weighted sums. Local reductions are separable range windows. A user's own
+Linear ones are weights, one table for each axis, and go through ``weighted``: pixels are packed into strips of rows with the halo
+rows that the weights reach, before they are shuffled, and each strip is computed as an array. Morphology
+looks for the nearest pixel of the other kind to each side, in one running pass whatever the reach. A user's own
 function of tiles goes through ``dense``, block by block as arrays.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,32 +80,122 @@ def axis_weights(size: int, factor: float, mode: str = "bicubic") -> dict[tuple[
     return out
 
 
-def _axis_table(spark: SparkSession, weights: dict[tuple[int, int], float], names: tuple[str, str, str]) -> DataFrame:
+Weights = dict[tuple[int, int], float]
+#: Cells of a strip's array, so that a batch of strips stays small.
+STRIP_CELLS = 1 << 17
+#: Strips that a worker holds at a time.
+STRIP_BATCH = 32
+
+
+def _axis_table(spark: SparkSession, weights: Weights, names: tuple[str, str, str]) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(o, i, w) for (o, i), w in weights.items()], f"{names[0]} int, {names[1]} int, {names[2]} double"))
 
 
-def convolve(px: DataFrame, size: int, kernel: np.ndarray, keys: tuple[str, ...], value: str = "v", to: str = "v") -> DataFrame:
-    """Convolution of each tile; rows come back with ``r``, ``c`` and the new value alone.
+def identity(size: int) -> Weights:
+    return {(i, i): 1.0 for i in range(size)}
+
+
+def strips_of(down: list[Weights], size: int) -> list[tuple[int, int, int, int]]:
+    """(first, last row of the result, first, last row read) of each strip of whole rows, last ones exclusive.
+
+    A strip's height follows what its weights reach, so that the halo adds at most as many rows as it has.
+    """
+    reads: dict[int, list[int]] = {}
+    for weights in down:
+        for o, i in weights:
+            reads.setdefault(o, []).append(i)
+    rows = sorted(reads)
+    reach = max((max(v) - min(v) + 1 for v in reads.values()), default=1)
+    step = max(reach, STRIP_CELLS // max(size, 1) // 2, 1)
+    out = []
+    for first in range(0, len(rows), step):
+        own = rows[first : first + step]
+        out.append((own[0], own[-1] + 1, min(min(reads[o]) for o in own), max(max(reads[o]) for o in own) + 1))
+    return out
+
+
+def _matrix(weights: Weights, outs: tuple[int, int], ins: tuple[int, int]) -> np.ndarray:
+    out = np.zeros((outs[1] - outs[0], ins[1] - ins[0]))
+    for (o, i), w in weights.items():
+        if outs[0] <= o < outs[1]:
+            out[o - outs[0], i - ins[0]] = w
+    return out
+
+
+def weighted(px: DataFrame, size: int, operators: list[tuple[Weights, Weights]], keys: tuple[str, ...], value: str = "v", to: str = "v") -> DataFrame:
+    """Sum over ``operators`` of weights along rows times weights along columns; ``r``, ``c`` and the new value.
 
-    One axis after the other, so the tables of weights have a row for each tap of each line, and a pixel meets
-    twice the taps of an axis instead of all taps of the kernel.
+    One shuffle: rows are packed into strips before it (a strip with its halo is one array for each task that holds some of
+    it), and a strip of bounded size is one small product of matrices. Missing and null pixels count
+    nothing; a result without any pixel under its weights is left out, one with nulls alone is null, one with a NaN or an infinity NaN.
     """
-    spark, parts = px.sparkSession, []
-    for down, along in separated(kernel):
-        out = px.select(*keys, "r", "c", F.col(value).alias("_v")).join(_axis_table(spark, convolution_weights(size, down), ("ro", "r", "w")), "r")
-        out = out.groupBy(*keys, "ro", "c").agg(F.sum(F.col("_v") * F.col("w")).alias("_v")).join(_axis_table(spark, convolution_weights(size, along), ("co", "c", "w")), "c")
-        parts.append(out.groupBy(*keys, "ro", "co").agg(F.sum(F.col("_v") * F.col("w")).alias(to)))
-    out = parts[0]
-    if len(parts) > 1:
-        for other in parts[1:]:
-            out = out.union(other)
-        out = out.groupBy(*keys, "ro", "co").agg(F.sum(to).alias(to))
-    return out.withColumnsRenamed({"ro": "r", "co": "c"})
+    spans = strips_of([down for down, _ in operators], size)
+    if not spans:
+        return px.select(*keys, "r", "c", F.col(value).cast("double").alias(to)).where("false")
+    wide = (0, max(o for _, along in operators for o, _ in along) + 1)
+    place = [(i, t) for t, (_, _, low, high) in enumerate(spans) for i in range(low, high)]
+    table = F.broadcast(px.sparkSession.createDataFrame(place, "r int, _strip int"))
+    cells = px.select(*keys, F.col("r").cast("int").alias("r"), F.struct((F.col("r") * size + F.col("c")).cast("int").alias("idx"), F.col(value).cast("double").alias("v")).alias("_px"))
+    cells = cells.join(table, "r").groupBy(*keys, "_strip").agg(F.collect_list("_px").alias("_px"))
+    types = [px.schema[k].dataType for k in keys]
+    schema = ", ".join([*(f"`{k}` {t.simpleString()}" for k, t in zip(keys, types, strict=True)), f"r int, c int, `{to}` double"])
+
+    def strip(number: int, pixels: pa.StructArray, made: dict) -> list[np.ndarray]:
+        """r, c, value of a strip's results, and which of them are null."""
+        top, bottom, low, high = spans[number]
+        if "along" not in made:
+            made["along"] = [_matrix(along, wide, (0, size)).T for _, along in operators]
+        if number not in made:
+            made[number] = [_matrix(down, (top, bottom), (low, high)) for down, _ in operators]
+        pairs = list(zip(made[number], made["along"], strict=True))
+        at = pixels.field("idx").to_numpy() - low * size
+        known = pixels.field("v").is_valid().to_numpy(zero_copy_only=False)
+        v = pixels.field("v").fill_null(0.0).to_numpy()
+        finite = np.isfinite(v)
+        x = np.zeros((high - low, size))
+        x.ravel()[at] = np.where(finite, v, 0.0)
+        out = sum(down @ x @ along for down, along in pairs)
+
+        def touched(cells: np.ndarray) -> np.ndarray:
+            m = np.zeros(x.shape)
+            m.ravel()[cells] = 1.0
+            return sum((down != 0) @ m @ (along != 0) for down, along in pairs) > 0
+
+        shown = touched(at)
+        null = np.zeros(out.shape, bool) if known.all() else ~touched(at[known])
+        if not finite.all():
+            out[touched(at[~finite])] = np.nan
+        r, c = np.nonzero(shown)
+        return [(r + top).astype(np.int32), c.astype(np.int32), out[r, c], null[r, c]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
+        n = len(keys)
+        for whole in batches:
+            for first in range(0, whole.num_rows, STRIP_BATCH):
+                batch = whole.slice(first, STRIP_BATCH)
+                numbers, pixels = batch.column(n).to_pylist(), batch.column(n + 1)
+                parts = [strip(number, pixels[i].values, made) for i, number in enumerate(numbers)]
+                index = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+                r, c, v, null = (np.concatenate(column) for column in zip(*parts, strict=True))
+                own = [batch.column(k).take(index) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(r), pa.array(c), pa.array(v, mask=null)], [*keys, "r", "c", to])
+
+    return cells.mapInArrow(run, schema)
+
+
+def convolve(px: DataFrame, size: int, kernel: np.ndarray, keys: tuple[str, ...], value: str = "v", to: str = "v") -> DataFrame:
+    """Convolution of each tile, borders reflected; rows come back with ``r``, ``c`` and the new value alone."""
+    return weighted(px, size, _convolution(size, kernel), keys, value, to)
+
+
+def _convolution(size: int, kernel: np.ndarray, sign: float = 1.0) -> list[tuple[Weights, Weights]]:
+    return [(convolution_weights(size, sign * down), convolution_weights(size, along)) for down, along in separated(kernel)]
 
 
 def high_pass(px: DataFrame, size: int, kernel: np.ndarray, keys: tuple[str, ...], value: str = "v", to: str = "v") -> DataFrame:
-    blur = convolve(px, size, kernel, keys, value, "_blur")
-    return px.select(*keys, "r", "c", F.col(value).alias("_v")).join(blur, [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("_v") - F.col("_blur")).alias(to))
+    """What the kernel's blur leaves: the tile itself and the blur taken away are one operator."""
+    return weighted(px, size, [(identity(size), identity(size)), *_convolution(size, kernel, -1.0)], keys, value, to)
 
 
 def gradient_magnitude(px: DataFrame, keys: tuple[str, ...], value: str = "v", to: str = "grad") -> DataFrame:
@@ -123,7 +215,7 @@ def resample(px: DataFrame, size: int, factor: float, keys: tuple[str, ...], val
         return px
     spark = px.sparkSession
     weights = axis_weights(size, factor, mode)
-    out = _by_axes(px, weights, weights, keys, value)
+    out = _by_axes(px, size, weights, weights, keys, value)
     if mask is None:
         return out
     near = {(o, min(int(o * factor), size - 1)): 1.0 for o in range(int(size / factor))}
@@ -154,20 +246,17 @@ def thumbnail_weights(size: int, factor: float) -> dict[tuple[int, int], float]:
 def thumbnail(px: DataFrame, size: int, factor: float, keys: tuple[str, ...], value: str = "v", mask: str | None = None) -> DataFrame:
     """Shrunk at read by ``factor``: values by a widened triangle, the mask by the cell at the middle."""
     weights = thumbnail_weights(size, factor)
-    out = _by_axes(px, weights, weights, keys, value)
+    out = _by_axes(px, size, weights, weights, keys, value)
     if mask is None:
         return out
     near = {(o, min(int((o + 0.5) * factor), size - 1)): 1.0 for o in range(int(size / factor))}
-    m = _by_axes(px.withColumn("_m", F.col(mask).cast("double")), near, near, keys, "_m")
+    m = _by_axes(px.withColumn("_m", F.col(mask).cast("double")), size, near, near, keys, "_m")
     return out.join(m.select(*keys, "r", "c", (F.col("_m") > 0).alias(mask)), [*keys, "r", "c"])
 
 
-def _by_axes(px: DataFrame, down: dict[tuple[int, int], float], along: dict[tuple[int, int], float], keys: tuple[str, ...], value: str) -> DataFrame:
-    """Weighted sums over rows by ``down``, then over columns by ``along``."""
-    spark = px.sparkSession
-    out = px.select(*keys, "r", "c", F.col(value).alias("_v")).join(_axis_table(spark, down, ("ro", "r", "w")), "r")
-    out = out.groupBy(*keys, "ro", "c").agg(F.sum(F.col("_v") * F.col("w")).alias("_v")).join(_axis_table(spark, along, ("co", "c", "w")), "c")
-    return out.groupBy(*keys, "ro", "co").agg(F.sum(F.col("_v") * F.col("w")).alias(value)).withColumnsRenamed({"ro": "r", "co": "c"})
+def _by_axes(px: DataFrame, size: int, down: Weights, along: Weights, keys: tuple[str, ...], value: str) -> DataFrame:
+    """Weighted sums over rows by ``down``, over columns by ``along``."""
+    return weighted(px, size, [(down, along)], keys, value, value)
 
 
 def spline_weights(size: int, offset: float, step: float = 1.0, n_out: int | None = None) -> dict[tuple[int, int], float]:
@@ -197,36 +286,70 @@ def spline_weights(size: int, offset: float, step: float = 1.0, n_out: int | Non
 
 def shift_spline(px: DataFrame, size: int, dr: float, dc: float, keys: tuple[str, ...], value: str = "v", step: float = 1.0, n_out: int | None = None) -> DataFrame:
     """Tile moved by a part of a pixel along a cubic spline; ``step`` and ``n_out`` put it on another grid."""
-    return _by_axes(px, spline_weights(size, dr, step, n_out), spline_weights(size, dc, step, n_out), keys, value)
+    return _by_axes(px, size, spline_weights(size, dr, step, n_out), spline_weights(size, dc, step, n_out), keys, value)
+
 
+def _runs(keys: tuple[str, ...], along: str) -> tuple:
+    """Running windows to both sides of a line: each row adds itself, whatever the reach (a frame that ends behind would be read again)."""
+    across = "c" if along == "r" else "r"
+    line = W.partitionBy(*keys, across)
+    return line.orderBy(F.asc(along)), line.orderBy(F.desc(along))
 
-def _slide(px: DataFrame, keys: tuple[str, ...], flag: str, k: int, any_: bool, origin: int) -> DataFrame:
-    """Any or all of a ``k`` x ``k`` neighbourhood, axis by axis; outside counts as clear."""
-    low, high = -(k // 2) + origin, (k - 1) // 2 + origin
+
+def _nearest(px: DataFrame, keys: tuple[str, ...], along: str, flag: str, k: int, any_: bool) -> DataFrame:
+    """``flag`` where any, or else all, of the ``k`` places around a pixel of its line are flagged; outside counts as clear.
+
+    Any: the nearest flagged place to one side is near enough. All: the nearest clear place to both sides, or the
+    place without a pixel, is too far.
+    """
+    low, high = -(k // 2), (k - 1) // 2
     if not any_:
         low, high = -high, -low
-    for along, across in (("r", "c"), ("c", "r")):
-        w = W.partitionBy(*keys, across).orderBy(along).rangeBetween(low, high)
-        if any_:
-            px = px.withColumn(flag, F.bool_or(flag).over(w))
-        else:
-            px = px.withColumn(flag, F.bool_and(flag).over(w) & (F.count("*").over(w) == k))
+    ahead, back = _runs(keys, along)
+    pos, running = F.col(along), lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    if any_:
+        met = F.when(F.col(flag), pos)
+        px = px.withColumns({"_before": F.last(met, True).over(running(ahead)), "_behind": F.last(met, True).over(running(back))})
+        near = (F.col("_before") >= pos + low) | (F.col("_behind") <= pos + high)
+        return px.withColumn(flag, F.coalesce(near, F.lit(False))).drop("_before", "_behind")
+
+    def clear(w, step: int) -> Column:
+        gap = F.coalesce(F.lag(along).over(w) != pos - step, F.lit(True))
+        return F.when(~F.col(flag), pos).when(gap, pos - step)
+
+    px = px.withColumns({"_b": clear(ahead, 1), "_e": clear(back, -1)})
+    px = px.withColumns({"_before": F.last("_b", True).over(running(ahead)), "_behind": F.last("_e", True).over(running(back))})
+    far = F.col(flag) & (F.col("_before") < pos + low) & (F.col("_behind") > pos + high)
+    return px.withColumn(flag, far).drop("_b", "_e", "_before", "_behind")
+
+
+def _both_axes(px: DataFrame, keys: tuple[str, ...], flag: str, k: int, any_: bool, order: str = "rc") -> DataFrame:
+    for along in order:
+        px = _nearest(px, keys, along, flag, k, any_)
     return px
 
 
 def dilate(px: DataFrame, k: int, keys: tuple[str, ...], flag: str = "masked") -> DataFrame:
-    return px if k <= 1 else _slide(px, keys, flag, k, True, 0)
+    """Flagged where any pixel of the ``k`` x ``k`` around is; the work doesn't follow ``k``."""
+    return px if k <= 1 else _both_axes(px, keys, flag, k, True)
 
 
 def erode(px: DataFrame, k: int, keys: tuple[str, ...], flag: str = "masked") -> DataFrame:
-    return px if k <= 1 else _slide(px, keys, flag, k, False, 0)
+    """Flagged where all pixels of the ``k`` x ``k`` around are; what lies outside isn't."""
+    return px if k <= 1 else _both_axes(px, keys, flag, k, False)
 
 
 def clean_mask(px: DataFrame, opening: int, dilation: int, keys: tuple[str, ...], flag: str = "masked") -> DataFrame:
-    """Opening by ``opening``, then closing and dilation by ``dilation``."""
-    out = dilate(erode(px, opening, keys, flag), opening, keys, flag)
-    out = erode(dilate(out, dilation, keys, flag), dilation, keys, flag)
-    return dilate(out, dilation, keys, flag)
+    """Opening by ``opening``, then closing and dilation by ``dilation``.
+
+    The axes of an operation may come in any order, so each begins with the one that the one before ended with: lines of the
+    same axis stay where they are.
+    """
+    out, order = px, "rc"
+    for k, any_ in ((opening, False), (opening, True), (dilation, True), (dilation, False), (dilation, True)):
+        if k > 1:
+            out, order = _both_axes(out, keys, flag, k, any_, order), order[::-1]
+    return out
 
 
 def shift_nearest(px: DataFrame, size: int, dr: float, dc: float, keys: tuple[str, ...], value: str = "v", fill: float = 0.0) -> DataFrame:

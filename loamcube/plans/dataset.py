@@ -48,14 +48,18 @@ def patch_dataset(table: DataFrame, aoi: DataFrame, size: float) -> DataFrame:
 
 
 def resample_at_read(px: DataFrame, size: int, stored: float, wanted: float, keys: tuple[str, ...], value: str = "v", mask: str = "masked", mtf: float = 0.4) -> DataFrame:
-    """Pixels stored at one resolution on the grid of another: bicubic to a finer one, as whole numbers; blurred by a
+    """Pixels stored at one resolution on the grid of another: bicubic to a finer one, as shorts; blurred by a
     kernel of half width 3 to a coarser one. The mask by the nearest cell.
+
+    A value that a missing pixel reaches into is the no-data value, and masked, on a finer grid; NaN or null on a coarser one. What
+    overshoots the range of shorts is cut to it.
     """
     if stored == wanted:
         return px
     factor = wanted / stored
     if factor < 1:
-        return tiles.resample(px, size, factor, keys, value, mask=mask).withColumn(value, F.col(value).cast("short"))
+        out = tiles.resample(px, size, factor, keys, value, mask=mask)
+        return out.withColumns({mask: F.col(mask) | F.col(value).isNull() | F.isnan(value), value: scalars.export_value(F.col(value))})
     blurred = tiles.convolve(px, size, tiles.psf_kernel(stored, wanted, mtf, 3), keys, value, value).join(px.select(*keys, "r", "c", mask), [*keys, "r", "c"])
     return tiles.resample(blurred, size, factor, keys, value, mask=mask)
 

@@ -114,36 +114,6 @@ def residual_compensation(pred: DataFrame, coarse: DataFrame, fine_size: int, fa
     return pred.join(up, [*keys, "r", "c"]).join(low, [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("v") + F.col("_up") - F.col("_low")).alias("v"))
 
 
-def thermal_sharpening(fine: DataFrame, coarse: DataFrame, factor: int, features: list[str], keys: tuple[str, ...], depth: int = 4, residual: bool = True) -> DataFrame:
-    """Temperature on the fine grid from a regression tree on coarse cells.
-
-    ``fine`` has keys, r, c, features, masked; ``coarse`` keys, r, c, lst, masked. Features are averaged over each coarse
-    cell, the tree learns temperature from them, and is applied to the fine cells; the coarse residual is added.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    cell = {"r": F.floor(F.col("r") / factor).cast("int"), "c": F.floor(F.col("c") / factor).cast("int")}
-    means = fine.where("not masked").withColumns(cell).groupBy(*keys, "r", "c").agg(*[F.avg(f).alias(f) for f in features])
-    train = means.join(coarse.where("not masked").select(*keys, "r", "c", "lst"), [*keys, "r", "c"])
-    vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
-    model = DecisionTreeRegressor(featuresCol="_x", labelCol="lst", predictionCol="_p", maxDepth=depth, seed=1).fit(vec.transform(train))
-    sharp = model.transform(vec.transform(fine)).select(*keys, "r", "c", "masked", F.col("_p").alias("lst"))
-    if residual:
-        own = model.transform(vec.transform(train)).select(*keys, F.col("r").alias("_r"), F.col("c").alias("_c"), (F.col("lst") - F.col("_p")).alias("_res"))
-        sharp = sharp.withColumns({"_r": cell["r"], "_c": cell["c"]}).join(own, [*keys, "_r", "_c"], "left").withColumn("lst", F.col("lst") + F.coalesce("_res", F.lit(0.0))).drop("_r", "_c", "_res")
-    over = coarse.select(*keys, F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("masked").alias("_m"))
-    out = sharp.withColumns({"_r": cell["r"], "_c": cell["c"]}).join(over, [*keys, "_r", "_c"], "left")
-    return out.withColumn("masked", F.col("masked") | F.coalesce("_m", F.lit(True)) | F.isnan("lst")).drop("_r", "_c", "_m")
-
-
-def sharpen_thermal_series(hr: DataFrame, lr: DataFrame, factor: int, features: list[str], depth: int = 4, residual: bool = True) -> DataFrame:
-    """Thermal sharpening of each LR date by the nearest HR date of its site; tiles have site, doy, r, c."""
-    near = joins.nearest_date(hr.select("site", "doy").distinct(), lr.select("site", "doy").distinct()).where("nearest_doy is not null")
-    fine = hr.withColumnRenamed("doy", "nearest_doy").join(near.select("site", "doy", "nearest_doy"), ["site", "nearest_doy"])
-    return thermal_sharpening(fine.drop("nearest_doy"), lr, factor, features, ("site", "doy"), depth, residual)
-
-
 def pair_tiles(hr: DataFrame, lr: DataFrame, size: int, band: str, reduce_by: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(LR date and nearest HR date of another day, LR tiles reduced by ``reduce_by``): the inputs of a per-date model."""
     near = joins.nearest_date(hr.select("site", "doy").distinct(), lr.select("site", "doy").distinct(), allow_same_day=False).where("nearest_doy is not null")

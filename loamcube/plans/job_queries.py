@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamcube import fixtures as fx
 from loamcube.functions import scalars
 from loamcube.operators import filters, joins, tiles, timeops
-from loamcube.plans import dataset, evaluation, fusion, quality
+from loamcube.plans import dataset, evaluation, fusion, quality, thermal
 from loamcube.plans.column_queries import _DATED, _KEY, _KEYS, _dated
 from loamcube.plans.registry import query
 from loamcube.plans.tile_queries import _OP, _RING, KEY, MTF, MTF_RES, N, _axis_sql, _blur_sql, _kernel_sql, _resample_sql
@@ -183,7 +183,7 @@ def q_thermal_series(spark, sf):
     px = _dates(spark, sf)
     fine = px.where("doy % 2 = 1").withColumns({"f1": F.col("v") * F.col("v"), "f2": F.col("v")}).drop("v")
     low = _coarse(px.where("doy % 2 = 0"), ("site", "doy")).select("site", "doy", "r", "c", (F.col("v") * 40 + 290).alias("lst"), "masked")
-    return fusion.sharpen_thermal_series(fine, low, 2, ["f1", "f2"])
+    return thermal.sharpen_series(fine, low, 2, ["f1", "f2"], thermal.TreeParameters(depth=2, bins=8, least=3, window=2, reach=1))
 
 
 # datasets and ingest

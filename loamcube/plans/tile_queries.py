@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamcube import fixtures as fx
 from loamcube.operators import aggs, filters, joins, reshape, tiles
-from loamcube.plans import fusion
+from loamcube.plans import fusion, thermal
 from loamcube.plans.registry import query
 
 N = 8
@@ -186,6 +186,7 @@ def q_tiled_gain(spark, sf):
 
 @query("q_thermal_tree")
 def q_thermal_tree(spark, sf):
+    """Windows of two coarse cells, with one around; trees of each tile."""
     px = _px(spark, sf).withColumns({"f1": F.col("v") * F.col("v"), "f2": F.col("v")}).select("vec_id", "r", "c", "masked", "f1", "f2")
     coarse = tiles.resample(_px(spark, sf), N, 2.0, KEY, mask="masked").select("vec_id", "r", "c", (F.col("v") * 40 + 290).alias("lst"), "masked")
-    return fusion.thermal_sharpening(px, coarse, 2, ["f1", "f2"], KEY)
+    return thermal.sharpen(px, coarse, 2, ["f1", "f2"], KEY, thermal.TreeParameters(depth=2, bins=8, least=3, window=2, reach=1))
