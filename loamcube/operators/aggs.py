@@ -6,6 +6,7 @@ from collections.abc import Callable
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamcube.functions.scalars import smooth_l1
@@ -191,10 +192,47 @@ def density(distance: Column, bandwidth: float = 10.0) -> Column:
     return F.coalesce(F.exp(-(q * q)), F.lit(0.0))
 
 
-def quantiles(df: DataFrame, band: str, keys: tuple[str, ...], exact: bool = True) -> DataFrame:
-    """5 % and 95 % quantiles of clear values."""
-    f = F.percentile if exact else F.percentile_approx
-    return df.where("not masked").groupBy(*keys).agg(f(band, F.array(F.lit(0.05), F.lit(0.95))).alias("_q")).select(*keys, F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q95"))
+def quantiles(df: DataFrame, band: str, keys: tuple[str, ...], exact: bool = True, bins: int = 1024, rounds: int = 2) -> DataFrame:
+    """5 % and 95 % quantiles of clear values that aren't NaN, between neighbours in order.
+
+    Exact ones are selected: each of ``rounds`` histograms of a group's values shows in which of its ``bins`` the wanted places lie, and
+    only values of these bins go on; what is left is counted by value. A group never holds more than bins or values of
+    few bins. The others come from Spark's sketch.
+    """
+    probs = (0.05, 0.95)
+    v = df.where(~F.col("masked") & F.col(band).isNotNull() & ~F.isnan(band)).select(*keys, F.col(band).cast("double").alias("_v"))
+    if not exact:
+        sketch = F.percentile_approx("_v", F.array(*map(F.lit, probs)))
+        return v.groupBy(*keys).agg(sketch.alias("_q")).select(*keys, F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q95"))
+    own = [F.col(k) for k in keys]
+    place = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    sizes = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in place])))
+    wanted = sizes.select(*own, F.explode(ranks).alias("_rank"), "_low", "_high", F.lit(0).cast("long").alias("_below"))
+    line = W.partitionBy(*keys, "_rank")
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        return v.join(wanted, list(keys)).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+    def with_place(counted: DataFrame, by: str) -> DataFrame:
+        before = F.coalesce(F.sum("_m").over(line.orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        at = counted.withColumn("_at", F.col("_below") + before)
+        return at.where((F.col("_at") <= F.col("_rank")) & (F.col("_rank") < F.col("_at") + F.col("_m")))
+
+    for _ in range(rounds):
+        step = F.nullif((F.col("_high") - F.col("_low")) / bins, F.lit(0.0))
+        cell = F.coalesce(F.least(F.floor((F.col("_v") - F.col("_low")) / step), F.lit(bins - 1)), F.lit(0))
+        hist = inside(wanted).groupBy(*keys, "_rank", "_below", cell.alias("_bin")).agg(F.count("*").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        wanted = with_place(hist, "_bin").select(*own, "_rank", "_low", "_high", F.col("_at").alias("_below"))
+    counted = inside(wanted).groupBy(*keys, "_rank", "_below", "_v").agg(F.count("*").alias("_m"))
+    found = with_place(counted, "_v").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_x"))
+    found = found.join(sizes.select(*own, "_n"), list(keys))
+
+    def between(x: Column) -> Column:
+        low, high = F.col("_x")[F.floor(x)], F.col("_x")[F.ceil(x)]
+        return F.when(F.floor(x) == F.ceil(x), low).otherwise(low * (F.ceil(x) - x) + high * (x - F.floor(x)))
+
+    return found.select(*own, between(place[0]).alias("q05"), between(place[1]).alias("q95"))
 
 
 def band_group_means(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
@@ -206,6 +244,29 @@ def result_table(metrics: DataFrame, by: tuple[str, ...] = ("metric", "band", "c
     return metrics.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
+def result_states(metrics: DataFrame, by: tuple[str, ...] = ("metric", "band", "clear"), value: str = "value") -> DataFrame:
+    """Number, mean and squared deviations of each kind of result: what ``result_table`` needs, in a form that can be combined."""
+    known = metrics.where(F.col(value).isNotNull())
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("m2"))
+
+
+def combined_states(states: DataFrame, by: tuple[str, ...] = ("metric", "band", "clear")) -> DataFrame:
+    """States of the same kind made one; the order of batches doesn't matter but for rounding.
+
+    Deviations are taken from the combined mean, so means that lie far from 0 cost no digits.
+    """
+    w = W.partitionBy(*by)
+    centre = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    moved = states.withColumn("_c", centre)
+    shift = F.col("mean") - F.col("_c")
+    return moved.groupBy(*by).agg(F.sum("n").alias("n"), F.first("_c").alias("mean"), F.sum(F.col("m2") + F.col("n") * shift * shift).alias("m2"))
+
+
+def table_of_states(states: DataFrame, by: tuple[str, ...] = ("metric", "band", "clear")) -> DataFrame:
+    """The ``result_table`` of combined states."""
+    return states.select(*by, "mean", F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("std"))
+
+
 def rollup_scores(metrics: DataFrame, value: str = "value") -> DataFrame:
     """Mean over dates of each band, then over the bands of a resolution and over all bands of a sensor."""
     per = metrics.groupBy("sensor", "res", "band").agg(F.avg(value).alias("v"))
@@ -214,8 +275,6 @@ def rollup_scores(metrics: DataFrame, value: str = "value") -> DataFrame:
 
 def role_weights(dates: DataFrame) -> DataFrame:
     """Share of each sensor in the dates of its site."""
-    from pyspark.sql import Window as W
-
     per = dates.groupBy(*SERIES).agg(F.count("*").alias("n_dates"))
     return per.withColumn("weight", F.col("n_dates") / F.sum("n_dates").over(W.partitionBy("site")))
 

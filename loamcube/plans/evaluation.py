@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamcube.functions import scalars
@@ -84,6 +87,50 @@ def evaluate(obs: DataFrame, bands: list[str], p: HidingParameters, wanted: Data
     return rows, aggs.result_table(rows), skipped_sites(wanted, rows)
 
 
+def run_by_sites(spark: SparkSession, sites: list, job: Callable[[list], DataFrame], out: str, ledger: str, group: int = 8, attempts: int = 2) -> DataFrame:
+    """Run ``job`` over groups of sites, write what it returns (with ``site``) below ``out`` by site, and keep a ledger.
+
+    A group that fails is halved until the site that fails is alone; that is tried ``attempts`` times, over all runs, and entered with its
+    error. A site's rows replace those it had, so a run that was cut off is run again, and only for sites that the
+    ledger doesn't call done. Returns the state of each wanted site: site, state, attempts, error.
+    """
+    schema = "site string, state string, at timestamp, error string"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    entered = spark.read.schema(schema).parquet(ledger) if fs else spark.createDataFrame([], schema)
+    state = entered.groupBy("site").agg(F.bool_or(F.col("state") == "done").alias("done"), F.count_if(F.col("state") == "failed").alias("failed")).collect()
+    done, failed = {r["site"] for r in state if r["done"]}, {r["site"]: r["failed"] for r in state}
+
+    def enter(group: list, state: str, error: str | None = None) -> None:
+        rows = [(str(s), state, dt.datetime.now(dt.UTC), error) for s in group]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ledger)
+
+    def run(group: list) -> None:
+        try:
+            job(group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(out)
+        except Exception as error:
+            # any error of a site's data is entered, not raised: the other sites go on
+            if len(group) > 1:
+                run(group[: len(group) // 2])
+                run(group[len(group) // 2 :])
+                return
+            site = str(group[0])
+            failed[site] = failed.get(site, 0) + 1
+            enter(group, "failed", str(error)[:1000])
+            if failed[site] < attempts:
+                run(group)
+            return
+        enter(group, "done")
+
+    left = [s for s in sites if str(s) not in done and failed.get(str(s), 0) < attempts]
+    for first in range(0, len(left), group):
+        run(left[first : first + group])
+    entered = spark.read.schema(schema).parquet(ledger) if left or fs else entered
+    wanted = spark.createDataFrame([(str(s),) for s in sites], "site string").distinct()
+    states = entered.groupBy("site").agg(F.when(F.bool_or(F.col("state") == "done"), "done").otherwise("failed").alias("state"), F.count("*").alias("attempts"), F.max_by("error", "at").alias("error"))
+    return wanted.join(states, "site", "left").withColumn("state", F.coalesce("state", F.lit("left")))
+
+
 def date_record(aligned: DataFrame, given: DataFrame, bands: list[str], bandwidth: float = 10.0) -> DataFrame:
     """One row for each site, sensor and date: clear rate, predicted rate, nearest input date, density, mean RMSE.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,3 +186,73 @@ def tiled(px: DataFrame, fn, size: int, patch: int, margin: int, keys: tuple[str
     types = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in (*keys, "pr", "pc"))
     done = tiles.dense(blocks, run, "data", span, (*keys, "pr", "pc"), f"{types}, ir int, ic int, v double")
     return reshape.unpatchify(done, size, patch, margin, keys)
+
+
+@dataclass(frozen=True)
+class Cube:
+    """One sensor's dates of a tile with its halo: ``values`` (date, band, row, column), ``masked`` (date, row, column)."""
+
+    doy: np.ndarray
+    values: np.ndarray
+    masked: np.ndarray
+
+
+def _packed(px: DataFrame, patch: int, margin: int, n: int, keys: tuple[str, ...], bands: list[str]) -> DataFrame:
+    """Dates of tiles as arrays of (place, masked, bands), packed before they are shuffled; halo pixels go to each tile that reaches them."""
+    span, reach = patch + 2 * margin, -(-margin // patch)
+
+    def near(x: str) -> Column:
+        at = F.floor(F.col(x) / patch).cast("int")
+        return F.explode(F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.lit(n - 1))))
+
+    out = px.withColumn("pr", near("r")).withColumn("pc", near("c"))
+    out = out.withColumns({"_ir": F.col("r") - F.col("pr") * patch + margin, "_ic": F.col("c") - F.col("pc") * patch + margin})
+    out = out.where(F.col("_ir").between(0, span - 1) & F.col("_ic").between(0, span - 1))
+    cell = F.struct((F.col("_ir") * span + F.col("_ic")).cast("int").alias("idx"), F.col("masked").alias("masked"), *(F.col(b).cast("double").alias(b) for b in bands))
+    return out.groupBy(*keys, "pr", "pc", F.col("doy").cast("int").alias("doy")).agg(F.collect_list(cell).alias("px"))
+
+
+def tiled_pair(hr: DataFrame, lr: DataFrame, fn: Callable[[Cube, Cube], Cube], size: int, factor: int, patch: int, margin: int, keys: tuple[str, ...], hr_bands: list[str], lr_bands: list[str], bands: list[str]) -> DataFrame:
+    """A function of both sensors, tile by tile, on the fine grid: keys, doy, r, c, ``bands``, masked.
+
+    ``hr`` has keys, doy, r, c, its bands and ``masked`` on a grid of ``size`` rows and columns, ``lr`` the same on one ``factor`` times
+    coarser. A tile is ``patch`` fine pixels wide with ``margin`` around it; the coarse tile and its halo are as many times smaller. Both
+    tiles meet in one task; pixels outside the image or missing are NaN and masked. ``fn`` returns dates of its own choice on the
+    fine tile with halo, of which the halo is dropped. A tile that one sensor has no pixel of gets a cube without dates.
+    """
+    if patch % factor or margin % factor:
+        raise ValueError("tile and halo must be whole coarse pixels")
+    n = -(-size // patch)
+    tile = [*keys, "pr", "pc"]
+    left = _packed(hr, patch, margin, n, keys, hr_bands)
+    right = _packed(lr, patch // factor, margin // factor, n, keys, lr_bands)
+    types = ", ".join(f"`{k}` {hr.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{types}, doy int, r int, c int, {', '.join(f'`{b}` double' for b in bands)}, masked boolean"
+
+    def cube(table: pa.Table, names: list[str], span: int) -> Cube:
+        days = table.column("doy").to_numpy()
+        values, masked = np.full((len(days), len(names), span * span), np.nan), np.ones((len(days), span * span), bool)
+        px = table.column("px").combine_chunks() if len(days) else []
+        for i in range(len(days)):
+            own = px[i].values
+            at = own.field("idx").to_numpy()
+            masked[i, at] = own.field("masked").fill_null(True).to_numpy(zero_copy_only=False)
+            for b, name in enumerate(names):
+                values[i, b, at] = own.field(name).to_numpy(zero_copy_only=False)
+        order = np.argsort(days, kind="stable")
+        return Cube(days[order], values[order].reshape(len(days), len(names), span, span), masked[order].reshape(len(days), span, span))
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        got = fn(cube(a, hr_bands, patch + 2 * margin), cube(b, lr_bands, (patch + 2 * margin) // factor))
+        inner = np.s_[..., margin : margin + patch, margin : margin + patch]
+        values, masked = np.asarray(got.values, float)[inner], np.asarray(got.masked, bool)[inner]
+        *own, pr, pc = (k.as_py() for k in key)
+        day, r, c = (x.ravel() for x in np.indices(masked.shape))
+        r, c = r + pr * patch, c + pc * patch
+        kept = (r < size) & (c < size)
+        columns = {k: pa.array([v] * int(kept.sum()), a.schema.field(k).type) for k, v in zip(keys, own, strict=True)}
+        columns |= {"doy": pa.array(np.asarray(got.doy)[day][kept].astype(np.int32)), "r": pa.array(r[kept].astype(np.int32)), "c": pa.array(c[kept].astype(np.int32))}
+        columns |= {name: pa.array(values[:, i].ravel()[kept]) for i, name in enumerate(bands)}
+        return pa.table(columns | {"masked": pa.array(masked.ravel()[kept])})
+
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamcube.functions.scalars import export_value, path_tail
@@ -40,8 +42,23 @@ def read_observations(spark: SparkSession, path: str, bands: list[str], sites: l
     return df.select(*keep, *bands)
 
 
-def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy("site", "sensor").parquet(path)
+def z_order(r: Column, c: Column, bits: int = 16) -> Column:
+    """Bits of two numbers in turn: rows near each other in both lie near each other in this order."""
+    bit = lambda x, i, to: F.shiftleft(F.shiftright(x.cast("long"), i).bitwiseAND(1), to)
+    return reduce(lambda a, b: a.bitwiseOR(b), [bit(x, i, 2 * i + n) for i in range(bits) for n, x in enumerate((c, r))])
+
+
+def write_observations(df: DataFrame, path: str, mode: str = "overwrite", group_bytes: int = 8 << 20, page_rows: int = 4000) -> None:
+    """Observations by site and sensor; those with rows and columns clustered by both, in row groups and pages of small ranges.
+
+    A window of rows and columns then reads the pages that it meets: their statistics tell. Ranges of the order are files, so
+    no site is written by one task alone.
+    """
+    out = df
+    if {"r", "c"} <= set(df.columns):
+        out = df.withColumn("_z", z_order(F.col("r"), F.col("c")))
+        out = out.repartitionByRange("site", "sensor", "_z").sortWithinPartitions("site", "sensor", "_z").drop("_z")
+    out.write.mode(mode).option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows).partitionBy("site", "sensor").parquet(path)
 
 
 def write_product_index(index: DataFrame, path: str) -> None:
@@ -82,11 +99,39 @@ def write_features(df: DataFrame, path: str, features: list[str]) -> None:
     df.withColumns({f: F.col(f).cast("float") for f in features}).write.mode("overwrite").partitionBy("site", "sensor").parquet(path)
 
 
-def cached(spark: SparkSession, root: str, parameters: dict, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The stored result of these parameters; computed and stored at first. The name hashes all parameters."""
-    name = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:32]
-    path = f"{root}/{name}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        compute().write.mode("overwrite").parquet(path)
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, inputs: list[str]) -> str:
+    """A name for what the input folders and files hold now: paths, lengths and times of all files below them."""
+    found = []
+    for path in inputs:
+        root, fs = _files(spark, path)
+        listed = fs.listFiles(root, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, root: str, parameters: dict, compute: Callable[[], DataFrame], inputs: list[str] = ()) -> DataFrame:
+    """The stored result of these parameters over these inputs; computed and stored at first.
+
+    The name hashes all parameters and the inputs' manifest, so a file that is added, removed or written anew gives another result.
+    A result is written aside and then renamed: readers meet whole ones, and of two writers the second keeps the first's.
+    """
+    key = {"parameters": parameters, "inputs": manifest(spark, list(inputs))} if inputs else parameters
+    path = f"{root}/{hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:32]}"
+    done, fs = _files(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        aside, _ = _files(spark, f"{root}/.{uuid.uuid4().hex}")
+        compute().write.parquet(aside.toString())
+        # a rename onto a folder that is there would move into it
+        if fs.exists(done) or not fs.rename(aside, done.getParent()):
+            fs.delete(aside, True)
+        inside, _ = _files(spark, f"{path}/{aside.getName()}")
+        fs.delete(inside, True)
     return spark.read.parquet(path)
