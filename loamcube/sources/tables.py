@@ -21,10 +21,10 @@ def read_aoi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_product_index(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
-    """Tab-separated indices ``root/site/sensor/*.csv``; a site without any gives no rows."""
+    """Tab-separated indices ``root/site/sensor/*.csv``, folders named by value or ``key=value``; a site without any gives no rows."""
     paths = [f"{root}/*/*/{n}" for n in names] if names else [f"{root}/*/*/*.csv"]
     raw = spark.read.schema(INDEX_TSV).csv(paths, sep="\t", header=True).select("*", "_metadata.file_path")
-    part = lambda n: F.element_at(F.split("file_path", "/"), n)
+    part = lambda n: F.regexp_replace(F.element_at(F.split("file_path", "/"), n), "^(site|sensor)=", "")
     return raw.withColumns({"site": part(-3), "sensor": part(-2), "index_file": part(-1), "bands": path_tail(F.col("bands")), "mask": path_tail(F.col("mask"))}).drop("file_path")
 
 
