@@ -14,7 +14,7 @@ from loamcube.operators import aggs, columns
 from loamcube.plans import dataset, evaluation, fusion, thermal
 from loamcube.plans.job_queries import _COARSE, _coarse, _tile
 from loamcube.plans.registry import query
-from loamcube.plans.temporal_queries import _CLEAR_INPUT, _HIDDEN, _METRICS, GAPS, B, metrics
+from loamcube.plans.temporal_queries import _CLEAR_INPUT, _GAP_PRED, _HIDDEN, _METRICS, GAPS, gap_aligned, metrics
 from loamcube.plans.tile_queries import KEY, N, _axis_sql
 from loamcube.schemas import PIXEL, SERIES
 from loamcube.sources import scratch, tables
@@ -109,11 +109,15 @@ def q_store_features(spark, sf):
     return spark.read.parquet(path).select("site", "sensor", "px", "doy", F.col("b1").cast("double").alias("b1"), F.col("b3").cast("double").alias("b3"))
 
 
-@query("q_store_metrics", _METRICS + ", q AS (SELECT site, sensor, doy, clear, band, value FROM m)", "value")
+_RMSE = _GAP_PRED + ", q AS (SELECT site, sensor, doy, clear, 'b1' AS band, sqrt(avg((p - r) * (p - r))) AS value FROM sc GROUP BY ALL)"
+
+
+@query("q_store_metrics", _RMSE, "value:8")
 def q_store_metrics(spark, sf):
     """A metric table by date as tab-separated text, read with its schema."""
     path = _fresh(spark, "metrics")
-    tables.write_metrics(metrics(spark, sf).select(*SERIES, "doy", "clear", "band", "value"), path)
+    a = gap_aligned(spark, sf).where("p_b1 is not null")
+    tables.write_metrics(aggs.per_band(a, ["b1"], (*SERIES, "doy", "clear"), aggs.rmse, "value"), path)
     return tables.read_metrics(spark, path, "site long, sensor string, doy int, clear boolean, band string, value double")
 
 
@@ -175,14 +179,14 @@ def q_mask_never_observed(spark, sf):
 # jobs
 
 
-@query("q_evaluation_scores", _METRICS + ", q AS (SELECT site, sensor, doy, clear, band, value FROM m)", "value:6")
+@query("q_evaluation_scores", _RMSE, "value:8")
 def q_evaluation_scores(spark, sf):
     """RMSE of all sites by the job that runs them in groups, with a ledger."""
-    c, path = fx.cube(spark, sf).select(*PIXEL, "doy", *B, "masked"), _fresh(spark, "evaluation")
+    c, path = fx.cube(spark, sf).select(*PIXEL, "doy", "b1", "masked"), _fresh(spark, "evaluation")
 
     def job(sites: list) -> DataFrame:
-        aligned = evaluation.gapfill_scenario(c.where(F.col("site").isin(sites)), B, GAPS).where("p_b1 is not null")
-        return aggs.per_band(aligned, B, (*SERIES, "doy", "clear"), aggs.rmse, "value")
+        aligned = evaluation.gapfill_scenario(c.where(F.col("site").isin(sites)), ["b1"], GAPS).where("p_b1 is not null")
+        return aggs.per_band(aligned, ["b1"], (*SERIES, "doy", "clear"), aggs.rmse, "value")
 
     # one row a site, of which an evaluation has hundreds
     sites = [r["site"] for r in c.select("site").distinct().orderBy("site").collect()]
