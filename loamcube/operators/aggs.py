@@ -23,9 +23,15 @@ def clear_rate(df: DataFrame, keys: tuple[str, ...] = (*SERIES, "doy")) -> DataF
 
 def per_band(aligned: DataFrame, bands: list[str], keys: tuple[str, ...], score: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """``keys``, ``band``, ``name``: one score for each band, over clear rows; NaN predictions don't count."""
+    return per_band_all(aligned, bands, keys, {name: score})
+
+
+def per_band_all(aligned: DataFrame, bands: list[str], keys: tuple[str, ...], scores: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """``per_band`` of several scores, a column for each."""
     pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"p_{b}").alias("p"), F.col(f"r_{b}").alias("r")) for b in bands])
     long = aligned.where("not masked").select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.*")
-    return long.where("p is not null and r is not null and not isnan(p)").groupBy(*keys, "band").agg(score(F.col("p"), F.col("r")).alias(name))
+    known = long.where("p is not null and r is not null and not isnan(p)")
+    return known.groupBy(*keys, "band").agg(*[score(F.col("p"), F.col("r")).alias(name) for name, score in scores.items()])
 
 
 def rmse(p: Column, r: Column) -> Column:

@@ -200,5 +200,6 @@ def skip_existing(incoming: DataFrame, stored: DataFrame, on: tuple[str, ...] =
 def cross_resolution(fine: DataFrame, coarse: DataFrame, factor: int, keys: tuple[str, ...], values: list[str], row: str = "r", col: str = "c") -> DataFrame:
     """Each fine cell with the values of the coarse cell over it (nearest neighbour)."""
     c = coarse.select(*keys, F.col(row).alias("_r"), F.col(col).alias("_c"), *(F.col(v).alias(f"coarse_{v}") for v in values))
-    f = fine.withColumns({"_r": F.floor(F.col(row) / factor).cast("int"), "_c": F.floor(F.col(col) / factor).cast("int")})
+    # stored with its coarse cell, a table keeps its buckets
+    f = fine if {"_r", "_c"} <= set(fine.columns) else fine.withColumns({"_r": F.floor(F.col(row) / factor).cast("int"), "_c": F.floor(F.col(col) / factor).cast("int")})
     return f.join(c, [*keys, "_r", "_c"]).drop("_r", "_c")

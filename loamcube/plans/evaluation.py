@@ -28,10 +28,13 @@ def gapfill_scenario(obs: DataFrame, bands: list[str], p: HidingParameters) -> D
 
 
 def scores(aligned: DataFrame, bands: list[str], keys: tuple[str, ...] = (*SERIES, "doy", "clear"), angle_bands: list[str] | None = None) -> DataFrame:
-    """Long metric rows: rmse, nrmse and mae of each band, spectral angle of all or of ``angle_bands``."""
-    parts = [aggs.per_band(aligned, bands, keys, f, "value").withColumn("metric", F.lit(n)) for n, f in (("rmse", aggs.rmse), ("nrmse", aggs.nrmse), ("mae", aggs.mae))]
+    """Long metric rows: rmse, nrmse and mae of each band in one pass, spectral angle of all or of ``angle_bands``."""
+    names = {"rmse": aggs.rmse, "nrmse": aggs.nrmse, "mae": aggs.mae}
+    wide = aggs.per_band_all(aligned, bands, keys, names)
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
+    per_band = wide.select(*keys, "band", F.explode(rows).alias("_m")).select(*keys, "band", "_m.value", "_m.metric")
     angle = aggs.spectral_angle(aligned, angle_bands or bands, keys).select(*keys, F.lit("all").alias("band"), F.col("sam").alias("value"), F.lit("sam").alias("metric"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(angle)
+    return per_band.unionByName(angle)
 
 
 def scores_on_coarse_grid(pred: DataFrame, target: DataFrame, size: int, factor: int, bands: list[str], keys: tuple[str, ...], transfer: dict[str, tuple[float, float]], res: float = 1.0, margin: int = 5) -> DataFrame:

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamcube.operators import aggs
+from loamcube.operators import aggs, joins
 from loamcube.plans import evaluation, fusion
-from loamcube.sources import tables
+from loamcube.sources import colocated, tables
 from loamcube.streaming.incremental import ingest_new
 
 # window scans
@@ -224,3 +224,32 @@ def test_states_of_batches_in_any_order_make_the_table(spark):
             states = of(rows[a:b]) if states is None else aggs.combined_states(states.unionByName(of(rows[a:b])))
         got = {tuple(r)[:3]: tuple(r)[3:] for r in aggs.table_of_states(states).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in got)
+
+
+# joins of stored tables
+
+
+def test_stored_tables_meet_without_a_shuffle(spark, tmp_path):
+    rows = [(s, px, "hr", d, px + d / 10, px == 3) for s in (1, 2) for px in range(20) for d in (0, 5)]
+    obs = spark.createDataFrame(rows, "site int, px int, sensor string, doy int, b1 double, masked boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (colocated.write_colocated(df, n, str(tmp_path / n), buckets=4) for df, n in ((obs, "stored_ref"), (obs.drop("masked").withColumn("b1", F.col("b1") + 1), "stored_pred")))
+        met = joins.align(b, a, ["b1"])
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, met.collect())) == sorted(map(tuple, joins.align(obs.withColumn("b1", F.col("b1") + 1), obs, ["b1"]).collect()))
+
+        cell = ("site", "_r", "_c")
+        fine = spark.createDataFrame([(1, r, c, float(r * c)) for r in range(6) for c in range(6)], "site int, r int, c int, v double")
+        coarse = spark.createDataFrame([(1, r, c, float(r + c)) for r in range(3) for c in range(3)], "site int, r int, c int, v double")
+        f = colocated.write_colocated(colocated.with_cell(fine, 2), "stored_fine", str(tmp_path / "fine"), cell, 4)
+        g = colocated.write_colocated(coarse.withColumns({"_r": F.col("r"), "_c": F.col("c")}), "stored_coarse", str(tmp_path / "coarse"), cell, 4)
+        met = joins.cross_resolution(f, g.select("site", F.col("_r").alias("r"), F.col("_c").alias("c"), "v"), 2, ("site",), ["v"])
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+        want = joins.cross_resolution(fine, coarse, 2, ("site",), ["v"])
+        assert sorted(map(tuple, met.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in ("stored_ref", "stored_pred", "stored_fine", "stored_coarse"):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
