@@ -10,8 +10,9 @@ them, are clusters of content; the one of most text decides where the article is
   comments) are set aside, but not if hardly any clustered text would be left: then the outermost that holds
   most of it is what it holds, whatever its name.
 * The region is the ``article`` or ``main`` that holds most of the cluster, and all its lines are content, short
-  ones between long ones too. Without one, it is the smallest element around the cluster, and in it, stretches of
-  link lines below the threshold are menus.
+  ones between long ones too. Without one, it is the smallest element around all clusters of a tenth of its text or more, and
+  then around what stands beside that in prose: lines that aren't links, nor much shorter than its own. In it, stretches
+  of link lines below the threshold are menus.
 
 Elements are numbered as they open, a parent before its children, so that all sums over them are single passes
 and deep or long pages take time in proportion to their length.
@@ -42,6 +43,8 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
 GAP, MENU = 3, 3
 #: Of the clustered text, what may be left at least when elements are set aside.
 LEAST_LEFT = 0.1
+#: Of the largest cluster's text, what another needs to be part of the article; of its lines' length, what prose beside it has.
+LEAST_CLUSTER, BESIDE = 0.1, 0.2
 #: Words in class, id or role that mark what isn't the article.
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
@@ -86,6 +89,11 @@ class _Page(HTMLParser):
         self.silent = 0
         self.line: Line | None = None
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section in square brackets is no part of html: it ends with the next ``>``, whatever it holds."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def _now(self) -> Line:
         if self.line is None:
             self.line = Line(self.open[-1][2] if self.open else 0)
@@ -252,13 +260,42 @@ def _set_aside(page: _Page, seed_text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _around(page: _Page, lines: list, found: list[tuple[int, int]], sizes: list[float], per_node) -> int:
+    """The smallest element around all clusters that matter, then around prose that stands beside it."""
+    inside, part = np.arange(len(lines)), np.zeros(len(lines))
+    for (a, b), size in zip(found, sizes, strict=True):
+        if size >= LEAST_CLUSTER * max(sizes):
+            part[(inside >= a) & (inside < b)] = 1
+    held = _within(page, per_node(lines, part))
+    region = max(n for n in range(len(held)) if held[n] >= held[0])
+    count = _within(page, per_node(lines, np.ones(len(lines))))
+    text = _within(page, per_node(lines, np.array([len(t) for _, t in lines], float)))
+    plain = _within(page, per_node(lines, np.array([len(t) * (2 * x.linked <= len(t)) for x, t in lines], float)))
+    outer = region
+    while outer:
+        outer = page.parents[outer]
+        more, unlinked, n = text[outer] - text[region], plain[outer] - plain[region], count[outer] - count[region]
+        if n and 2 * unlinked >= more and more / n >= BESIDE * text[region] / count[region]:
+            region = outer
+    return region
+
+
+#: Decimal references with zeros in front, and those of more digits than any character has.
+_ZEROS, _DIGITS = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
+
+
+def bounded_references(html: str) -> str:
+    """``html`` with decimal character references that the parser can take: beyond the last character all mean the same."""
+    return _DIGITS.sub("&#9999999", _ZEROS.sub("&#", html)) if "&#" in html else html
+
+
 def main_text(html: str, sigma: float = SIGMA, by_ratio: bool = True) -> str:
     """Text of the article in a page: blocks in page order, joined by one newline.
 
     Without ``by_ratio`` every line counts as one above the threshold.
     """
     page = _Page()
-    page.feed(html)
+    page.feed(bounded_references(html))
     page.close()
 
     def above(lines: list[tuple[Line, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -278,12 +315,13 @@ def main_text(html: str, sigma: float = SIGMA, by_ratio: bool = True) -> str:
     if not lines:
         return ""
     length, high = above(lines)
-    first, last = max(clusters(high), key=lambda c: float((length * high)[c[0] : c[1]].sum()))
+    found = clusters(high)
+    sizes = [float((length * high)[a:b].sum()) for a, b in found]
     inside = np.arange(len(lines))
-    cluster = (inside >= first) & (inside < last)
-    held = _within(page, per_node(lines, length * cluster))
+    first, last = found[int(np.argmax(sizes))]
+    held = _within(page, per_node(lines, length * ((inside >= first) & (inside < last))))
     named = [n for n in range(len(held)) if page.tags[n] in ("article", "main") and held[n] >= 0.5 * held[0]]
-    region = max(named) if named else max(n for n in range(len(held)) if held[n] >= held[0])
+    region = max(named) if named else _around(page, lines, found, sizes, per_node)
     own = np.zeros(len(held), bool)
     own[region] = True
     for n in range(region + 1, len(held)):

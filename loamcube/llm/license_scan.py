@@ -49,6 +49,32 @@ SENTENCES: dict[str, str] = {
     "MI4": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "MP1": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "RS1": "all rights reserved",
+    "GF1": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "GF2": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "GF3": "either version 2 of the license or at your option any later version",
+    "GF4": "either version 2 1 of the license or at your option any later version",
+    "GP6": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "LG0": "this library is free software",
+    "LG1": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "LG2": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LG3": "this library is distributed in the hope that it will be useful but without any warranty",
+    "LG4": "see the gnu lesser general public license for more details",
+    "AG1": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AG4": "see the gnu affero general public license for more details",
+    "ZE1": "licensed under cc0 1 0",
+    "SX1": "spdx license identifier mit",
+    "SX2": "spdx license identifier apache 2 0",
+    "SX3": "spdx license identifier bsd 3 clause",
+    "SX4": "spdx license identifier bsd 2 clause",
+    "SX5": "spdx license identifier isc",
+    "SX6": "spdx license identifier mpl 2 0",
+    "SX7": "spdx license identifier gpl 2 0 only",
+    "SX8": "spdx license identifier gpl 2 0 or later",
+    "SX9": "spdx license identifier gpl 3 0 only",
+    "SXA": "spdx license identifier gpl 3 0 or later",
+    "SXB": "spdx license identifier lgpl 2 1 or later",
+    "SXC": "spdx license identifier agpl 3 0 or later",
+    "SXD": "spdx license identifier cc0 1 0",
     "UN1": "this is free and unencumbered software released into the public domain",
 }
 # Licence and the sequence of its sentences; of rules that fit at one place the longest wins.
@@ -57,6 +83,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("BS1", "BS2", "BS3", "BS4")),
     ("BSD-2-Clause", ("BS1", "BS2", "BS3")),
     ("GPL-3.0-or-later", ("GP0", "GP2", "GP3", "GPW", "GP4")),
+    ("GPL-2.0-or-later", ("GP0", "GF1", "GF3", "GP3", "GPW", "GP4")),
+    ("GPL-2.0-or-later", ("GP0", "GP6", "GP3", "GPW", "GP4")),
+    ("LGPL-2.1-or-later", ("LG0", "GF2", "GF4", "LG3", "GPW", "LG4")),
+    ("LGPL-2.1-or-later", ("LG0", "LG1", "LG3", "GPW", "LG4")),
+    ("LGPL-3.0-or-later", ("GP0", "LG2", "GP3", "GPW", "LG4")),
+    ("AGPL-3.0-or-later", ("GP0", "AG1", "GP3", "GPW", "AG4")),
     ("MIT", ("MI3", "MI4")),
     ("Apache-2.0", ("AP1",)),
     ("CC-BY-NC-4.0", ("CC1",)),
@@ -72,6 +104,20 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MI2",)),
     ("MPL-2.0", ("MP1",)),
     ("Unlicense", ("UN1",)),
+    ("CC0-1.0", ("ZE1",)),
+    ("MIT", ("SX1",)),
+    ("Apache-2.0", ("SX2",)),
+    ("BSD-3-Clause", ("SX3",)),
+    ("BSD-2-Clause", ("SX4",)),
+    ("ISC", ("SX5",)),
+    ("MPL-2.0", ("SX6",)),
+    ("GPL-2.0-only", ("SX7",)),
+    ("GPL-2.0-or-later", ("SX8",)),
+    ("GPL-3.0-only", ("SX9",)),
+    ("GPL-3.0-or-later", ("SXA",)),
+    ("LGPL-2.1-or-later", ("SXB",)),
+    ("AGPL-3.0-or-later", ("SXC",)),
+    ("CC0-1.0", ("SXD",)),
     ("all-rights-reserved", ("RS1",)),
 )
 #: Every known sentence holds one of these.
@@ -79,12 +125,14 @@ CLUES = ("license", "reserved", "redistribut", "permission", "warrant", "domain"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Steps of normalisation, (pattern, replacement), after A-Z are lower-cased; then B ends a sentence, L a line.
 _STEPS = (
+    # a machine-readable line is one sentence
+    ("spdx-license-identifier: *", "spdx license identifier "),
     # the point of an abbreviated version ends nothing
     ("([^a-z0-9]v)\\. *([0-9])", "\\1 \\2"),
     # a list number begins anew
     ("\\n[^a-z0-9\\n]*([0-9]{1,3}|[a-z])[.)][ \\t]+", "\n\n"),
-    # a point and white space, or a line without words
-    ("[.!?:;][\"')\\]]*[ \\t\\r\\n]+|[.!?:;]+$|\\n([^a-z0-9\\n]*\\n)+", " B "),
+    # a point and white space, or lines without words (one class of characters: a repeated group would take stack for each line)
+    ("[.!?:;][\"')\\]]*[ \\t\\r\\n]+|[.!?:;]+$|\\n[^a-z0-9]*\\n", " B "),
     ("\\n", " L "),
     ("[^a-z0-9BL]+", " "),
 )

@@ -704,3 +704,63 @@ def test_every_query_covers_its_table(spark):
             assert rows.select("query_id").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id") % 50 == 0).count()
         else:
             assert rows.count() == docs, name
+
+
+# pages and texts that once ended a job
+
+
+def test_broken_declarations_and_references_are_read_as_far_as_they_go():
+    article = "<article><p>" + "Words of the article stand here. " * 5 + "</p></article>"
+    for odd in ("<![foo[ x ]]>", "<![ x", "<![1[", "<![%foo;[", "<![CDATA[ a > b ]]>", "<!", "<!-", "<?", "<!DOCTYPE [", "&#" + "9" * 5000 + ";", "<a href='&#" + "1" * 5000 + "'>", "&#" + "0" * 5000 + "65;"):
+        for page in (odd + article, article + odd, f"<p>{odd}</p>{article}"):
+            html_text.main_text(page)
+        assert "Words of the article" in html_text.main_text(article + odd)
+    assert html_text.main_text("<p>" + "&#" + "0" * 5000 + "65; b" + "</p>") == "A b"
+    assert html_text.main_text("<p>a &#" + "9" * 5000 + "; b</p>") == "a � b"
+
+
+def test_mutated_pages_never_raise(rng):
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet' LIMIT 40").fetchall()]
+    parts = ["<![", "]]>", "<!", "<!--", "-->", "&#", "&#x", "<", ">", "</", "<a ", "'", '"', "<svg>", "<p", "\x00", "&#99999999999", "<table><tr>", "<?php", "=", "<script>", "</body>"]
+    for n in range(10_000):
+        page = rng.choice(pages)
+        at = rng.randrange(len(page))
+        page = page[max(at - 300, 0) : at + 300]
+        for _ in range(rng.randint(1, 6)):
+            i = rng.randrange(len(page) + 1)
+            page = page[:i] + rng.choice(parts) + page[i + rng.choice([0, 0, 1, 9]) :]
+        html_text.main_text(page)
+
+
+def test_article_of_sibling_sections_is_whole():
+    para = lambda n, k: "".join(f"<p>{c * 3} " + "some words of a paragraph " * n + "end.</p>" for c in "abcdefg"[:k])
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(8)) + "</ul>"
+    for first, second in (((6, 1), (6, 1)), ((12, 3), (4, 3)), ((4, 3), (12, 3))):
+        text = html_text.main_text(f"<body>{menu}<div><h2>One</h2>{para(*first)}</div><div><h2>Two</h2>{para(*second)}</div><div>(c) Us</div></body>")
+        assert text.count("end.") == first[1] + second[1] and "Item" not in text and "Two" in text
+
+
+def test_lines_without_words_take_no_stack(spark):
+    gutters = [" *", "#", "//", "кириллица", ""]
+    docs = [(i, "Released under the MIT License.\n" + (g + "\n") * 100_000 + "Licensed under the MIT License.", None) for i, g in enumerate(gutters)]
+    out = license_scan.scan_licenses(spark.createDataFrame(docs, DOC)).collect()
+    assert [r["ls_ids"] for r in out] == ["|MI1||MI2|"] * len(gutters)
+
+
+def test_notices_of_the_gnu_family_and_machine_readable_lines(spark):
+    gnu = "This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2} as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {2} for more details.\n"
+    cases = {
+        gnu.format("program", ";", "General Public License", ";", "2"): "GPL-2.0-or-later",
+        gnu.format("program", ":", "General Public License", ",", "3"): "GPL-3.0-or-later",
+        gnu.format("library", ";", "Lesser General Public License", ";", "2.1"): "LGPL-2.1-or-later",
+        gnu.format("program", ":", "Lesser General Public License", ",", "3"): "LGPL-3.0-or-later",
+        gnu.format("program", ":", "Affero General Public License", ",", "3"): "AGPL-3.0-or-later",
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later\n": "GPL-2.0-or-later",
+        "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0",
+        "Licensed under CC0 1.0.": "CC0-1.0",
+        "The spdx line is MIT\n": "",
+    }
+    rows = list(cases)
+    out = license_scan.scan_licenses(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOC))
+    assert {rows[r["doc_id"]]: r["ls_licenses"] for r in out.collect()} == cases
