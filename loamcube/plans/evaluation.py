@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loamcube.functions import scalars
 from loamcube.operators import aggs, filters, joins, reshape, tiles, timeops
+from loamcube.plans import fusion
 from loamcube.plans.scenarios import make_scenario
 from loamcube.schemas import PIXEL, SERIES, HidingParameters
 
@@ -90,6 +91,15 @@ def evaluate(obs: DataFrame, bands: list[str], p: HidingParameters, wanted: Data
     return rows, aggs.result_table(rows), skipped_sites(wanted, rows)
 
 
+def evaluate_method(name: str, obs: DataFrame, bands: list[str] | None = None, p: HidingParameters | None = None) -> DataFrame:
+    """Scores of a registered method, by default in its own bands and under its own strategy."""
+    method = fusion.METHODS[name]
+    bands = list(bands or method.bands)
+    given, target = scenario_parts(obs, p or HidingParameters(method.strategy))
+    aligned = joins.align(method.predict(given, target, bands), target, bands)
+    return scores(joins.clear_masked_split(aligned, given), bands)
+
+
 def run_by_sites(spark: SparkSession, sites: list, job: Callable[[list], DataFrame], out: str, ledger: str, group: int = 8, attempts: int = 2) -> DataFrame:
     """Run ``job`` over groups of sites, write what it returns (with ``site``) below ``out`` by site, and keep a ledger.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamcube.operators import joins, tiles, timeops
+from loamcube.operators import aggs, joins, tiles, timeops
 from loamcube.schemas import PIXEL
 
 
@@ -148,20 +148,49 @@ def sharpen_bands(fine: DataFrame, coarse: DataFrame, model: Callable[[DataFrame
     return fine.select(*keys, *fine_bands).join(sharp, list(keys)).select(*keys, *order)
 
 
+def _by_band(predict: Callable[[DataFrame, str], DataFrame], obs: DataFrame, bands: list[str]) -> DataFrame:
+    """A method of one band (site, px, doy, value, masked) on each of several: HR series, null where the method has nothing."""
+    out = None
+    for b in bands:
+        one = predict(obs, b).toDF("site", "px", "doy", "_v", "_m")
+        one = one.select("site", "px", F.lit("hr").alias("sensor"), "doy", F.when(~F.col("_m"), F.col("_v")).alias(b))
+        out = one if out is None else out.join(one, [*PIXEL, "doy"], "full")
+    return out
+
+
+def _naive(given: DataFrame, target: DataFrame, bands: list[str]) -> DataFrame:
+    return naive(given, bands, target.select("site", "doy").distinct())
+
+
+def _stair(given: DataFrame, target: DataFrame, bands: list[str]) -> DataFrame:
+    # each date of the targets is held out by itself
+    return _by_band(lambda obs, b: stair(obs, b).select("site", "px", "doy", "pred", "masked"), given.unionByName(target).dropDuplicates([*PIXEL, "doy"]), bands)
+
+
+def _extrapolated(given: DataFrame, target: DataFrame, bands: list[str]) -> DataFrame:
+    return _by_band(lambda obs, b: extrapolate_previous(obs, b).select("site", "px", "doy", "hr_pred", "masked"), given, bands)
+
+
+def _mean(given: DataFrame, target: DataFrame, bands: list[str]) -> DataFrame:
+    members = [m.select(*PIXEL, "doy", *bands) for m in (_naive(given, target, bands), _extrapolated(given, target, bands))]
+    return aggs.ensemble_mean(members, bands, (*PIXEL, "doy"))
+
+
 @dataclass(frozen=True)
 class Method:
-    """A method's bands and the strategy it is scored with."""
+    """A method's bands, the strategy it is scored with, and what predicts ``bands`` at targets from given dates."""
 
     bands: tuple[str, ...]
     strategy: str
+    predict: Callable[[DataFrame, DataFrame, list[str]], DataFrame]
 
 
-#: Registry of the methods here.
+#: Registry of the methods here: ``evaluation.evaluate_method`` runs them by name.
 METHODS = {
-    "naive": Method(("b1", "b2", "b3", "b4"), "GAPS"),
-    "stair": Method(("b1", "b2", "b3", "b4"), "CONJLRuHR2HR"),
-    "sen2like": Method(("b1", "b2", "b3", "b4"), "LRuHRNOCONJ2HR"),
-    "ensemble": Method(("b1",), "DEEPHARMO"),
+    "naive": Method(("b1", "b2", "b3", "b4"), "GAPS", _naive),
+    "stair": Method(("b1", "b2", "b3", "b4"), "CONJLRuHR2HR", _stair),
+    "sen2like": Method(("b1", "b2", "b3", "b4"), "LRuHRNOCONJ2HR", _extrapolated),
+    "ensemble": Method(("b1",), "DEEPHARMO", _mean),
 }
 
 

@@ -14,7 +14,7 @@ from loamcube.operators import aggs, columns
 from loamcube.plans import dataset, evaluation, fusion, thermal
 from loamcube.plans.job_queries import _COARSE, _coarse, _tile
 from loamcube.plans.registry import query
-from loamcube.plans.temporal_queries import _CLEAR_INPUT, _GAP_PRED, _HIDDEN, _METRICS, GAPS, gap_aligned, metrics
+from loamcube.plans.temporal_queries import _CLEAR_INPUT, _GAP_PRED, _HIDDEN, _METRICS, GAPS, B, gap_aligned, metrics
 from loamcube.plans.tile_queries import KEY, N, _axis_sql
 from loamcube.schemas import PIXEL, SERIES
 from loamcube.sources import scratch, tables
@@ -194,6 +194,13 @@ def q_evaluation_scores(spark, sf):
     return spark.read.parquet(f"{path}/scores").select(F.col("site").cast("long").alias("site"), "sensor", "doy", "clear", "band", "value")
 
 
+@query("q_method_naive", _GAP_PRED + """, q AS (SELECT site, sensor, doy, clear, 'b1' AS band, 'rmse' AS metric, sqrt(avg((p - r) * (p - r))) AS value FROM sc GROUP BY ALL)""", "value:8")
+def q_method_naive(spark, sf):
+    """A method by its name in the registry."""
+    out = evaluation.evaluate_method("naive", fx.cube(spark, sf).select(*PIXEL, "doy", *B, "masked"), ["b1"], GAPS)
+    return out.where("metric = 'rmse'").select(*SERIES, "doy", "clear", "band", "metric", "value")
+
+
 @query("q_result_states", _METRICS + ", q AS (SELECT metric, band, clear, avg(value) AS mean, stddev_samp(value) AS std FROM m GROUP BY ALL)", "mean std")
 def q_result_states(spark, sf):
     """The table of results from the combined states of batches of sites."""

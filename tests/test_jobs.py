@@ -253,3 +253,12 @@ def test_stored_tables_meet_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for n in ("stored_ref", "stored_pred", "stored_fine", "stored_coarse"):
             spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+@pytest.mark.parametrize("name", sorted(fusion.METHODS))
+def test_registered_methods_predict_and_score(spark, name):
+    rows = [(1, px, sensor, d, 1.0 + px + d / 10, 2.0, 3.0, 4.0, False) for px in range(3) for sensor, every in (("hr", 5), ("lr", 3)) for d in range(0, 121, every)]
+    obs = spark.createDataFrame(rows, "site int, px int, sensor string, doy int, b1 double, b2 double, b3 double, b4 double, masked boolean")
+    out = evaluation.evaluate_method(name, obs, ["b1"]).where("band = 'b1' and metric = 'rmse'").collect()
+    # the series are straight lines, which every method meets where both sides are known
+    assert out and min(r["value"] for r in out) == pytest.approx(0, abs=1e-9)
