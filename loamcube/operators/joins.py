@@ -51,8 +51,8 @@ def conjunction_pairs(df: DataFrame, bands: list[str], keys: tuple[str, ...] = (
 def query_grid(pixels: DataFrame, dates: DataFrame) -> DataFrame:
     """Every pixel on every query date; dates with keys (as ``site``) meet the pixels of those keys alone."""
     shared = [c for c in dates.columns if c in pixels.columns]
-    # a calendar without keys is a few hundred dates; by site it grows with the sites
-    return pixels.join(dates, shared) if shared else pixels.crossJoin(F.broadcast(dates))
+    # a calendar without keys is a few hundred dates, which Spark sees by its size; by site it grows with the sites
+    return pixels.join(dates, shared) if shared else pixels.crossJoin(dates)
 
 
 def calendar_join(df: DataFrame, targets: DataFrame | None, bands: list[str], fill: float = 0.0, keys: tuple[str, ...] = PIXEL) -> DataFrame:
