@@ -34,14 +34,16 @@ def brute(vectors, queries, k=5):
     return out
 
 
-def test_recall_on_the_table(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize(("sf", "every", "recall"), [("sf0.001", 10, 0.9), ("sf0.1", 20, 0.98)])
+def test_recall_on_the_table(spark, sf, every, recall):
+    """At sf0.1 a window doesn't cover the table: some 4 of 5 vectors are compared."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     vectors = {r.vec_id: list(r.embedding) for r in df.collect()}
-    queries = [i for i in vectors if i % 10 == 0]
-    got = hilbert_ann.nearest(df, df.where("vec_id % 10 = 0")).collect()
+    queries = [i for i in vectors if i % every == 0]
+    got = hilbert_ann.nearest(df, df.where(f"vec_id % {every} = 0")).collect()
     want = brute(vectors, queries)
     found = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in queries}
-    assert sum(len(set(found[q]) & set(want[q])) for q in queries) >= 0.9 * 5 * len(queries)
+    assert sum(len(set(found[q]) & set(want[q])) for q in queries) >= recall * 5 * len(queries)
     assert all(r.score <= 1 + 1e-12 for r in got) and all(len(v) == 5 for v in found.values())
 
 
