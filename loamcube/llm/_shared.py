@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,15 @@ def drop(df: DataFrame) -> None:
     discard(df)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have shuffle files deleted of plans that nothing refers to any more.
+
+    Spark deletes them once the driver has collected a plan, which a driver with memory to spare puts off for a long time.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

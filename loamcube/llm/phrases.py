@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamcube.llm._bytes import binary_of
-from loamcube.llm._shared import drop, materialize, materialize_by
+from loamcube.llm._shared import discard, drop, let_go, materialize, materialize_by
 
 #: Words of the longest phrase, occurrences of a frequent one, per cent of a phrase's occurrences that a longer one takes over.
 LONGEST, LEAST, TAKEN_OVER, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
@@ -74,15 +74,9 @@ class PhraseIndex:
         width = 1
         # ranks of double width from pairs of ranks; a suffix ends in zeros
         while width < depth:
-            behind = np.zeros(n, np.int64)
-            behind[: max(n - width, 0)] = rank[width:]
-            pair = rank * (int(behind.max(initial=0)) + 1) + behind
-            if 2 * width < depth:
-                met = np.sort(pair)
-                met = met[np.r_[True, met[1:] != met[:-1]]] if n else met
-                rank = np.searchsorted(met, pair)
-            else:
-                rank = pair
+            pair = rank * (int(rank.max(initial=0)) + 1)
+            pair[: max(n - width, 0)] += rank[width:]
+            rank = np.searchsorted(np.unique(pair), pair) if 2 * width < depth else pair
             width *= 2
         order = np.argsort(rank, kind="stable")
         counts = np.zeros(self.n_words + 2, np.int64)
@@ -102,11 +96,15 @@ class PhraseIndex:
 
     def _step(self, transform: np.ndarray, low: np.ndarray, size: np.ndarray, other: np.ndarray):
         """(parent, id, low, size, other) of every phrase with one more id, given the transform of the side it is put to."""
-        total = int(size.sum())
-        parents = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(total) + np.repeat(low - np.cumsum(size) + size, size)
-        span = self.n_words + 1
-        key = np.sort(parents * span + transform[rows])
+        total, span = int(size.sum()), self.n_words + 1
+        # arrays as long as the text are reused: a worker holds few of them
+        key = np.repeat(np.arange(len(low)), size)
+        key *= span
+        rows = np.repeat((low - np.cumsum(size) + size).astype(np.int32), size)
+        rows += np.arange(total, dtype=np.int32)
+        key += transform[rows]
+        del rows
+        key.sort()
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if total else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, total])
         parent, ids = np.divmod(key[starts], span)
@@ -115,7 +113,10 @@ class PhraseIndex:
         kept = ids > 0
         parent, ids, sizes, other = parent[kept], ids[kept], sizes[kept], other[kept]
         # rank of an id in the transform before an interval: its place among the rows of that id
-        where = np.sort(transform.astype(np.int64) * (len(transform) + 1) + np.arange(len(transform)))
+        where = transform.astype(np.int64)
+        where *= len(transform) + 1
+        where += np.arange(len(transform))
+        where.sort()
         before = np.searchsorted(where, ids * (len(transform) + 1) + low[parent]) - self.counts[ids]
         return parent, ids, self.counts[ids] + before, sizes, other
 
@@ -184,19 +185,13 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.
         yield shard()
 
 
-def _frequent_text(shard: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of a shard, new ones of its frequent words, else 0; numbers of the new ids; pairs of new ids, packed and sorted)."""
-    if not shard.num_rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+def _frequent_text(shard: pa.Table, local: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of a shard, new ones of its frequent words, else 0; numbers of the new ids, in order)."""
     ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int32)
-    local, x, y = (known.column(c).to_numpy() for c in ("local", "x", "y"))
-    word = local > 0
-    order = np.argsort(x[word])
-    numbers = x[word][order]
-    renamed = np.zeros(int(max(ids.max(initial=0), local.max(initial=0))) + 1, np.int64)
-    renamed[local[word][order]] = np.arange(1, len(numbers) + 1)
-    one, two = (np.searchsorted(numbers, v[~word]) + 1 for v in (x, y))
-    return np.r_[renamed[ids], 0], numbers, np.sort(one * (len(numbers) + 1) + two)
+    order = np.argsort(x)
+    renamed = np.zeros(int(max(ids.max(initial=0), local.max(initial=0))) + 1, np.int32)
+    renamed[local[order]] = np.arange(1, len(x) + 1)
+    return np.r_[renamed[ids], np.int32(0)], x[order]
 
 
 def _sliced(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> pa.Table:
@@ -206,26 +201,32 @@ def _sliced(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> pa.Table:
 
 def _pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
     """Pairs of frequent words in a shard, by the words' numbers, with their counts."""
-    text, numbers, _ = _frequent_text(shard, known)
-    text = text[(text > 0) | np.r_[True, text[:-1] > 0]] if len(text) else text
+    if not known.num_rows:
+        return _sliced({c: np.empty(0, np.int64) for c in ("x", "y", "shard", "n")})
+    text, numbers = _frequent_text(shard, known.column("local").to_numpy(), known.column("x").to_numpy())
+    text = text[(text > 0) | np.r_[True, text[:-1] > 0]]
     index = PhraseIndex(text, 2, len(numbers))
     ids, *interval = index.words()
     parent, before, _, size, _ = index.left(*interval)
-    where = np.full(len(size), shard.column("shard")[0].as_py() if shard.num_rows else 0)
-    return _sliced({"x": numbers[before - 1], "y": numbers[ids[parent] - 1], "shard": where, "n": size})
+    return _sliced({"x": numbers[before - 1], "y": numbers[ids[parent] - 1], "shard": np.full(len(size), shard.column("shard")[0].as_py()), "n": size})
 
 
-def _longer(shard: pa.Table, known: pa.Table) -> pa.Table:
+def _longer(shard: pa.Table, found: pa.Table) -> pa.Table:
     """Triples and fours of a shard whose pairs are all frequent, by the words' numbers (0 behind a triple), with their counts."""
-    text, numbers, pairs = _frequent_text(shard, known)
+    if not found.num_rows:
+        return _sliced({c: np.empty(0, np.int64) for c in "abcdn"})
+    words = shard.column("known").combine_chunks()[0].values
+    text, numbers = _frequent_text(shard, words.field("local").to_numpy(), words.field("x").to_numpy())
+    one, two = (np.searchsorted(numbers, found.column(c).to_numpy()) + 1 for c in ("x", "y"))
+    pairs = np.sort(one * (len(numbers) + 1) + two)
+    key = text[:-1].astype(np.int64) * (len(numbers) + 1) + text[1:]
     joined = np.zeros(len(text), bool)
-    if len(pairs) and len(text) > 1:
-        key = text[:-1] * (len(numbers) + 1) + text[1:]
-        joined[:-1] = (pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key) & (text[:-1] > 0) & (text[1:] > 0)
+    joined[:-1] = (pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key) & (text[:-1] > 0) & (text[1:] > 0)
+    del key
     # words of frequent pairs stay; a break follows where the next word doesn't belong to one
     kept = joined | np.r_[False, joined[:-1]]
     room = kept * (1 + ~joined)
-    cut = np.zeros(int(room.sum()), np.int64)
+    cut = np.zeros(int(room.sum()), np.int32)
     cut[(np.cumsum(room) - room)[kept]] = text[kept]
 
     index = PhraseIndex(cut, LONGEST, len(numbers))
@@ -241,11 +242,17 @@ def _longer(shard: pa.Table, known: pa.Table) -> pa.Table:
     return _sliced({c: out[:, i] for i, c in enumerate("abcdn")})
 
 
-def _numbered(rows: DataFrame, keys: list[str], to: str) -> DataFrame:
-    """``rows`` (distinct keys) with small numbers from 1: a running number in each of some buckets, no global order."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)))
-    place = F.row_number().over(W.partitionBy("bucket").orderBy(*keys)).cast("long")
-    return rows.withColumn(to, (place - 1) * _BUCKETS + F.col("bucket") + 1).drop("bucket")
+def _known(vocabulary: DataFrame, rows: int, least: int) -> DataFrame:
+    """Rows of ``vocabulary`` of words that occur ``least`` times in all, with that number ``f`` and a number ``x`` of the word.
+
+    One shuffle, into so many buckets of words that none has many more than a million rows: within a bucket words are counted and
+    numbered in order, so numbers are small and need no global order.
+    """
+    buckets = max(_BUCKETS, rows // 1_000_000)
+    out = vocabulary.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)))
+    place = F.dense_rank().over(W.partitionBy("bucket").orderBy("lang", "word")).cast("long")
+    out = out.withColumns({"f": F.sum("n").over(W.partitionBy("bucket", "lang", "word")), "x": (place - 1) * buckets + F.col("bucket") + 1})
+    return out.where(F.col("f") >= least).drop("bucket", "n")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -272,26 +279,33 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     shards = texts.mapInArrow(lambda batches: _shards(batches, shard_words), "shard long, ids binary, langs array<string>, words array<string>, counts array<long>")
     # in buckets: what is frequent goes to the shards, and no shard is moved
     shards = materialize_by(shards, "shard", "phrase_shards")
-    ids = shards.select("shard", "ids").groupBy("shard")
-
     vocabulary = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("pos", "w")).select("shard", (F.col("pos") + 1).cast("long").alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    words = materialize(_numbered(words.where(F.col("f") >= least), ["lang", "word"], "number"), "phrase-words")
+    rows = shards.agg(F.sum(F.size("words"))).first()[0] or 0
+    frequent = materialize(_known(vocabulary, rows, least), "phrase-frequent")
+    words = materialize(frequent.select(F.col("x").alias("number"), "lang", "word", "f").distinct(), "phrase-words")
+    known = materialize_by(frequent.select("shard", "local", "x").repartition("shard"), "shard", "phrase_known")
+    discard(frequent)
     totals = materialize(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    known = materialize(vocabulary.join(words, ["lang", "word"]).select("shard", "local", F.col("number").alias("x"), F.lit(0).cast("long").alias("y")), "phrase-known")
+    let_go(docs.sparkSession)
 
-    found = ids.cogroup(known.groupBy("shard")).applyInArrow(lambda s, k: _pairs(s, k), "x long, y long, shard long, n long")
+    ids = shards.select("shard", "ids")
+    found = ids.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda s, k: _pairs(s, k), "x long, y long, shard long, n long")
     # a shard has a pair once, so a pair has no more rows than there are shards
     found = found.withColumn("f", F.sum("n").over(W.partitionBy("x", "y"))).where(F.col("f") >= least).select("shard", "x", "y", "f")
     found = materialize(found, "phrase-pairs")
-    known = known.unionByName(found.select("shard", F.lit(0).cast("long").alias("local"), "x", "y"))
-    longer = ids.cogroup(known.groupBy("shard")).applyInArrow(lambda s, k: _longer(s, k), "a long, b long, c long, d long, n long")
+    pairs = materialize(found.select("x", "y", "f").distinct(), "phrase-pair-counts")
+    let_go(docs.sparkSession)
+    with_words = ids.join(known.groupBy("shard").agg(F.collect_list(F.struct("local", "x")).alias("known")), "shard")
+    longer = with_words.groupBy("shard").cogroup(found.select("shard", "x", "y").groupBy("shard")).applyInArrow(lambda s, k: _longer(s, k), "a long, b long, c long, d long, n long")
     longer = longer.groupBy("a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     longer = materialize(longer, "phrase-longer")
     drop(shards)
+    drop(known)
+    discard(found)
+    let_go(docs.sparkSession)
 
     word = lambda n: words.select(F.col("number").alias(n), F.col("word").alias(f"word_{n}"), F.col("f").alias(f"f_{n}"), "lang")
-    two = found.select(F.col("x").alias("a"), F.col("y").alias("b"), "f").distinct().join(word("a"), "a").join(word("b").drop("lang"), "b")
+    two = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "f").join(word("a"), "a").join(word("b").drop("lang"), "b")
     two = materialize(two.select("a", "b", "lang", "f", "f_a", "f_b", "word_b", F.concat_ws(" ", "word_a", "word_b").alias("phrase")), "phrase-two")
     head = two.select("a", "b", "lang", F.col("f").alias("f_ab"), "f_a", "phrase")
     tail = two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("f").alias("f_bc"), F.col("f_b").alias("f_c"), F.col("word_b").alias("word_c"))
