@@ -33,14 +33,14 @@ def stair(obs: DataFrame, band: str, keys: tuple[str, ...] = ("site", "px")) ->
     """
     lr = obs.where("sensor = 'lr'").select(*keys, "doy", F.col(band).alias("lr"), F.col("masked").alias("lr_masked"))
     hr = obs.where("sensor = 'hr'").select(*keys, "doy", F.col(band).alias("v"), (~F.col("masked")).alias("ok"))
-    w = W.partitionBy(*keys).orderBy("doy")
-    before, behind = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    # both run; a frame that ends behind would be read again for each row
+    before, behind = (W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1) for order in (F.asc("doy"), F.desc("doy")))
     out = hr.join(lr, [*keys, "doy"], "left")
     date = F.when(F.col("ok"), F.struct("doy", "v"))
-    out = out.withColumns({"p1": F.last(date, True).over(before), "n1": F.first(date, True).over(behind)})
-    out = out.withColumns({"p2": F.last(F.when(F.col("ok"), F.struct(F.col("p1.doy").alias("doy"), F.col("p1.v").alias("v"))), True).over(before), "n2": F.first(F.when(F.col("ok"), F.struct(F.col("n1.doy").alias("doy"), F.col("n1.v").alias("v"))), True).over(behind)})
+    out = out.withColumns({"p1": F.last(date, True).over(before), "n1": F.last(date, True).over(behind)})
+    out = out.withColumns({"p2": F.last(F.when(F.col("ok"), F.struct(F.col("p1.doy").alias("doy"), F.col("p1.v").alias("v"))), True).over(before), "n2": F.last(F.when(F.col("ok"), F.struct(F.col("n1.doy").alias("doy"), F.col("n1.v").alias("v"))), True).over(behind)})
     usable = F.when(~F.col("lr_masked"), F.struct("doy", "v", "ok", "lr", "p1", "p2", "n1", "n2"))
-    out = out.withColumns({"a": F.last(usable, True).over(before), "b": F.first(usable, True).over(behind)}).where("lr_masked is not null")
+    out = out.withColumns({"a": F.last(usable, True).over(before), "b": F.last(usable, True).over(behind)}).where("lr_masked is not null")
 
     def filled(side: str, own: str, nearest: str) -> Column:
         """HR - LR at the neighbour ``side``, with the row's own date left out of what HR is filled from."""
