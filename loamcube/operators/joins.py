@@ -81,11 +81,12 @@ def bracket(source: DataFrame, targets: DataFrame, values: list[str], keys: tupl
     ``prev_<value>``, ``next_doy``, ``next_<value>``; null where there is none. Columns of the targets to ``carry`` come along.
     """
     payload = F.struct("doy", *values)
-    w = W.partitionBy(*keys).orderBy("doy")
+    w = W.partitionBy(*keys)
+    # both frames run: one that ends behind would be read again for each row
     out = _both(source, targets, keys, payload, carry).withColumns(
         {
-            "_p": F.last("_v", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1)),
-            "_n": F.first("_v", ignorenulls=True).over(w.rangeBetween(1 if strict_after else 0, W.unboundedFollowing)),
+            "_p": F.last("_v", ignorenulls=True).over(w.orderBy("doy").rangeBetween(W.unboundedPreceding, -1)),
+            "_n": F.last("_v", ignorenulls=True).over(w.orderBy(F.desc("doy")).rangeBetween(W.unboundedPreceding, -1 if strict_after else 0)),
         }
     )
     sides = [F.col(f"{side}.{v}").alias(f"{name}_{v}") for side, name in (("_p", "prev"), ("_n", "next")) for v in ("doy", *values)]

@@ -339,3 +339,16 @@ def test_trim_names_series_of_which_nothing_is_left(spark):
     obs = series(spark, [(1, 1, True), (2, 2, False)]).union(series(spark, [(1, 1, True)], "lr"))
     kept, gone = filters.trim(obs)
     assert [r.doy for r in kept.collect()] == [2] and [r.sensor for r in gone.collect()] == ["lr"]
+
+
+def test_no_frame_of_dates_ends_behind(spark):
+    obs = spark.createDataFrame([(1, 1, s, d, float(d), d % 5 == 0) for s in ("hr", "lr") for d in range(0, 60, 3)], "site int, px int, sensor string, doy int, b1 double, masked boolean")
+    for strict in (False, True):
+        out = joins.bracket(obs.where("not masked"), obs, ["b1"], strict_after=strict)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        clear = [d for d in range(0, 60, 3) if d % 5]
+        want = {d: (max((x for x in clear if x < d), default=None), min((x for x in clear if x > d or (x == d and not strict)), default=None)) for d in range(0, 60, 3)}
+        got = out.where("sensor = 'hr'").collect()
+        assert {r.doy: (r.prev_doy, r.next_doy) for r in got} == want
+        assert all(r.next_b1 == r.next_doy for r in got)
+    assert "unboundedfollowing" not in fusion.stair(obs, "b1")._jdf.queryExecution().toString().lower()
