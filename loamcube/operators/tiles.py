@@ -12,7 +12,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -85,6 +84,8 @@ Weights = dict[tuple[int, int], float]
 STRIP_CELLS = 1 << 17
 #: Strips that a worker holds at a time.
 STRIP_BATCH = 32
+#: Tiles of which a worker holds a function's rows at a time.
+TILE_BATCH = 256
 
 
 def _axis_table(spark: SparkSession, weights: Weights, names: tuple[str, str, str]) -> DataFrame:
@@ -364,21 +365,20 @@ def shift_nearest(px: DataFrame, size: int, dr: float, dc: float, keys: tuple[st
 def dense(tiles: DataFrame, fn: Callable[[np.ndarray], dict[str, list] | None], array_col: str, width: int, keys: tuple[str, ...], schema: str) -> DataFrame:
     """``fn`` on each tile as a square array; its columns of rows come back with the keys.
 
-    ``schema`` declares keys and columns. Tiles are rows, so Spark deals them out and none is gathered.
+    ``schema`` declares keys and columns. Tiles are rows, so Spark deals them out and none is gathered; rows leave the worker
+    after every ``TILE_BATCH`` tiles.
     """
 
     def run(batches):
-        for pdf in batches:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                got = fn(np.asarray(getattr(row, array_col), float).reshape(-1, width))
-                if got is not None:
-                    part = pd.DataFrame(got)
-                    for k in reversed(keys):
-                        part.insert(0, k, getattr(row, k))
-                    parts.append(part)
-            if parts:
-                yield pd.concat(parts)
+        for whole in batches:
+            for first in range(0, len(whole), TILE_BATCH):
+                pdf = whole.iloc[first : first + TILE_BATCH]
+                got = [fn(np.asarray(tile, float).reshape(-1, width)) for tile in pdf[array_col]]
+                shown = [i for i, columns in enumerate(got) if columns is not None]
+                if shown:
+                    values = {name: np.concatenate([np.asarray(got[i][name]) for i in shown]) for name in got[shown[0]]}
+                    own = pdf[list(keys)].iloc[np.repeat(shown, [len(next(iter(got[i].values()))) for i in shown])]
+                    yield own.reset_index(drop=True).assign(**values)
 
     return tiles.select(*keys, array_col).mapInPandas(run, schema)
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,22 @@ def test_resampled_shorts_hold_what_they_can(spark):
     assert len(out) == 64
     assert all(-32768 <= r["v"] <= 32767 for r in out)
     assert {r["v"] for r in out if r["r"] < 2 and r["c"] < 2} == {scalars.NO_DATA}
+
+
+def test_rows_of_a_function_leave_after_few_tiles():
+    """The worker's part is called by itself: one batch of many tiles comes back in many."""
+    kept = {}
+
+    class Tiles:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            kept["run"] = run
+
+    tiles.dense(Tiles(), lambda t: None if t[0, 0] == 3 else {"i": [0, 1], "v": t.sum(axis=1)}, "data", 2, ("k",), "k long, i int, v double")
+    n = 2 * tiles.TILE_BATCH + 5
+    out = list(kept["run"]([pd.DataFrame({"k": range(n), "data": [np.full(4, float(k)) for k in range(n)]})]))
+    assert [len(p) for p in out] == [2 * tiles.TILE_BATCH - 2, 2 * tiles.TILE_BATCH, 10]
+    rows = [r for p in out for r in p.itertuples(index=False, name=None)]
+    assert rows == [(k, i, 2.0 * k) for k in range(n) if k != 3 for i in (0, 1)]
