@@ -171,9 +171,9 @@ def regression_fit(aligned: DataFrame, band: str, keys: tuple[str, ...], most_ma
 def adapted_reference(aligned: DataFrame, band: str, keys: tuple[str, ...], most_masked: float = 0.5) -> DataFrame:
     """Groups that are clear enough, with ``a_<band>``: the reference put through the regression of the prediction on it."""
     rate = aligned.groupBy(*keys).agg(F.avg(F.col("masked").cast("int")).alias("_rate")).where(F.col("_rate") <= most_masked).drop("_rate")
-    ok = aligned.join(rate, list(keys), "left_semi")
-    fit = ridge_closed(ok, band, keys).drop("n")
-    return ok.join(fit, list(keys)).withColumn(f"a_{band}", F.col("slope") * F.col(f"r_{band}") + F.col("intercept")).drop("slope", "intercept")
+    # groups are joined to groups, so that rows meet theirs once
+    fit = ridge_closed(aligned, band, keys).drop("n").join(rate, list(keys), "left_semi")
+    return aligned.join(fit, list(keys)).withColumn(f"a_{band}", F.col("slope") * F.col(f"r_{band}") + F.col("intercept")).drop("slope", "intercept")
 
 
 def fit_loss(adapted: DataFrame, band: str, keys: tuple[str, ...], security: float | None = None, loss: Callable[[Column], Column] = smooth_l1) -> DataFrame:
