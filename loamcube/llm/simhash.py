@@ -18,9 +18,10 @@ points one bit away from them (and themselves): two that share a point differ in
 that differ in at most two bits share one, so the groups' stars are exactly the links. At more bits, such a
 list is dealt into blocks, and every two of them are brought to one task.
 
-Bits only estimate how much two texts share. A scheme with a ``similarity`` links texts by the Jaccard
-similarity of their shingle sets itself (``verified_links``): candidates meet in lists keyed by a few of the
-sets' minima under random hashes, and each is verified on the two whole sets before it links anything.
+Bits only estimate how much two texts share. A scheme with a ``similarity`` groups texts by their fingerprints
+like any other, and then checks each group exactly: texts link by the Jaccard similarity of their shingle sets
+(``verified_links``). Pairs at the similarity that differ in more bits, or share no list of bytes, are looked for in lists
+keyed by a few of the sets' minima under random hashes, and pass the same check.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class Scheme:
 
     ``words`` in a shingle; one XXH64 ``seed`` for each 8 bytes of fingerprint; ``position_sets`` key the
     lists; a pair needs ``min_matches`` equal bytes and at most ``max_bits`` differing bits. With a
-    ``similarity`` (numerator, denominator) texts link at this Jaccard similarity of their shingle sets instead.
+    ``similarity`` (numerator, denominator) such groups are checked: texts link at this Jaccard similarity of their shingle sets.
     """
 
     words: int
@@ -79,8 +80,8 @@ def drawn_positions(n_bytes: int, size: int, count: int, seed: int = 11) -> tupl
 
 #: 64 bits over 3-word shingles; fingerprints link at two differing bits. Finds every link.
 CONTRACT = Scheme(3, (42,), paired_positions(8, 2), 6, 2)
-#: Near copies by 5-word shingles: 256 bits name a text, shingle sets of similarity 0.8 link. Bytes of the
-#: fingerprint are poor lists for that: sets of three meet 74 % of such pairs in 128 lists.
+#: Near copies by 5-word shingles: 256 bits name a text, shingle sets of similarity 0.8 link. Lists of three bytes
+#: meet 74 % of the pairs at just that similarity; minima find the rest.
 NEAR = Scheme(5, (42, 43, 44, 45), drawn_positions(32, 3, 128), 3, 46, (4, 5))
 #: ``BANDS`` lists of ``ROWS`` minima each. Two sets share a minimum with the probability of their similarity, so
 #: a pair at 0.8 meets in no list with a probability of (1 - 0.8^5)^32 = 3e-6. Of the 160 minima it shares 128,
@@ -184,14 +185,18 @@ def _n_shared(a: pa.Array, b: pa.Array) -> pa.Array:
 def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR, crowd: int = CROWD) -> DataFrame:
     """Links ``a``, ``b`` that connect each group of shingle sets at ``scheme.similarity``.
 
-    ``classes`` holds each set once (``cid``, ``size``, ``minima``, ``row``), ``texts`` its text by ``row``. Every
+    ``classes`` holds each set once (``cid``, ``size``, ``fp``, ``minima``, ``row``), ``texts`` its text by ``row``. Sets whose
+    fingerprints ``fingerprint_links`` puts in one group are a list, those of equal minima another. Every
     list's set that meets most others is compared with all of the list. Sets of lists that are then in several groups are compared again
     where they share one of their rarest shingles, and only with sets of other groups (``_prefix_pairs``).
     There, a list of more than ``crowd`` sets is dealt into blocks, and every block is compared with the whole list.
     """
     over, under = scheme.similarity
+    worded = classes.where("size > 0")
+    alike = connected_components(fingerprint_links(worded.select(F.col("cid").alias("fid"), "fp"), scheme))
+    alike = materialize(alike.select(F.col("node").alias("cid"), F.xxhash64(F.lit("bits"), F.col("component")).alias("key")), "alike")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("minima", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    postings = classes.where("size > 0").select("cid", "size", F.explode(bands).alias("key"))
+    postings = worded.select("cid", "size", F.explode(bands).alias("key")).union(worded.join(alike, "cid").select("cid", "size", "key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(postings.join(shared, "key"), "met")
     # the set that meets most others is likely the one that the others of a list are copies of
@@ -392,7 +397,7 @@ def _links(fps: DataFrame, scheme: Scheme, crowd: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd: int) -> DataFrame:
-    """``id``, ``row`` (hash of id and text), ``least`` and, for a scheme of bits, ``fp`` of each row.
+    """``id``, ``row`` (hash of id and text), ``least`` and, for a scheme of bits alone, ``fp`` of each row.
 
     ``least`` is the first row of its group: whether it has no id, its id, its hash. Classes are named by their
     content, never by an id, which several texts may share.
@@ -400,13 +405,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, crowd:
     row = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     if scheme.similarity:
-        named = docs.select(F.col(id_col).alias("id"), row, _sketch(text_col, scheme.words).alias("sketch"))
-        named = materialize(named.select("id", "row", "sketch.*"), "sketches")
-        classes = named.groupBy(F.col("cid").alias("name")).agg(first, F.min("row").alias("row"), F.first("size").alias("size"), F.first("minima").alias("minima"))
+        named = docs.select(F.col(id_col).alias("id"), row, fingerprint(text_col, scheme).alias("fp"), _sketch(text_col, scheme.words).alias("sketch"))
+        named = materialize(named.select("id", "row", "fp", "sketch.*"), "sketches")
+        # texts of one set may repeat shingles unlike each other: one of their fingerprints stands for all
+        classes = named.groupBy(F.col("cid").alias("name")).agg(first, F.min("row").alias("row"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("minima").alias("minima"))
         classes = materialize(classes, "classes")
-        sets = classes.select(F.col("name").alias("cid"), "row", "size", "minima")
+        sets = classes.select(F.col("name").alias("cid"), "row", "size", "fp", "minima")
         links = verified_links(sets, docs.select(row, F.col(text_col).alias("text")), scheme, crowd)
-        return _named_by_groups(named.withColumnRenamed("cid", "name").drop("size", "minima"), classes, links)
+        return _named_by_groups(named.withColumnRenamed("cid", "name").drop("fp", "size", "minima"), classes, links)
     # eight bytes are their own name
     name = F.conv(F.hex("fp"), 16, -10).cast("long") if len(scheme.seeds) == 1 else F.xxhash64("fp")
     named = docs.select(F.col(id_col).alias("id"), row, fingerprint(text_col, scheme).alias("fp"))
@@ -446,6 +452,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = NEAR, crowd: int = CROWD) -> DataFrame:
     """``docs`` without near copies: of each group the row of smallest id stays (null last, then by a hash of the row).
 
+    Groups come from fingerprints, their bytes' lists and the count of equal ones; with a similarity they are checked on whole sets.
+
     Equal rows (same id, same text) count as one row: both stay or both go. Texts that resemble nothing stay,
     whatever other rows share their id. Null, empty and wordless texts are one group. Very long texts are compared whole.
     All columns are kept, but one named ``sh_row``.

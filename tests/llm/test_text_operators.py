@@ -294,6 +294,22 @@ def test_a_family_around_the_similarity_against_brute_force(spark, rng, crowd):
     assert sorted(r.doc_id for r in kept) == sorted(set(part))
 
 
+def test_fingerprints_find_what_minima_do_not(spark):
+    # one of each band's minima differs, so that no list of minima holds both
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:199], "other"]), " ".join(f"v{i}" for i in range(200))]
+    rows = []
+    for i, t in enumerate(texts):
+        found = simhash.shingle_set(t.encode(), 5)
+        least = bytearray(simhash.minima(found))
+        for band in range(simhash.BANDS):
+            least[2 * simhash.ROWS * band : 2 * simhash.ROWS * band + 2] = bytes([i, band])
+        rows.append((i, len(found), bytearray(simhash.fingerprint_of(t.encode(), simhash.NEAR)), least, i))
+    classes = spark.createDataFrame(rows, "cid long, size long, fp binary, minima binary, row long")
+    links = simhash.verified_links(classes, spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((0, 1))}
+
+
 def test_a_family_below_the_similarity_stays(spark, rng):
     # any two share a template of four fifths of their words: similarity 0.65 or so
     template = [f"t{i}" for i in range(400)]
