@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamcube.llm._bytes import binary_of
-from loamcube.llm._shared import connected_components, materialize
+from loamcube.llm._shared import connected_components, discard, kept, let_go, materialize, passing
 
 
 #: Fingerprints of one list that a task takes at once.
@@ -193,16 +193,18 @@ def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR,
     """
     over, under = scheme.similarity
     worded = classes.where("size > 0")
-    alike = connected_components(fingerprint_links(worded.select(F.col("cid").alias("fid"), "fp"), scheme))
-    alike = materialize(alike.select(F.col("node").alias("cid"), F.xxhash64(F.lit("bits"), F.col("component")).alias("key")), "alike")
+    with passing(classes.sparkSession):
+        alike = connected_components(fingerprint_links(worded.select(F.col("cid").alias("fid"), "fp"), scheme))
+        alike = kept(alike.select(F.col("node").alias("cid"), F.xxhash64(F.lit("bits"), F.col("component")).alias("key")), "alike")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("minima", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     postings = worded.select("cid", "size", F.explode(bands).alias("key")).union(worded.join(alike, "cid").select("cid", "size", "key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(postings.join(shared, "key"), "met")
+    counted = met = materialize(postings.join(shared, "key"), "met")
     # the set that meets most others is likely the one that the others of a list are copies of
     meets = met.groupBy("cid").agg(F.sum("n").alias("meets"))
     first = met.select("key", "cid").join(meets, "cid").groupBy("key").agg(F.max(F.struct("meets", "cid")).alias("first"))
     met = materialize(met.drop("n").join(materialize(first.select("key", F.col("first.cid").alias("first")), "firsts"), "key"), "met")
+    discard(counted)
     wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "row")
     sets = materialize(texts.join(wanted, "row").dropDuplicates(["cid"]).select("cid", _shingles("text", scheme.words).alias("shingles")), "sets")
     of_a, of_b = (classes.select(F.col("cid").alias(c), F.col("size").alias(f"size_{c}"), F.col("minima").alias(f"minima_{c}")) for c in "ab")
@@ -216,7 +218,9 @@ def verified_links(classes: DataFrame, texts: DataFrame, scheme: Scheme = NEAR,
         return near.join(set_b, "b").join(set_a, "a").where(both * (over + under) >= (F.col("size_a") + F.col("size_b")) * over).select("a", "b")
 
     stars = materialize(verified(met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))), "stars")
-    found = materialize(connected_components(stars), "groups")
+    let_go(classes.sparkSession)
+    with passing(classes.sparkSession):
+        found = kept(connected_components(stars), "groups")
     parted = met.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
     # lists of one group have nothing left to find
     mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
@@ -364,7 +368,8 @@ def fingerprint_links(fps: DataFrame, scheme: Scheme = CONTRACT, crowd: int = CR
     links = _links(fps, replace(scheme, position_sets=few), crowd)
     if not more:
         return links
-    found = materialize(connected_components(links), "groups")
+    with passing(fps.sparkSession):
+        found = kept(connected_components(links), "groups")
     joined = fps.drop("part").join(found.withColumnRenamed("node", "fid"), "fid", "left")
     fps = materialize(joined.select("fid", "fp", F.coalesce("component", "fid").alias("part")), "grouped")
     between = _links(fps, replace(scheme, position_sets=more), crowd)
@@ -458,6 +463,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     whatever other rows share their id. Null, empty and wordless texts are one group. Very long texts are compared whole.
     All columns are kept, but one named ``sh_row``.
     """
-    found = _grouped(docs, id_col, text_col, scheme, crowd)
-    gone = found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias("sh_row")).distinct()
+    with passing(docs.sparkSession):
+        found = _grouped(docs, id_col, text_col, scheme, crowd)
+        gone = kept(found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias("sh_row")).distinct(), "near-copies")
     return docs.withColumn("sh_row", F.xxhash64(F.col(id_col), F.col(text_col))).join(gone, "sh_row", "left_anti").drop("sh_row")

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -294,6 +295,16 @@ def test_a_family_around_the_similarity_against_brute_force(spark, rng, crowd):
     assert sorted(r.doc_id for r in kept) == sorted(set(part))
 
 
+def test_near_copies_leave_no_tables_behind(spark):
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    texts = [" ".join(f"t{t // 2}w{i}" if i != 50 or t % 2 else "other" for i in range(100)) for t in range(20)]
+    before = set(folder.iterdir())
+    out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 20, 2))
+    # but for the one that the result is read from
+    assert [p.name.partition("-")[0] for p in set(folder.iterdir()) - before] == ["near"]
+
+
 def test_fingerprints_find_what_minima_do_not(spark):
     # one of each band's minima differs, so that no list of minima holds both
     words = [f"w{i}" for i in range(200)]
