@@ -80,17 +80,28 @@ def bracket(source: DataFrame, targets: DataFrame, values: list[str], keys: tupl
     ``source`` holds usable rows only, one for each key and date. Returns keys, ``doy``, ``prev_doy``,
     ``prev_<value>``, ``next_doy``, ``next_<value>``; null where there is none. Columns of the targets to ``carry`` come along.
     """
-    payload = F.struct("doy", *values)
+    return _sides(_both(source, targets, keys, F.struct("doy", *values), carry), values, keys, strict_after).where("_ask").select(*keys, "doy", *_side_columns(values), *carry)
+
+
+def bracket_within(df: DataFrame, usable: Column, values: list[str], keys: tuple[str, ...] = PIXEL, strict_after: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``bracket`` of the rows of one table, of which the ``usable`` ones are the source: they are read and moved once."""
+    rows = df.select(*keys, "doy", *carry, F.when(usable, F.struct("doy", *values)).alias("_v"))
+    return _sides(rows, values, keys, strict_after).select(*keys, "doy", *_side_columns(values), *carry)
+
+
+def _sides(rows: DataFrame, values: list[str], keys: tuple[str, ...], strict_after: bool) -> DataFrame:
     w = W.partitionBy(*keys)
     # both frames run: one that ends behind would be read again for each row
-    out = _both(source, targets, keys, payload, carry).withColumns(
+    return rows.withColumns(
         {
             "_p": F.last("_v", ignorenulls=True).over(w.orderBy("doy").rangeBetween(W.unboundedPreceding, -1)),
             "_n": F.last("_v", ignorenulls=True).over(w.orderBy(F.desc("doy")).rangeBetween(W.unboundedPreceding, -1 if strict_after else 0)),
         }
     )
-    sides = [F.col(f"{side}.{v}").alias(f"{name}_{v}") for side, name in (("_p", "prev"), ("_n", "next")) for v in ("doy", *values)]
-    return out.where("_ask").select(*keys, "doy", *sides, *carry)
+
+
+def _side_columns(values: list[str]) -> list[Column]:
+    return [F.col(f"{side}.{v}").alias(f"{name}_{v}") for side, name in (("_p", "prev"), ("_n", "next")) for v in ("doy", *values)]
 
 
 def nearest_date(source_dates: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("site",), allow_same_day: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +109,15 @@ def nearest_date(source_dates: DataFrame, targets: DataFrame, keys: tuple[str, .
 
     ``source_dates`` holds the eligible dates. Columns of the targets to ``carry`` come along.
     """
-    out = bracket(source_dates, targets, [], keys, not allow_same_day, carry)
+    return _nearest(bracket(source_dates, targets, [], keys, not allow_same_day, carry), keys, carry)
+
+
+def nearest_date_within(df: DataFrame, usable: Column, keys: tuple[str, ...] = ("site",), allow_same_day: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``nearest_date`` of the rows of one table, of which the ``usable`` ones are the eligible dates."""
+    return _nearest(bracket_within(df, usable, [], keys, not allow_same_day, carry), keys, carry)
+
+
+def _nearest(out: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
     before, after = F.col("doy") - F.col("prev_doy"), F.col("next_doy") - F.col("doy")
     near = F.when(F.col("next_doy").isNull() | (before <= after), F.col("prev_doy")).otherwise(F.col("next_doy"))
     return out.select(*keys, "doy", near.alias("nearest_doy"), F.abs(near - F.col("doy")).alias("distance"), *carry)

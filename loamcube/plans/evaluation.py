@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamcube.functions import scalars
 from loamcube.operators import aggs, filters, joins, reshape, tiles, timeops
 from loamcube.plans import fusion
-from loamcube.plans.scenarios import make_scenario
+from loamcube.plans.scenarios import make_scenario, seen_rows
 from loamcube.schemas import PIXEL, SERIES, HidingParameters
 
 
@@ -21,7 +21,16 @@ def scenario_parts(obs: DataFrame, p: HidingParameters, origin: str | None = Non
 
 
 def gapfill_scenario(obs: DataFrame, bands: list[str], p: HidingParameters) -> DataFrame:
-    """Predict the target dates from the input ones; prediction, reference and whether the date was an input."""
+    """Predict the target dates from the input ones; prediction, reference and whether the date was an input.
+
+    Where a row's own sensor and date say whether it is an input, ``obs`` is computed, moved and sorted by pixel once.
+    """
+    seen = seen_rows(p)
+    if seen is not None:
+        rows = obs.dropna(subset=[*PIXEL, "doy"]).select(*PIXEL, "doy", *bands, *(F.col(b).alias(f"r_{b}") for b in bands), "masked", F.coalesce(seen, F.lit(False)).alias("clear"))
+        references = [f"r_{b}" for b in bands]
+        out = joins.bracket_within(rows, F.col("clear") & ~F.col("masked"), bands, PIXEL, carry=(*references, "masked", "clear"))
+        return out.select(*SERIES, "doy", "px", *(timeops.interpolate(out, b).alias(f"p_{b}") for b in bands), *references, "masked", "clear")
     given, target = scenario_parts(obs, p)
     pred = timeops.linear_gapfilling(given, target.select(*PIXEL, "doy"), bands)
     out = joins.align(pred, target, bands)
@@ -144,10 +153,11 @@ def run_by_sites(spark: SparkSession, sites: list, job: Callable[[list], DataFra
     return wanted.join(states, "site", "left").withColumn("state", F.coalesce("state", F.lit("left")))
 
 
-def date_record(aligned: DataFrame, given: DataFrame, bands: list[str], bandwidth: float = 10.0) -> DataFrame:
+def date_record(aligned: DataFrame, given: DataFrame | None, bands: list[str], bandwidth: float = 10.0) -> DataFrame:
     """One row for each site, sensor and date: clear rate, predicted rate, nearest input date, density, mean RMSE.
 
-    Pixels are aggregated once; the nearest input date is found among the dates' records.
+    Pixels are aggregated once; the nearest input date is found among the dates' records. Without ``given`` the input dates
+    are those of ``aligned`` that are ``clear``.
     """
     keys = (*SERIES, "doy")
 
@@ -163,7 +173,11 @@ def date_record(aligned: DataFrame, given: DataFrame, bands: list[str], bandwidt
     )
     mean = F.aggregate("errors", F.lit(0.0), lambda total, e: total + e) / F.nullif(F.size("errors"), F.lit(0))
     record = record.select(*keys, "clear", "clear_pixel_rate", "predicted_pixel_rate", mean.alias("rmse"))
-    out = joins.nearest_date(given.select(*keys).distinct(), record, SERIES, carry=("clear", "clear_pixel_rate", "predicted_pixel_rate", "rmse"))
+    carry = ("clear", "clear_pixel_rate", "predicted_pixel_rate", "rmse")
+    if given is None:
+        out = joins.nearest_date_within(record, F.col("clear"), SERIES, carry=carry)
+    else:
+        out = joins.nearest_date(given.select(*keys).distinct(), record, SERIES, carry=carry)
     return out.select(*keys, "clear", "clear_pixel_rate", "predicted_pixel_rate", "distance", aggs.density(F.col("distance"), bandwidth).alias("density"), "rmse")
 
 

@@ -6,7 +6,7 @@ is a predicate on dates or a semi or anti join on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,6 +62,24 @@ def _context(obs: DataFrame, p: HidingParameters) -> tuple[DataFrame, DataFrame]
     return n.where(before | after).select(*SERIES, "doy"), n.where(before | after | inside).select(*SERIES, "doy")
 
 
+def seen_rows(p: HidingParameters) -> Column | None:
+    """Which observations are inputs, by their own sensor and date; null for strategies that need more, or whose targets aren't all observations."""
+    match p.strategy:
+        case "ALL":
+            return F.lit(True)
+        case "GAPS":
+            return ~timeops.hidden_by_gaps(F.col("doy"), p.gap, p.horizon)
+        case "NOHR":
+            return F.col("sensor") == "lr"
+        case "NOLR":
+            return F.col("sensor") == "hr"
+        case "FORECAST":
+            return F.col("doy") <= p.start
+        case "BACKCAST":
+            return F.col("doy") >= p.start
+    return None
+
+
 def make_scenario(obs: DataFrame, p: HidingParameters, origin: str | None = None) -> DataFrame:
     """Rows of ``obs`` with ``role``; an unknown strategy is an error.
 
@@ -70,9 +88,10 @@ def make_scenario(obs: DataFrame, p: HidingParameters, origin: str | None = None
     lr, hr = obs.where("sensor = 'lr'"), obs.where("sensor = 'hr'")
     conj, other = lambda s: joins.conjunctions(obs, s).select(obs.columns), lambda s: joins.non_conjunctions(obs, s).select(obs.columns)
     origin = origin or f"{p.year}-01-01"
+    seen = seen_rows(p)
+    if seen is not None:
+        return _roles([obs.where(seen)], [obs])
     match p.strategy:
-        case "ALL":
-            return _roles([obs], [obs])
         case "RANDOM" | "RANDOM_ALL_DOYS":
             dates = obs.select(*SERIES, "doy").distinct()
             hidden = sampling.random_dates(dates, p.rate, p.seed)
@@ -81,16 +100,6 @@ def make_scenario(obs: DataFrame, p: HidingParameters, origin: str | None = None
                 return _roles([seen], [obs])
             every = obs.select("site", "doy").distinct()
             return _roles([seen], [joins.calendar_join(obs, every, _bands(obs)).select(obs.columns)])
-        case "GAPS":
-            return _roles([obs.where(~timeops.hidden_by_gaps(F.col("doy"), p.gap, p.horizon))], [obs])
-        case "NOHR":
-            return _roles([lr], [obs])
-        case "NOLR":
-            return _roles([hr], [obs])
-        case "FORECAST":
-            return _roles([obs.where(F.col("doy") <= p.start)], [obs])
-        case "BACKCAST":
-            return _roles([obs.where(F.col("doy") >= p.start)], [obs])
         case "DEEPHARMO":
             return _roles([lr, other("hr")], [obs])
         case "CONJLRuHR2HR":

@@ -155,8 +155,7 @@ def q_split_bands(spark, sf):
 def q_invariants(spark, sf):
     """Records of which every second was moved: input dates that are no longer at distance 0."""
     c = fx.cube(spark, sf).select(*PIXEL, "doy", "b1", "masked")
-    given, _ = evaluation.scenario_parts(c, GAPS)
-    record = evaluation.date_record(evaluation.gapfill_scenario(c, ["b1"], GAPS), given, ["b1"])
+    record = evaluation.date_record(evaluation.gapfill_scenario(c, ["b1"], GAPS), None, ["b1"])
     moved = record.withColumn("distance", F.col("distance") + F.col("doy") % 2)
     return evaluation.invariant_violations(moved).select(*SERIES, "doy", F.col("distance").cast("int").alias("distance"))
 

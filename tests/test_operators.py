@@ -352,3 +352,19 @@ def test_no_frame_of_dates_ends_behind(spark):
         assert {r.doy: (r.prev_doy, r.next_doy) for r in got} == want
         assert all(r.next_b1 == r.next_doy for r in got)
     assert "unboundedfollowing" not in fusion.stair(obs, "b1")._jdf.queryExecution().toString().lower()
+
+
+def test_gap_filling_reads_each_observation_once(spark, tmp_path):
+    rows = [(s, p, n, d, float(d % 11 + p), (d + p) % 4 == 0) for s in range(2) for p in range(3) for n in ("lr", "hr") for d in range(0, 200, 7)]
+    rows += [(0, 9, "lr", 40, 1.0, False), (0, 9, "lr", 130, None, False), (1, 9, "hr", 95, 2.0, None), (None, 1, "lr", 95, 2.0, False), (1, 1, "lr", None, 2.0, False)]
+    spark.createDataFrame(rows, "site int, px int, sensor string, doy int, b1 double, masked boolean").write.parquet(str(tmp_path / "obs"))
+    obs = spark.read.parquet(str(tmp_path / "obs"))
+    for p in (HidingParameters("GAPS", gap=30), HidingParameters("ALL"), HidingParameters("NOHR"), HidingParameters("NOLR"), HidingParameters("FORECAST", start=90), HidingParameters("BACKCAST", start=90)):
+        got = evaluation.gapfill_scenario(obs, ["b1"], p)
+        assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        given, target = evaluation.scenario_parts(obs, p)
+        want = joins.clear_masked_split(joins.align(timeops.linear_gapfilling(given, target.select(*PIXEL, "doy"), ["b1"]), target, ["b1"]), given)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        own, other = evaluation.date_record(got, None, ["b1"]), evaluation.date_record(want, given, ["b1"])
+        assert sorted(map(repr, own.collect())) == sorted(map(repr, other.collect()))
