@@ -137,27 +137,27 @@ def ridge_multi(aligned: DataFrame, sources: list[str], targets: list[str], keys
     aggs = [F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols], *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a in cols for b in cols]]
     sums = aligned.where("not masked").groupBy(*keys).agg(*aggs).where(F.col("n") > least_factor * len(sources) * len(targets))
 
+    p = len(sources)
+
     def solve(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                n = row["n"]
-                mean = np.array([row[f"s_{c}"] / n for c in cols])
-                prod = np.array([[row[f"s_{a}_{b}"] for b in cols] for a in cols])
-                std = np.sqrt(np.maximum(np.diag(prod) / (n - 1) - mean**2, 0))
-                if (std == 0).any():
-                    continue
-                centred = (prod - n * np.outer(mean, mean)) / np.outer(std, std)
-                p = len(sources)
-                xx = centred[:p, :p] + weight * np.eye(p)
-                if np.linalg.matrix_rank(xx, hermitian=True) < p:
-                    continue
-                beta = np.linalg.solve(xx, centred[:p, p:]) * std[None, p:] / std[:p, None]
-                offset = mean[p:] - mean[:p] @ beta
-                for t, target in enumerate(targets):
-                    for s, source in enumerate(sources):
-                        out.append([*(row[k] for k in keys), target, source, beta[s, t], offset[t]])
-            yield pd.DataFrame(out, columns=[*keys, "target", "source", "coefficient", "intercept"])
+            n = pdf["n"].to_numpy()[:, None]
+            mean = pdf[[f"s_{c}" for c in cols]].to_numpy(float) / n
+            prod = pdf[[f"s_{a}_{b}" for a in cols for b in cols]].to_numpy(float).reshape(-1, len(cols), len(cols))
+            std = np.sqrt(np.maximum(np.diagonal(prod, axis1=1, axis2=2) / (n - 1) - mean**2, 0))
+            usable = ~(std == 0).any(axis=1)
+            pdf, n, mean, prod, std = pdf[usable], n[usable], mean[usable], prod[usable], std[usable]
+            centred = (prod - n[:, :, None] * mean[:, :, None] * mean[:, None, :]) / (std[:, :, None] * std[:, None, :])
+            xx = centred[:, :p, :p] + weight * np.eye(p)
+            # a matrix that isn't made of numbers has no rank
+            known = np.isfinite(xx).all(axis=(1, 2))
+            full = known.copy()
+            full[known] = np.linalg.matrix_rank(xx[known], hermitian=True) == p
+            pdf, mean, std = pdf[full], mean[full], std[full]
+            beta = np.linalg.solve(xx[full], centred[full][:, :p, p:]) * std[:, None, p:] / std[:, :p, None]
+            offset = mean[:, p:] - (mean[:, :p, None] * beta).sum(axis=1)
+            out = [pdf[list(keys)].assign(target=target, source=source, coefficient=beta[:, s, t], intercept=offset[:, t]) for t, target in enumerate(targets) for s, source in enumerate(sources)]
+            yield pd.concat(out)
 
     types = ", ".join(f"{k} {aligned.schema[k].dataType.simpleString()}" for k in keys)
     return sums.mapInPandas(solve, f"{types}, target string, source string, coefficient double, intercept double")

@@ -80,15 +80,19 @@ def in_windows(cells: DataFrame, p: TreeParameters) -> DataFrame:
     return cells.withColumn("_wr", near("r")).withColumn("_wc", near("c")).unionByName(whole)
 
 
-def _step(node: Column, splits: Column, x: Column) -> Column:
-    """The child that ``x`` goes to, or the node itself if it has no split. A missing value goes to the upper child."""
-    split = F.try_element_at(splits, node)
-    below = F.coalesce(F.get(x, split["f"]) < split["t"], F.lit(False))
-    return F.when(split.isNull(), node).otherwise(2 * node + F.when(below, 0).otherwise(1))
-
+def _with_node(df: DataFrame, splits: Column, x: Column, depth: int, name: str = "_node") -> DataFrame:
+    """``df`` with the node that ``x`` comes to; a node without a split keeps it, a missing value goes to the upper child.
 
-def _node(splits: Column, x: Column, depth: int) -> Column:
-    return reduce(lambda node, _: _step(node, splits, x), range(depth), F.lit(1))
+    Every level is a column: in one expression each level would be computed again wherever the next one names it, so that the work
+    would be a power of the depth.
+    """
+    node, split = F.col(name), F.col("_split")
+    below = F.coalesce(F.get(x, split["f"]) < split["t"], F.lit(False))
+    df = df.withColumn(name, F.lit(1))
+    for _ in range(depth):
+        df = df.withColumn("_split", F.try_element_at(splits, node))
+        df = df.withColumn(name, F.when(split.isNull(), node).otherwise(2 * node + F.when(below, 0).otherwise(1)))
+    return df.drop("_split")
 
 
 def _splits(samples: DataFrame, tree: list[str], features: list[str], level: int, p: TreeParameters) -> DataFrame:
@@ -130,7 +134,8 @@ def grow(samples: DataFrame, features: list[str], tree: list[str], p: TreeParame
         if found is None:
             return samples.withColumn("_node", F.lit(1))
         so_far = found.groupBy(*tree).agg(F.map_from_entries(F.collect_list(F.struct("_node", F.struct("f", "t")))).alias("splits"))
-        return samples.join(so_far, tree, "left").withColumn("_node", _node(F.coalesce("splits", F.expr(f"cast(map() as {_SPLITS})")), x, depth)).drop("splits")
+        # a tree that has no split yet has no map, in which nothing is found either
+        return _with_node(samples.join(so_far, tree, "left").withColumn("_x", x), F.col("splits"), F.col("_x"), depth).drop("splits", "_x")
 
     for level in range(p.depth):
         new = _splits(routed(level), tree, features, level, p)
@@ -149,15 +154,16 @@ def grow(samples: DataFrame, features: list[str], tree: list[str], p: TreeParame
     return out.select(*tree, "splits", F.col("leaves").cast(f"map<int,{_LEAF}>").alias("leaves"))
 
 
-def predict(splits: Column, leaves: Column, x: Column, p: TreeParameters) -> Column:
-    """Temperature of features ``x``: the leaf's regression, kept near what the leaf has seen; its mean where it has none."""
-    leaf = F.try_element_at(leaves, _node(splits, x, p.depth))
+def predict(df: DataFrame, splits: Column, leaves: Column, x: Column, p: TreeParameters, name: str) -> DataFrame:
+    """``df`` with the temperature ``name`` of features ``x``: the leaf's regression, kept near what the leaf has seen; its mean where it has none."""
+    leaf = F.col("_leaf")
     line = leaf["offset"] + F.aggregate(F.zip_with(leaf["slopes"], x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     room = p.extrapolation * (leaf["high"] - leaf["low"])
     # nothing is predicted from a missing feature
     complete = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
     bounded = F.greatest(F.least(line, leaf["high"] + room), leaf["low"] - room)
-    return F.when(complete, F.when(leaf["offset"].isNull(), leaf["mean"]).otherwise(bounded))
+    df = _with_node(df, splits, x, p.depth).withColumn("_leaf", F.try_element_at(leaves, F.col("_node")))
+    return df.withColumn(name, F.when(complete, F.when(leaf["offset"].isNull(), leaf["mean"]).otherwise(bounded))).drop("_node", "_leaf")
 
 
 def sharpen(fine: DataFrame, coarse: DataFrame, factor: int, features: list[str], keys: tuple[str, ...], p: TreeParameters | None = None, residual: bool = True) -> DataFrame:
@@ -183,7 +189,9 @@ def sharpen(fine: DataFrame, coarse: DataFrame, factor: int, features: list[str]
 
     px = fine.select(*keys, "r", "c", "masked", F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     px = px.withColumns({"_r": _cell(factor)["r"], "_c": _cell(factor)["c"]}).withColumns(window).join(packed, tree, "left")
-    px = px.withColumns({"_cell": F.try_element_at("_cells", F.struct("_r", "_c")), "_own": predict(F.col("_own_splits"), F.col("_own_leaves"), F.col("_x"), p), "_whole": predict(F.col("_whole_splits"), F.col("_whole_leaves"), F.col("_x"), p)})
+    px = px.withColumn("_cell", F.try_element_at("_cells", F.struct("_r", "_c")))
+    for side in ("_own", "_whole"):
+        px = predict(px, F.col(f"{side}_splits"), F.col(f"{side}_leaves"), F.col("_x"), p, side)
     px = px.select(*tree, "r", "c", "_r", "_c", F.coalesce("masked", F.lit(True)).alias("masked"), "_own", "_whole", "_cell._seen", F.coalesce("_cell._hidden", F.lit(True)).alias("_hidden"))
 
     # pixels of a cell are in the window's partition already

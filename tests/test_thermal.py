@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from loamcube.operators import aggs
 from loamcube.plans import thermal
 from loamcube.plans.thermal import TreeParameters
 
@@ -182,3 +184,29 @@ def test_pairs_without_any_clear_cell_give_masked_rows(spark):
     assert all(v is None and m for (doy, _, _), (v, m) in got.items() if doy == 1)
     assert any(not m for (doy, _, _), (_, m) in got.items() if doy == 2)
     assert sharpened(spark, {1: (fine, np.ones_like(hidden), lst, dark)}, P).keys() == {(1, r, c) for r, c in np.ndindex(hidden.shape)}
+
+
+def test_deep_trees_cost_a_look_up_for_each_level(spark):
+    depth = 12
+    p = thermal.TreeParameters(depth=depth)
+    # a feature below 0.5 goes to the even child all the way down
+    splits = {2**d: (0, 0.5) for d in range(depth)}
+    leaves = {2**depth: (1.0, 0.0, 9.0, 2.0, [4.0]), 3: (5.0, 0.0, 9.0, None, None)}
+    kinds = "x array<double>, splits map<int,struct<f:int,t:double>>, leaves map<int,struct<mean:double,low:double,high:double,offset:double,slopes:array<double>>>"
+    df = spark.createDataFrame([([0.25], splits, leaves), ([0.75], splits, leaves), ([None], splits, leaves), ([0.25], None, None)], kinds)
+    out = thermal.predict(df, F.col("splits"), F.col("leaves"), F.col("x"), p, "lst")
+    assert out.columns == [*df.columns, "lst"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("try_element_at") <= depth + 1
+    assert [r.lst for r in out.collect()] == [3.0, 5.0, None, None]
+
+
+def test_regressions_of_many_groups_at_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(a), float(b), float(2 * a - b + g)) for g in range(300) for a, b in rng.normal(size=(12, 2))]
+    rows += [(-1, float(i), 0.0, float(i)) for i in range(12)] + [(-2, float("nan"), float(i), float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double").withColumn("masked", F.lit(False))
+    got = {}
+    for r in aggs.ridge_multi(df, ["a", "b"], ["y"], ("g",), 1e-9, 1).collect():
+        got[r.g, r.source] = r.coefficient, r.intercept
+    assert {g for g, _ in got} == set(range(300))
+    assert all(abs(c - (2 if s == "a" else -1)) < 1e-6 and abs(i - g) < 1e-6 for (g, s), (c, i) in got.items())
